@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from ..session import written
 from .evaluation import fit_scaling
 from .tfidf import fit_tfidf, long_form
 
@@ -100,18 +101,14 @@ def cluster_topics(
 ) -> TopicClusters:
     """Group texts by k-means on their TF-IDF vectors and place them in the plane.
 
-    The vectors stay sparse. They are kept for the fits and released after;
-    the returned rows are computed from the texts.
+    The vectors stay sparse. They are written once, so that the passes of the
+    fits and the results do not tokenize the texts again.
     """
     rows = chats.withColumn("cleaned_text", normalized(F.col(column)))
     tfidf = fit_tfidf(rows, "cleaned_text", max_features=max_features, stop_words=stop_words)
-    vectors = tfidf.vectors(rows)
-    kept = vectors.select("features").persist()
-    try:
-        model = KMeans(k=n_clusters, seed=seed, predictionCol="topic_cluster").fit(kept)
-        projection = fit_projection(kept)
-    finally:
-        kept.unpersist()
+    vectors = written(tfidf.vectors(rows).drop("cleaned_text"), "vectors")
+    model = KMeans(k=n_clusters, seed=seed, predictionCol="topic_cluster").fit(vectors)
+    projection = fit_projection(vectors)
     return TopicClusters(projection.transform(model.transform(vectors)), tfidf.vocabulary, model)
 
 
@@ -133,8 +130,9 @@ def segment_users(
     """Split users into the number of segments, 2 to 5, with the best silhouette.
 
     The smallest k wins a tie. With fewer than three users there is one segment
-    and no position.
+    and no position. The per-user table is written once, as every fit reads it.
     """
+    behavior = written(behavior, "behavior")
     scaling = fit_scaling(behavior, features)
     scaled = {f"_{f}": scaling.scaled(f) for f in features}
     assembler = VectorAssembler(inputCols=list(scaled), outputCol="features")
@@ -142,9 +140,7 @@ def segment_users(
     kept = vectors.select("features").persist()
     try:
         most = min(MAX_SEGMENTS, kept.limit(MAX_SEGMENTS + 1).count() - 1)
-        models = {
-            k: KMeans(k=k, seed=seed, predictionCol="segment").fit(kept) for k in range(2, most + 1)
-        }
+        models = {k: KMeans(k=k, seed=seed, predictionCol="segment").fit(kept) for k in range(2, most + 1)}
         scores = {k: silhouette(model.transform(kept), cluster="segment") for k, model in models.items()}
         if not scores:
             return Segments(behavior.withColumn("segment", F.lit(0)), scores)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import INTENT_DEFAULT, INTENT_RULES, Rules, with_intent
+from ..session import written
 from .evaluation import classification_report, in_test_set
 from .tfidf import Tfidf, fit_tfidf
 
@@ -60,7 +61,8 @@ def train_intent_model(
 ) -> IntentModel:
     """TF-IDF of the question and a random forest on 80 % of the rows."""
     tfidf = fit_tfidf(chats, "question", max_features=max_features)
-    rows = tfidf.vectors(with_intent(chats, rules, default).select("id", "question", "intent"))
+    labelled = with_intent(chats, rules, default).select("id", "question", "intent")
+    rows = written(tfidf.vectors(labelled).drop("question"), "intents")
     indexer = StringIndexer(inputCol="intent", outputCol="intent_index", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="intent_index", numTrees=trees, maxDepth=max_depth, seed=seed

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LONG_TEXT = 64
+
 
 def _as_text(column: str, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -20,83 +22,69 @@ def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
-def _bounds(kind: T.DataType) -> list[Column]:
-    """Smallest and largest value: as doubles for numbers, as text for the rest."""
-    low, high = F.min("value"), F.max("value")
-    none = F.lit(None)
-    numbers = [low, high] if _is_number(kind) else [none, none]
-    texts = [none, none] if _is_number(kind) else [low, high]
-    names = ["min_number", "max_number", "min_text", "max_text"]
-    kinds = ["double", "double", "string", "string"]
-    return [c.cast(k).alias(n) for c, k, n in zip(numbers + texts, kinds, names)]
-
-
-def _values(table: DataFrame, column: str) -> DataFrame:
-    """Each value of a column with its number of rows; only that column is read."""
-    kind = table.schema[column].dataType
-    value = F.col(column) if _is_number(kind) else _as_text(column, kind)
-    return table.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, bounds.
 
-    The exact form counts each value first and derives everything from those
-    counts, one column at a time. The approximate form reads the table once and
-    estimates the distinct count.
+    Bounds are doubles for numbers and text for the rest. Rows, nulls and bounds
+    come from one pass with a fixed-size buffer per column; the distinct count
+    is estimated in that pass, or counted exactly in a second one.
     """
-    if not exact:
-        return _profile_in_one_pass(table, name)
-    parts = []
-    for field in table.schema.fields:
-        parts.append(
-            _values(table, field.name)
-            .agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-                F.count("value").alias("distinct_count"),
-                *_bounds(field.dataType),
-            )
-            .select(
-                F.lit(name).alias("table_name"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("column_type"),
-                "*",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _profile_in_one_pass(table: DataFrame, name: str) -> DataFrame:
     aggregates, cells = [F.count(F.lit(1)).alias("rows")], []
     for i, field in enumerate(table.schema.fields):
         number = _is_number(field.dataType)
         value = F.col(field.name) if number else _as_text(field.name, field.dataType)
         aggregates += [
             F.count_if(F.col(field.name).isNull()).alias(f"nulls{i}"),
-            F.approx_count_distinct(field.name).alias(f"distinct{i}"),
             F.min(value).alias(f"low{i}"),
             F.max(value).alias(f"high{i}"),
         ]
-        low, high = F.col(f"low{i}"), F.col(f"high{i}")
-        none = F.lit(None)
+        if not exact:
+            aggregates.append(F.approx_count_distinct(field.name).alias(f"distinct{i}"))
+        low, high, none = F.col(f"low{i}"), F.col(f"high{i}"), F.lit(None)
         cells.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),
                 F.lit(field.dataType.simpleString()).alias("column_type"),
                 F.col("rows").alias("row_count"),
                 F.col(f"nulls{i}").alias("null_count"),
-                F.col(f"distinct{i}").alias("distinct_count"),
+                (none if exact else F.col(f"distinct{i}")).cast("long").alias("distinct_count"),
                 (low if number else none).cast("double").alias("min_number"),
                 (high if number else none).cast("double").alias("max_number"),
                 (none if number else low).cast("string").alias("min_text"),
                 (none if number else high).cast("string").alias("max_text"),
             )
         )
+    profile = table.agg(*aggregates).select(F.inline(F.array(*cells)))
+    if exact:
+        columns = profile.columns
+        profile = (
+            profile.drop("distinct_count")
+            .join(_distinct_counts(table), "column_name", "left")
+            .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+            .select(*columns)
+        )
+    return profile.select(F.lit(name).alias("table_name"), "*")
+
+
+def _distinct_counts(table: DataFrame) -> DataFrame:
+    """Distinct non-null values per column: column_name, distinct_count.
+
+    The cells become (column, value) rows, made distinct before and after one
+    shuffle. Long texts are compared by their SHA-256, so that whole texts are
+    not shuffled.
+    """
+    cells = []
+    for field in table.schema.fields:
+        text = _as_text(field.name, field.dataType)
+        if isinstance(field.dataType, T.StringType):
+            text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+        cells.append(F.struct(F.lit(field.name).alias("column_name"), text.alias("value")))
     return (
-        table.agg(*aggregates)
-        .select(F.inline(F.array(*cells)))
-        .select(F.lit(name).alias("table_name"), "*")
+        table.select(F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+        .distinct()
+        .groupBy("column_name")
+        .agg(F.count(F.lit(1)).alias("distinct_count"))
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .evaluation import classification_report, in_test_set
 
 FEATURES = (
@@ -27,6 +28,7 @@ MIN_ROWS = 10
 class SatisfactionModel:
     model: PipelineModel
     importances: DataFrame
+    complete: DataFrame
     seed: int
 
     def predict(self, features: DataFrame) -> DataFrame:
@@ -37,22 +39,26 @@ class SatisfactionModel:
             .drop("features", "rawPrediction", "probability", "prediction")
         )
 
-    def report(self, labelled: DataFrame) -> DataFrame:
-        return classification_report(
-            self.predict(labelled).filter("in_test"), "satisfaction", "predicted_satisfaction"
-        )
+    def _held_out(self) -> DataFrame:
+        return self.predict(self.complete).filter("in_test")
+
+    def report(self) -> DataFrame:
+        return classification_report(self._held_out(), "satisfaction", "predicted_satisfaction")
 
-    def accuracy(self, labelled: DataFrame) -> float | None:
+    def accuracy(self) -> float | None:
         """Share of right predictions on the held-out clients; None if there are none."""
         right = (F.col("satisfaction") == F.col("predicted_satisfaction")).cast("double")
-        return self.predict(labelled).filter("in_test").agg(F.avg(right)).first()[0]
+        return self._held_out().agg(F.avg(right)).first()[0]
 
 
 def train_satisfaction_model(
     labelled: DataFrame, *, trees: int = 100, max_depth: int = 10, seed: int = 42
 ) -> SatisfactionModel | None:
-    """Random forest on 80 % of the complete rows; None with fewer than ten of them."""
-    complete = labelled.na.drop(subset=[*FEATURES, "satisfaction"])
+    """Random forest on 80 % of the complete rows; None with fewer than ten of them.
+
+    The complete rows, one per client, are written once and kept with the model.
+    """
+    complete = written(labelled.na.drop(subset=[*FEATURES, "satisfaction"]), "satisfaction")
     if complete.limit(MIN_ROWS).count() < MIN_ROWS:
         return None
     indexer = StringIndexer(inputCol="satisfaction", outputCol="label", stringOrderType="alphabetAsc").fit(complete)
@@ -65,4 +71,4 @@ def train_satisfaction_model(
         "feature string, importance double",
     ).orderBy(F.desc("importance"), "feature")
     names = IndexToString(inputCol="prediction", outputCol="predicted_satisfaction", labels=indexer.labels)
-    return SatisfactionModel(PipelineModel([assembler, forest, names]), importances, seed)
+    return SatisfactionModel(PipelineModel([assembler, forest, names]), importances, complete, seed)

@@ -88,13 +88,20 @@ def _negates(word: Column, modifiers: Modifiers) -> Column:
     return F.coalesce(word.isin(*modifiers.negations) | word.endswith("n't"), F.lit(False))
 
 
-def _after_words(valence: Column, modifiers: Modifiers) -> Column:
-    """Valence after the three words before the term, nearest first."""
-    for word, damping in zip(("p1", "p2", "p3"), DAMPING):
-        word = F.col(word)
-        valence = valence + _intensity(word, modifiers) * damping * _sign(valence)
-        valence = F.when(_negates(word, modifiers), valence * NEGATION).otherwise(valence)
-    return valence
+def _after_words(tokens: DataFrame, modifiers: Modifiers) -> DataFrame:
+    """Change the valence by the three words before the term, nearest first.
+
+    One projection per word: as a single expression the valence would be
+    repeated in every branch and the generated method would grow too large to
+    be compiled.
+    """
+    for name, damping in zip(("p1", "p2", "p3"), DAMPING):
+        word, valence = F.col(name), F.col("valence")
+        factor = F.when(_negates(word, modifiers), NEGATION).otherwise(1.0)
+        tokens = tokens.withColumn(
+            "valence", (valence + _intensity(word, modifiers) * damping * _sign(valence)) * factor
+        )
+    return tokens
 
 
 def _in_capitals(token: Column) -> Column:
@@ -152,17 +159,16 @@ def score_texts(
         F.posexplode(F.arrays_zip("token", "word", "p1", "p2", "p3")).alias("at", "t"),
     ).select(*keep, "side", "but_at", "mixed_case", "punctuation", "at", "t.*")
     lexicon = broadcast_if_small(lexicon.select(F.col("term").alias("word"), "valence"))
-    valence = F.col("valence") + F.when(
+    capital_bonus = F.when(
         F.col("mixed_case") & _in_capitals(F.col("token")), _sign(F.col("valence")) * CAPITALS
     ).otherwise(0.0)
     shift = (
-        F.when((F.col("but_at") >= 0) & (F.col("at") < F.col("but_at")), BEFORE_BUT)
-        .when((F.col("but_at") >= 0) & (F.col("at") > F.col("but_at")), AFTER_BUT)
-        .otherwise(1.0)
-    )
-    weighted = tokens.join(lexicon, "word", "left").withColumn(
-        "weight", F.when(F.col("valence").isNotNull(), _after_words(valence, modifiers) * shift)
+        F.when(F.col("but_at").isNull() | (F.col("but_at") < 0) | (F.col("at") == F.col("but_at")), 1.0)
+        .when(F.col("at") < F.col("but_at"), BEFORE_BUT)
+        .otherwise(AFTER_BUT)
     )
+    found = tokens.join(lexicon, "word", "left").withColumn("valence", F.col("valence") + capital_bonus)
+    weighted = _after_words(found, modifiers).withColumn("weight", F.col("valence") * shift)
     sums = []
     for i, column in enumerate(columns):
         side = F.col("side") == i

@@ -53,15 +53,14 @@ def term_counts(rows: DataFrame, column: str, stop_words: Sequence[str] = ()) ->
     Each text gives its words once as occurrences and its distinct words once
     as a document, so both counts come from one pass over the texts.
     """
-    tokens = rows.select(words(F.col(column)).alias("token")).select(
-        "token", F.array_distinct("token").alias("once")
+    tokens = rows.select(words(F.col(column)).alias("tokens")).select(
+        "tokens", F.array_distinct("tokens").alias("once")
     )
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    entries = F.concat(
-        F.transform("token", lambda t: F.struct(t.alias("term"), one.alias("n"), zero.alias("d"))),
-        F.transform("once", lambda t: F.struct(t.alias("term"), zero.alias("n"), one.alias("d"))),
+    both = F.array(
+        F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("tokens").alias("terms")),
+        F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.col("once").alias("terms")),
     )
-    counted = tokens.select(F.inline(entries))
+    counted = tokens.select(F.inline(both)).select("n", "d", F.explode("terms").alias("term"))
     if stop_words:
         counted = counted.filter(~F.col("term").isin(*stop_words))
     return counted.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"))

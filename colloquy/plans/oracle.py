@@ -219,13 +219,14 @@ oracle(
     "features clients",
     """SELECT client_id, total_messages, active_days, round(avg_message_length, 4) AS avg_message_length,
     round(avg_response_time, 4) AS avg_response_time, session_count, unique_topics,
-    round(avg_sentiment, 4) AS avg_sentiment, name FROM features LEFT JOIN clients USING (client_id)""",
+    round(avg_sentiment, 10) AS avg_sentiment, name FROM features LEFT JOIN clients USING (client_id)""",
 )
-ROUNDED = ("avg_sentiment", "span_hours", "avg_messages_per_session", "engagement_diversity", "avg_response_time", "session_length")
+ROUNDED = ("span_hours", "avg_messages_per_session", "engagement_diversity", "avg_response_time", "session_length")
 oracle(
     "satisfaction_features",
     "satisfaction",
-    "SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in ROUNDED) + ") FROM satisfaction",
+    "SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in ROUNDED)
+    + ", round(avg_sentiment, 10) AS avg_sentiment) FROM satisfaction",
 )
 oracle(
     "satisfaction_labels",

@@ -197,7 +197,8 @@ def _behavior(spark, folder):
 
 @query
 def user_behavior(spark, folder):
-    return rounded(_behavior(spark, folder), "avg_message_length", "avg_response_time", "avg_sentiment", digits=4)
+    behavior = rounded(_behavior(spark, folder), "avg_message_length", "avg_response_time", digits=4)
+    return rounded(behavior, "avg_sentiment", digits=10)
 
 
 def _satisfaction(spark, folder):
@@ -209,9 +210,8 @@ def _satisfaction(spark, folder):
 
 @query
 def satisfaction_features(spark, folder):
-    return rounded(
+    features = rounded(
         _satisfaction(spark, folder),
-        "avg_sentiment",
         "span_hours",
         "avg_messages_per_session",
         "engagement_diversity",
@@ -219,6 +219,7 @@ def satisfaction_features(spark, folder):
         "session_length",
         digits=4,
     )
+    return rounded(features, "avg_sentiment", digits=10)
 
 
 @query

@@ -66,7 +66,9 @@ def conversation_chats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
+    """Documents as questions without an answer; long texts are heavy per row, so few files are spread."""
+    documents = read_source(spark, "documents", folder=folder, spread_by="doc_id")
+    return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
 
 
 def all_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,13 +17,16 @@ def read_source(
     jdbc: Mapping[str, str] | None = None,
     folder: str | None = None,
     split: tuple[str, int, int, int] | None = None,
+    spread_by: str | None = None,
 ) -> DataFrame:
     """Read a table or a query's result; the query wins when both are given.
 
     ``jdbc`` holds the connection options (url, user, password, driver), which
     are never constants here. ``split`` = (column, lower, upper, partitions)
     reads a JDBC table or query in parallel. Without ``jdbc``, a table is
-    ``<folder>/<table>.parquet`` and a query runs on the registered views.
+    ``<folder>/<table>.parquet`` and a query runs on the registered views. A
+    table of fewer files than cores would leave cores idle in work that is heavy
+    per row; ``spread_by`` then hashes its rows over all cores.
     """
     if not table and not query:
         raise ValueError("give a table or a query")
@@ -33,7 +36,11 @@ def read_source(
         return spark.sql(query)
     if folder is None:
         raise ValueError("a table needs a folder or JDBC options")
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    frame = spark.read.parquet(f"{folder}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and len(frame.inputFiles()) < cores:
+        return frame.repartition(cores, spread_by)
+    return frame
 
 
 def jdbc_options(table, query, jdbc, split=None) -> dict[str, str]:

@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.timeline import GAP_MINUTES
 from ..functions.times import seconds_between
+from ..operators.timeline import GAP_MINUTES
+
+
+def _with_event_time(chats: DataFrame, delay: str) -> DataFrame:
+    """Watermarks need a TIMESTAMP; with the session time zone UTC the clock reads the same."""
+    return chats.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
 
 
 def streaming_messages_per_day(
@@ -20,7 +25,7 @@ def streaming_messages_per_day(
     later than ``delay`` are dropped. In update mode each change is emitted.
     """
     return (
-        chats.withWatermark("created_at", delay)
+        _with_event_time(chats, delay)
         .groupBy(F.window("created_at", "1 day"), *by)
         .agg(F.count("question").alias("message_count"))
         .select(*by, F.to_date("window.start").alias("date"), "message_count")
@@ -38,14 +43,15 @@ def streaming_session_lengths(
     """
     gap = f"{gap_minutes} minutes"
     return (
-        chats.filter(F.col("client_id").isNotNull())
-        .withWatermark("created_at", delay)
+        _with_event_time(chats.filter(F.col("client_id").isNotNull()), delay)
         .groupBy("client_id", F.session_window("created_at", gap).alias("session"))
         .agg(F.count(F.lit(1)).alias("messages"))
         .select(
             "client_id",
-            F.col("session.start").alias("session_start"),
-            (F.col("session.end") - F.expr(f"INTERVAL {gap_minutes} MINUTES")).alias("session_end"),
+            F.col("session.start").cast("timestamp_ntz").alias("session_start"),
+            (F.col("session.end") - F.expr(f"INTERVAL {gap_minutes} MINUTES"))
+            .cast("timestamp_ntz")
+            .alias("session_end"),
             "messages",
         )
         .withColumn("session_length_min", seconds_between("session_start", "session_end") / 60)
