@@ -46,7 +46,7 @@ def with_neighbors(
         result = _shifted(cold, shifts, [key], order).unionByName(_shifted_hot(keyed, hot, shifts, key, order))
     if keep_keyless:
         result = result.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
-    return result
+    return result.select(*rows.columns, *shifts)
 
 
 def _shifted(rows, shifts, partition, order):
