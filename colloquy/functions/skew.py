@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 5_000_000
-# A table is broadcast only when it is counted to hold no more rows than this.
+# A table is broadcast only when it is counted to hold no more rows than this;
+# the tables in question have two or three narrow columns.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -48,7 +49,9 @@ def find_hot_keys(rows: DataFrame, key: str, max_rows: int = HOT_ROWS) -> HotKey
 
 
 def small_enough(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return table.limit(max_rows + 1).count() <= max_rows
+    """Counted, not estimated. A full count is cheaper than a limited one,
+    which would bring max_rows rows of every partition to one task."""
+    return table.count() <= max_rows
 
 
 def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

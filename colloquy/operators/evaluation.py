@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import broadcast_if_small
+
 SPLIT_BUCKETS = 10_000
 
 
@@ -49,7 +51,8 @@ def in_test_set(key: str, *, test_share: float = 0.2, seed: int = 42) -> Column:
 def encode_labels(rows: DataFrame, label: str, output: str) -> DataFrame:
     """Add the 0-based alphabetical position of each label.
 
-    The ranking runs over the distinct labels only.
+    The ranking runs over the distinct labels only, and their codes are
+    broadcast, so a label that most rows share moves no rows.
     """
     codes = (
         rows.filter(F.col(label).isNotNull())
@@ -57,7 +60,7 @@ def encode_labels(rows: DataFrame, label: str, output: str) -> DataFrame:
         .distinct()
         .withColumn(output, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
     )
-    return rows.join(codes, label, "left")
+    return rows.join(broadcast_if_small(codes), label, "left")
 
 
 def classification_report(predictions: DataFrame, label: str, prediction: str) -> DataFrame:

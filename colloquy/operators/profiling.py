@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 LONG_TEXT = 64
 
 
-def _as_text(column: str, kind: T.DataType) -> Column:
+def _as_text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.col(column).cast("string")
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return value.cast("string")
 
 
 def _is_number(kind: T.DataType) -> bool:
@@ -32,11 +32,10 @@ def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFra
     aggregates, cells = [F.count(F.lit(1)).alias("rows")], []
     for i, field in enumerate(table.schema.fields):
         number = _is_number(field.dataType)
-        value = F.col(field.name) if number else _as_text(field.name, field.dataType)
         aggregates += [
             F.count_if(F.col(field.name).isNull()).alias(f"nulls{i}"),
-            F.min(value).alias(f"low{i}"),
-            F.max(value).alias(f"high{i}"),
+            F.min(field.name).alias(f"low{i}"),
+            F.max(field.name).alias(f"high{i}"),
         ]
         if not exact:
             aggregates.append(F.approx_count_distinct(field.name).alias(f"distinct{i}"))
@@ -50,8 +49,8 @@ def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFra
                 (none if exact else F.col(f"distinct{i}")).cast("long").alias("distinct_count"),
                 (low if number else none).cast("double").alias("min_number"),
                 (high if number else none).cast("double").alias("max_number"),
-                (none if number else low).cast("string").alias("min_text"),
-                (none if number else high).cast("string").alias("max_text"),
+                (none.cast("string") if number else _as_text(low, field.dataType)).alias("min_text"),
+                (none.cast("string") if number else _as_text(high, field.dataType)).alias("max_text"),
             )
         )
     profile = table.agg(*aggregates).select(F.inline(F.array(*cells)))
@@ -75,7 +74,7 @@ def _distinct_counts(table: DataFrame) -> DataFrame:
     """
     cells = []
     for field in table.schema.fields:
-        text = _as_text(field.name, field.dataType)
+        text = F.col(field.name).cast("string")
         if isinstance(field.dataType, T.StringType):
             text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
         cells.append(F.struct(F.lit(field.name).alias("column_name"), text.alias("value")))
@@ -95,7 +94,7 @@ def top_values(table: DataFrame, name: str, columns: Sequence[str], *, n: int =
     """
     parts = []
     for column in columns:
-        text = _as_text(column, table.schema[column].dataType)
+        text = _as_text(F.col(column), table.schema[column].dataType)
         parts.append(
             table.filter(F.col(column).isNotNull())
             .groupBy(text.alias("value"))

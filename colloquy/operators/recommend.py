@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules
@@ -78,40 +78,33 @@ def topic_similarity(chats: DataFrame, topics: Sequence[str]) -> DataFrame:
 def top_client_similarity(chats: DataFrame, *, n: int = 10) -> DataFrame:
     """Correlation over the topics of every two of the n most active clients.
 
-    The clients become n columns of a table with one row per topic, so no
-    pairs of rows are formed.
+    The n keys come to the driver and become n columns of a table with one row
+    per topic, so no pairs of rows are formed. For other clients see
+    :func:`client_topic_profiles` and :func:`similarity_of`.
     """
-    ranked = (
-        chats.filter(F.col("client_id").isNotNull())
+    top = [
+        row.client_id
+        for row in chats.filter(F.col("client_id").isNotNull())
         .groupBy("client_id")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .orderBy(F.desc("_rows"), "client_id")
         .limit(n)
-        .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_rows"), "client_id")))
-        .select("client_id", "rank")
-    )
-    # n rows, so broadcast.
-    ranked_rows = chats.join(F.broadcast(ranked), "client_id", "left")
-    per_topic = ranked_rows.groupBy("topic").agg(
-        *[F.count_if(F.col("rank") == r).alias(f"r{r}") for r in range(1, n + 1)]
-    )
-    pairs = [(a, b) for a in range(1, n + 1) for b in range(a + 1, n + 1)]
-    columns = [_pearson(F.col(f"r{a}"), F.col(f"r{b}")).alias(f"c{a}_{b}") for a, b in pairs]
-    cells = [
-        F.struct(F.lit(a).alias("rank_a"), F.lit(b).alias("rank_b"), F.col(f"c{a}_{b}").alias("correlation"))
-        for a, b in pairs
+        .collect()
     ]
-    ends = [
-        F.broadcast(ranked.select(F.col("client_id").alias(f"client_{s}"), F.col("rank").alias(f"rank_{s}")))
-        for s in ("a", "b")
+    per_topic = chats.groupBy("topic").agg(*[F.count_if(F.col("client_id") == c).alias(f"k{c}") for c in top])
+    pairs = [(a, b) for i, a in enumerate(top) for b in top[i + 1 :]]
+    if not pairs:
+        return chats.sparkSession.createDataFrame([], "client_a long, client_b long, correlation double")
+    columns = [_pearson(F.col(f"k{a}"), F.col(f"k{b}")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    cells = [
+        F.struct(
+            F.lit(a).cast("long").alias("client_a"),
+            F.lit(b).cast("long").alias("client_b"),
+            F.col(f"c{i}").alias("correlation"),
+        )
+        for i, (a, b) in enumerate(pairs)
     ]
-    return (
-        per_topic.agg(*columns)
-        .select(F.inline(F.array(*cells)))
-        .join(ends[0], "rank_a")
-        .join(ends[1], "rank_b")
-        .select("client_a", "client_b", "correlation")
-    )
+    return per_topic.agg(*columns).select(F.inline(F.array(*cells)))
 
 
 def client_topic_profiles(chats: DataFrame, topics: Sequence[str]) -> DataFrame:

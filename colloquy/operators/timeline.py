@@ -24,6 +24,7 @@ def with_neighbors(
     order: Sequence[str] = ORDER,
     keep_keyless: bool = False,
     max_rows: int = HOT_ROWS,
+    hot: HotKeys | None | str = "find",
 ) -> DataFrame:
     """Add columns taken from the row before (-1) or after (+1) of the same key.
 
@@ -35,9 +36,11 @@ def with_neighbors(
     ``max_rows`` rows does not fit one task: its rows are range-partitioned by
     (key, order) into slices of even size, written once so that the slices are
     stable, windowed within a slice, and the outermost rows of each slice take
-    their neighbour from a small table of slice edges.
+    their neighbour from a small table of slice edges. ``hot`` passes on the
+    result of find_hot_keys when it is known already.
     """
-    hot = find_hot_keys(rows, key, max_rows)
+    if hot == "find":
+        hot = find_hot_keys(rows, key, max_rows)
     keyed = rows.filter(F.col(key).isNotNull())
     if hot is None:
         result = _shifted(keyed, shifts, [key], order)
@@ -91,7 +94,9 @@ def starts_session(prev_time, time, gap_minutes: float = GAP_MINUTES):
 
 
 def _cell(gap_minutes: float):
-    return F.floor(micros("created_at") / F.lit(int(gap_minutes * 60_000_000)))
+    """Start of the time cell, as wide as the gap, that holds the row."""
+    time, width = micros("created_at"), F.lit(int(gap_minutes * 60_000_000))
+    return time - F.pmod(time, width)
 
 
 def _session_cells(chats: DataFrame, gap_minutes: float) -> DataFrame:
@@ -146,7 +151,8 @@ def sessionize(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES, max_rows:
     window per client; with hot clients the ids come from the session cells by
     an equi-join on (client, cell).
     """
-    if find_hot_keys(chats, KEY, max_rows) is None:
+    hot = find_hot_keys(chats, KEY, max_rows)
+    if hot is None:
         w = Window.partitionBy(KEY).orderBy(*ORDER)
         start = starts_session(F.col("prev_time"), F.col("created_at"), gap_minutes).cast("long")
         rows = (
@@ -157,7 +163,7 @@ def sessionize(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES, max_rows:
     else:
         cells = _session_cells(chats, gap_minutes).select(KEY, "_cell", "session_id")
         rows = (
-            with_neighbors(chats, {"prev_time": ("created_at", -1)}, max_rows=max_rows)
+            with_neighbors(chats, {"prev_time": ("created_at", -1)}, hot=hot)
             .withColumn("_cell", _cell(gap_minutes))
             .join(cells, [KEY, "_cell"], "left")
         )
