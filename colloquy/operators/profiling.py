@@ -5,21 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_TEXT = 64
 
 
-def _as_text(value: Column, kind: T.DataType) -> Column:
+def _as_text(value: str, kind: T.DataType) -> str:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return value.cast("string")
+        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    return f"CAST({value} AS STRING)"
 
 
-def _is_number(kind: T.DataType) -> bool:
-    return isinstance(kind, T.NumericType)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFrame:
@@ -29,44 +33,41 @@ def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFra
     come from one pass with a fixed-size buffer per column; the distinct count
     is estimated in that pass, or counted exactly in a second one.
     """
-    aggregates, cells = [F.count(F.lit(1)).alias("rows")], []
+    aggregates, cells = ["count(1) AS rows"], []
     for i, field in enumerate(table.schema.fields):
-        number = _is_number(field.dataType)
+        column, kind = _quoted(field.name), field.dataType
         aggregates += [
-            F.count_if(F.col(field.name).isNull()).alias(f"nulls{i}"),
-            F.min(field.name).alias(f"low{i}"),
-            F.max(field.name).alias(f"high{i}"),
+            f"count_if({column} IS NULL) AS nulls{i}",
+            f"min({column}) AS low{i}",
+            f"max({column}) AS high{i}",
         ]
+        distinct = "CAST(NULL AS BIGINT)"
         if not exact:
-            aggregates.append(F.approx_count_distinct(field.name).alias(f"distinct{i}"))
-        low, high, none = F.col(f"low{i}"), F.col(f"high{i}"), F.lit(None)
+            aggregates.append(f"approx_count_distinct({column}) AS distinct{i}")
+            distinct = f"distinct{i}"
+        number = isinstance(kind, T.NumericType)
+        bounds = []
+        for end, source in (("min", f"low{i}"), ("max", f"high{i}")):
+            bounds.append(f"CAST({source if number else 'NULL'} AS DOUBLE) AS {end}_number")
+            bounds.append(f"{'CAST(NULL AS STRING)' if number else _as_text(source, kind)} AS {end}_text")
         cells.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("column_type"),
-                F.col("rows").alias("row_count"),
-                F.col(f"nulls{i}").alias("null_count"),
-                (none if exact else F.col(f"distinct{i}")).cast("long").alias("distinct_count"),
-                (low if number else none).cast("double").alias("min_number"),
-                (high if number else none).cast("double").alias("max_number"),
-                (none.cast("string") if number else _as_text(low, field.dataType)).alias("min_text"),
-                (none.cast("string") if number else _as_text(high, field.dataType)).alias("max_text"),
-            )
+            f"struct({_literal(name)} AS table_name, {_literal(field.name)} AS column_name, "
+            f"{_literal(kind.simpleString())} AS column_type, rows AS row_count, nulls{i} AS null_count, "
+            f"{distinct} AS estimate, {', '.join(bounds)})"
         )
-    profile = table.agg(*aggregates).select(F.inline(F.array(*cells)))
+    profile = table.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(cells)}))")
+    count = "estimate"
     if exact:
-        columns = profile.columns
-        profile = (
-            profile.drop("distinct_count")
-            .join(_distinct_counts(table), "column_name", "left")
-            .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-            .select(*columns)
-        )
-    return profile.select(F.lit(name).alias("table_name"), "*")
+        profile = profile.join(_distinct_counts(table), "column_name", "left")
+        count = "coalesce(n, 0L)"
+    return profile.selectExpr(
+        "table_name", "column_name", "column_type", "row_count", "null_count", f"{count} AS distinct_count",
+        "min_number", "max_number", "min_text", "max_text",
+    )
 
 
 def _distinct_counts(table: DataFrame) -> DataFrame:
-    """Distinct non-null values per column: column_name, distinct_count.
+    """Distinct non-null values per column: column_name, n.
 
     The cells become (column, value) rows, made distinct before and after one
     shuffle. Long texts are compared by their SHA-256, so that whole texts are
@@ -74,16 +75,17 @@ def _distinct_counts(table: DataFrame) -> DataFrame:
     """
     cells = []
     for field in table.schema.fields:
-        text = F.col(field.name).cast("string")
+        column = _quoted(field.name)
+        value = f"CAST({column} AS STRING)"
         if isinstance(field.dataType, T.StringType):
-            text = F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
-        cells.append(F.struct(F.lit(field.name).alias("column_name"), text.alias("value")))
+            value = f"CASE WHEN length({column}) > {LONG_TEXT} THEN sha2({column}, 256) ELSE {column} END"
+        cells.append(f"struct({_literal(field.name)} AS column_name, {value} AS value)")
     return (
-        table.select(F.inline(F.array(*cells)))
-        .filter(F.col("value").isNotNull())
+        table.selectExpr(f"inline(array({', '.join(cells)}))")
+        .filter("value IS NOT NULL")
         .distinct()
         .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("distinct_count"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -94,9 +96,9 @@ def top_values(table: DataFrame, name: str, columns: Sequence[str], *, n: int =
     """
     parts = []
     for column in columns:
-        text = _as_text(F.col(column), table.schema[column].dataType)
+        text = F.expr(_as_text(_quoted(column), table.schema[column].dataType))
         parts.append(
-            table.filter(F.col(column).isNotNull())
+            table.filter(F.col(_quoted(column)).isNotNull())
             .groupBy(text.alias("value"))
             .agg(F.count(F.lit(1)).alias("frequency"))
             .orderBy(F.desc("frequency"), "value")
