@@ -168,10 +168,10 @@ oracle(
 oracle(
     "sessionized_chats",
     "sessioned",
-    f"""SELECT id, client_id, created_at, prev_time, round({_seconds('prev_time', 'created_at')} / 60, 6) AS gap,
+    f"""SELECT id, client_id, created_at, prev_time, round({_seconds('prev_time', 'created_at')} / 60, 9) AS gap,
     session_id FROM sessioned""",
 )
-oracle("session_lengths", "sessions", f"SELECT *, round({LENGTH_MIN}, 6) AS session_length_min FROM sessions")
+oracle("session_lengths", "sessions", f"SELECT *, round({LENGTH_MIN}, 9) AS session_length_min FROM sessions")
 oracle(
     "avg_session_length",
     "sessions",
@@ -509,6 +509,6 @@ oracle(
 oracle(
     "streaming_sessions",
     "sessions",
-    f"""SELECT client_id, session_start, session_end, messages, round({LENGTH_MIN}, 6) AS session_length_min
+    f"""SELECT client_id, session_start, session_end, messages, round({LENGTH_MIN}, 9) AS session_length_min
     FROM sessions WHERE session_end + INTERVAL 30 MINUTES <= (SELECT max(created_at) FROM chats) - INTERVAL 1 HOUR""",
 )

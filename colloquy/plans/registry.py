@@ -130,12 +130,12 @@ def user_engagement(spark, folder):
 @query
 def sessionized_chats(spark, folder):
     rows = timeline.sessionize(events(spark, folder))
-    return rounded(rows.drop("question", "answer"), "gap")
+    return rounded(rows.drop("question", "answer"), "gap", digits=9)
 
 
 @query
 def session_lengths(spark, folder):
-    return rounded(timeline.session_lengths(events(spark, folder)), "session_length_min")
+    return rounded(timeline.session_lengths(events(spark, folder)), "session_length_min", digits=9)
 
 
 @query
@@ -517,4 +517,4 @@ def streaming_sessions(spark, folder):
     out = new_folder(spark, "sessions")
     report = streaming.streaming_session_lengths(_event_stream(spark, folder))
     streaming.stream_to_table(report, out, checkpoint=new_folder(spark, "sessions-state"))
-    return rounded(spark.read.schema(report.schema).parquet(out), "session_length_min")
+    return rounded(spark.read.schema(report.schema).parquet(out), "session_length_min", digits=9)
