@@ -7,12 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 5_000_000
 # A table is broadcast only when it is counted to hold no more rows than this;
 # the tables in question have two or three narrow columns.
 BROADCAST_ROWS = 1_000_000
+# Up to this many hot keys are brought to the driver.
+LISTED_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -33,8 +36,8 @@ class HotKeys:
 def find_hot_keys(rows: DataFrame, key: str, max_rows: int = HOT_ROWS) -> HotKeys | None:
     """The keys with more than max_rows rows, or None when there are none.
 
-    Runs one job that reads only the key column, counts before shuffling and
-    brings one row to the driver.
+    Runs one job that reads only the key column and counts before shuffling;
+    the driver gets one row and, if there are few hot keys, these.
     """
     hot = (
         rows.filter(F.col(key).isNotNull())
@@ -45,7 +48,11 @@ def find_hot_keys(rows: DataFrame, key: str, max_rows: int = HOT_ROWS) -> HotKey
     found = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
     if not found.n:
         return None
-    return HotKeys(hot.select(key), found.n, found.rows, max_rows)
+    keys = hot.select(key)
+    if found.n <= LISTED_KEYS:
+        # A short list is kept, so that later joins do not count the table again.
+        keys = rows.sparkSession.createDataFrame(keys.collect(), T.StructType([rows.schema[key]]))
+    return HotKeys(keys, found.n, found.rows, max_rows)
 
 
 def small_enough(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

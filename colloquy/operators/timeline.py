@@ -103,23 +103,28 @@ def _session_cells(chats: DataFrame, gap_minutes: float) -> DataFrame:
     """Messages counted in time cells as wide as the session gap, with session ids.
 
     Two rows in one cell are closer than the gap, so a session never breaks
-    inside a cell and the first, last and count of each cell are enough. The
-    cells are aggregated before the shuffle, and a client has at most
-    (time span / gap) of them, however many rows it has.
+    inside a cell and the first, last and count of each cell are enough. Cells
+    are cut at midnight, so that each lies on one date. They are aggregated
+    before the shuffle, and a client has at most (time span / gap) of them and
+    one more per date, however many rows it has.
     """
     cells = (
         chats.filter(F.col(KEY).isNotNull())
-        .groupBy(KEY, _cell(gap_minutes).alias("_cell"))
+        .groupBy(KEY, _cell(gap_minutes).alias("_cell"), F.to_date("created_at").alias("_date"))
         .agg(
             F.min("created_at").alias("_first"),
             F.max("created_at").alias("_last"),
             F.count(F.lit(1)).alias("_messages"),
+            F.count("question").alias("_questions"),
         )
     )
-    w = Window.partitionBy(KEY).orderBy("_cell")
+    w = Window.partitionBy(KEY).orderBy("_first")
     starts = starts_session(F.lag("_last").over(w), F.col("_first"), gap_minutes).cast("long")
-    return cells.withColumn("_start", starts).withColumn(
-        "session_id", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    new_date = F.coalesce(F.lag("_date").over(w) != F.col("_date"), F.lit(True)).cast("long")
+    return (
+        cells.withColumn("_start", starts)
+        .withColumn("_new_date", new_date)
+        .withColumn("session_id", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     )
 
 
@@ -137,6 +142,27 @@ def session_lengths(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES) -> Da
     )
 
 
+def client_activity(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES) -> DataFrame:
+    """Questions, active dates, sessions and mean session length per client.
+
+    All four come from the cells: one pass over the rows, and no shuffle after
+    the one that brings a client's cells together.
+    """
+    length = seconds_between(F.min("_first"), F.max("_last")) / 60
+    return (
+        _session_cells(chats, gap_minutes)
+        .groupBy(KEY, "session_id")
+        .agg(F.sum("_questions").alias("q"), F.sum("_new_date").alias("d"), length.alias("length"))
+        .groupBy(KEY)
+        .agg(
+            F.sum("q").alias("message_count"),
+            F.sum("d").alias("active_days"),
+            F.count(F.lit(1)).alias("sessions"),
+            F.avg("length").alias("mean_session_min"),
+        )
+    )
+
+
 def avg_session_length(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES) -> DataFrame:
     """Mean session length in minutes; a session of one message counts as 0."""
     return session_lengths(chats, gap_minutes=gap_minutes).agg(
@@ -149,7 +175,7 @@ def sessionize(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES, max_rows:
 
     Rows without a client keep NULLs. Without hot clients everything is one
     window per client; with hot clients the ids come from the session cells by
-    an equi-join on (client, cell).
+    an equi-join on the cell.
     """
     hot = find_hot_keys(chats, KEY, max_rows)
     if hot is None:
@@ -161,11 +187,12 @@ def sessionize(chats: DataFrame, *, gap_minutes: float = GAP_MINUTES, max_rows:
             .withColumn("session_id", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         )
     else:
-        cells = _session_cells(chats, gap_minutes).select(KEY, "_cell", "session_id")
+        cells = _session_cells(chats, gap_minutes).select(KEY, "_cell", "_date", "session_id")
         rows = (
             with_neighbors(chats, {"prev_time": ("created_at", -1)}, hot=hot)
             .withColumn("_cell", _cell(gap_minutes))
-            .join(cells, [KEY, "_cell"], "left")
+            .withColumn("_date", F.to_date("created_at"))
+            .join(cells, [KEY, "_cell", "_date"], "left")
         )
     rows = rows.withColumn("gap", seconds_between("prev_time", "created_at") / 60).select(
         *chats.columns, "prev_time", "gap", "session_id"

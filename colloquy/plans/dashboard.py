@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import TOPIC_DEFAULT, TOPIC_RULES, Rules, with_topic
-from ..operators import engagement, filters, sentiment, timeline, volume
+from ..operators import engagement, sentiment, timeline, volume
+from ..operators.names import with_names
 
 
 def prepare(chats: DataFrame, lexicon: DataFrame, rules: Rules = TOPIC_RULES, default: str = TOPIC_DEFAULT) -> DataFrame:
@@ -27,13 +28,11 @@ def overall_reports(chats: DataFrame, clients: DataFrame) -> dict[str, DataFrame
     }
 
 
-def filtered_reports(prepared: DataFrame, clients: DataFrame, chosen: filters.Filters) -> dict[str, DataFrame]:
-    """The tables over the chosen rows; ``prepared`` comes from :func:`prepare`.
-
-    Every table reads the same filtered rows; persist or write ``prepared``
-    when many choices follow each other.
+def filtered_reports(rows: DataFrame, clients: DataFrame) -> dict[str, DataFrame]:
+    """The tables over the chosen rows, which :func:`apply_filters` gives
+    for chats from :func:`prepare`. Persist or write ``rows`` before, as every
+    table reads them.
     """
-    rows = filters.apply_filters(prepared, clients, chosen)
     return {
         "messages_per_day": volume.messages_per_day(rows).orderBy("date"),
         "messages_per_month": volume.messages_per_month(rows),
@@ -46,8 +45,5 @@ def filtered_reports(prepared: DataFrame, clients: DataFrame, chosen: filters.Fi
 
 
 def client_overview(chats: DataFrame, clients: DataFrame) -> DataFrame:
-    """Engagement of each client with its number and mean length of sessions."""
-    sessions = timeline.session_lengths(chats).groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("sessions"), F.avg("session_length_min").alias("mean_session_min")
-    )
-    return engagement.user_engagement(chats, clients).join(sessions, "client_id", "left")
+    """Activity of each client with its name, most active first."""
+    return with_names(timeline.client_activity(chats), clients).orderBy(F.desc("message_count"), "client_id")

@@ -6,7 +6,7 @@ import pytest
 from compare import database, differences
 
 import __spark_entry__ as contract
-from colloquy.operators.filters import Filters
+from colloquy.operators.filters import Filters, apply_filters
 from colloquy.plans import dashboard, fixtures, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,10 +43,12 @@ def test_dashboard(spark):
     chats, people = registry.events(spark, FOLDER), registry.clients(spark, FOLDER)
     prepared = dashboard.prepare(chats, registry.lexicon(spark), fixtures.TOPICS, "Other")
     chosen = Filters("2024-01-01", "2024-01-31", topics=("Navigation",))
-    tables = dashboard.filtered_reports(prepared, people, chosen) | dashboard.overall_reports(prepared, people)
+    chosen_rows = apply_filters(prepared, people, chosen).persist()
+    tables = dashboard.filtered_reports(chosen_rows, people) | dashboard.overall_reports(prepared, people)
     rows = prepared.filter("topic = 'Navigation'").count()
     assert tables["data_bounds"].first().row_count == rows
     assert tables["messages_per_topic"].collect() == [("Navigation", rows)]
     assert tables["top_users"].count() <= 10
     assert sum(r["count"] for r in tables["sentiment_distribution"].collect()) == rows
     assert tables["topic_performance"].count() == 3
+    assert tables["user_engagement"].count() == chats.select("client_id").distinct().count()

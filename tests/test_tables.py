@@ -35,6 +35,8 @@ def test_write_and_read(spark, tmp_path, chats):
     frame = chats([(1, 1, "2024-01-01 10:00:00", "q", None), (2, 2, "2024-01-02 10:00:00", None, "a")])
     tables.write_reports({"chats": frame.withColumn("day", frame.created_at.cast("date"))}, str(tmp_path), partition_by={"chats": ["day"]})
     assert (tmp_path / "chats" / "day=2024-01-02").is_dir()
+    tables.write_reports({"plain": frame}, str(tmp_path / "reports"))
+    assert spark.read.parquet(str(tmp_path / "reports" / "plain")).count() == 2
     frame.write.parquet(f"{tmp_path}/t.parquet")
     back = tables.read_chats(spark, table="t", folder=str(tmp_path))
     assert sorted(rows_of(back)) == sorted(rows_of(frame))

@@ -98,6 +98,31 @@ def test_session_table_equals_sessionized_rows(chats):
     assert sorted(rows_of(by_row)) == sorted(rows_of(table))
 
 
+def test_activity_equals_sessionized_rows(chats):
+    rows = random_rows(6)
+    by_row = (
+        timeline.sessionize(chats(rows))
+        .filter("client_id IS NOT NULL")
+        .groupBy("client_id")
+        .agg(F.count("question"), F.count_distinct(F.to_date("created_at")), F.max("session_id"))
+    )
+    got = timeline.client_activity(chats(rows)).drop("mean_session_min")
+    assert sorted(rows_of(got)) == sorted(rows_of(by_row))
+
+
+def test_session_over_midnight(chats):
+    frame = chats([(1, 1, "2024-01-01 23:50:00", "a", None), (2, 1, "2024-01-02 00:10:00", "a", None)])
+    assert rows_of(timeline.client_activity(frame)) == [(1, 2, 2, 1, 20.0)]
+
+
+def test_partitions_and_order_do_not_matter(chats):
+    rows = random_rows(7, n=200)
+    frame = chats(rows)
+    shuffled = chats(rows[::-1]).repartition(7, "question")
+    for op in (timeline.session_lengths, timeline.sessionize, engagement.reply_times, engagement.drop_off_rate, engagement.turns):
+        assert sorted(rows_of(op(frame)), key=str) == sorted(rows_of(op(shuffled)), key=str)
+
+
 def test_neighbors_both_ways_on_hot_client(chats):
     rows = random_rows(4)
     frame = chats(rows).withColumn("sender", sender())
