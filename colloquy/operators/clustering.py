@@ -23,6 +23,7 @@ SEGMENT_FEATURES = (
     "avg_response_time", "session_count", "unique_topics",
 )
 MAX_SEGMENTS = 5
+FIT_PARTITIONS = 4096
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,12 @@ class Projection:
 
 
 def fit_projection(rows: DataFrame, features: str = "features") -> Projection:
-    """The driver holds a features x features matrix, never rows."""
+    """The driver holds a features x features matrix, never rows.
+
+    Each partition sends such a matrix up a two-level tree, so their number is
+    bounded before the fit; coalescing reads more per task and shuffles nothing.
+    """
+    rows = rows.select(features).coalesce(FIT_PARTITIONS)
     model = PCA(k=2, inputCol=features, outputCol="_pca").fit(rows)
     mean = rows.select(Summarizer.mean(F.col(features))).first()[0]
     x, y = mean.toArray() @ model.pc.toArray()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.skew import HOT_ROWS, broadcast_if_small
 from ..functions.times import in_days
 from .names import unique_names, with_names_on_rows
+from .sentiment import with_sentiment
 
 
 @dataclass(frozen=True)
@@ -25,16 +26,29 @@ class Filters:
 
 
 def apply_filters(
-    chats: DataFrame, clients: DataFrame, filters: Filters, *, max_rows: int = HOT_ROWS
+    chats: DataFrame,
+    clients: DataFrame,
+    filters: Filters,
+    *,
+    lexicon: DataFrame | None = None,
+    max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The chosen rows with their names.
 
-    An active choice drops rows whose value is NULL. ``chats`` needs the columns
-    topic and question_sentiment_category for the choices that use them.
+    An active choice drops rows whose value is NULL. ``chats`` needs a topic for
+    a choice of topics. With a lexicon the chosen rows get their sentiment here,
+    after the dates and topics have been applied, so other rows are not scored;
+    without one, a choice of sentiments needs question_sentiment_category.
     """
     rows = chats.filter(in_days("created_at", filters.first_date, filters.last_date))
+    if "date" in rows.columns:
+        # Chats written by date: the same days again, to prune partitions.
+        days = [F.to_date(F.lit(day)) for day in (filters.first_date, filters.last_date)]
+        rows = rows.filter(F.col("date").between(*days))
     if filters.topics:
         rows = rows.filter(F.col("topic").isin(*filters.topics))
+    if lexicon is not None:
+        rows = with_sentiment(rows, lexicon)
     if filters.sentiments:
         rows = rows.filter(F.col("question_sentiment_category").isin(*filters.sentiments))
     if not filters.users:

@@ -233,8 +233,9 @@ def satisfaction_labels(spark, folder):
 
 @query
 def filtered_chats(spark, folder):
-    scored = sentiment.with_sentiment(topics(spark, folder), lexicon(spark))
-    return filters.apply_filters(scored, clients(spark, folder), fx.FILTERS)
+    return filters.apply_filters(
+        topics(spark, folder), clients(spark, folder), fx.FILTERS, lexicon=lexicon(spark)
+    )
 
 
 @query
@@ -323,8 +324,7 @@ def sentiment_distribution(spark, folder):
 
 @query
 def sentiment_over_time(spark, folder):
-    scored = sentiment.with_sentiment(topics(spark, folder), lexicon(spark))
-    return sentiment.sentiment_over_time(filters.apply_filters(scored, clients(spark, folder), fx.FILTERS))
+    return sentiment.sentiment_over_time(filtered_chats(spark, folder))
 
 
 @query
@@ -450,6 +450,20 @@ def cluster_terms(spark, folder):
     return _clusters(spark, folder).top_terms()
 
 
+@query
+def cluster_quality(spark, folder):
+    clusters = _clusters(spark, folder)
+    return clusters.assigned.groupBy("topic_cluster").agg(
+        F.count(F.lit(1)).alias("members"), F.lit(clusters.silhouette()).alias("silhouette")
+    )
+
+
+@query
+def segment_scores(spark, folder):
+    scores = clustering.segment_users(_behavior(spark, folder)).scores
+    return spark.createDataFrame(sorted(scores.items()), "k long, silhouette double")
+
+
 @query
 def user_segments(spark, folder):
     return clustering.segment_users(_behavior(spark, folder)).users
@@ -488,6 +502,11 @@ def satisfaction_model(spark, folder):
     return model.predict(labelled).select("client_id", "satisfaction", "predicted_satisfaction", "in_test")
 
 
+@query
+def satisfaction_report(spark, folder):
+    return _satisfaction_model(spark, folder)[0].report()
+
+
 @query
 def feature_importance(spark, folder):
     return _satisfaction_model(spark, folder)[0].importances

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import CHATS, CLIENTS, conform
 
@@ -82,6 +83,21 @@ def register_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None
         table.createOrReplaceTempView(name)
 
 
+def write_chats(chats: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
+    """Write chats partitioned by date, which date filters then prune.
+
+    Ranges of (date, id) give each task few dates and split a date that holds
+    most rows over several tasks.
+    """
+    (
+        chats.withColumn("date", F.to_date("created_at"))
+        .repartitionByRange("date", "id")
+        .write.mode(mode)
+        .partitionBy("date")
+        .parquet(path)
+    )
+
+
 def write_reports(
     reports: Mapping[str, DataFrame],
     folder: str,

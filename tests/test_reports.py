@@ -10,6 +10,7 @@ from colloquy.functions import rules
 from colloquy.functions.text import normalized, occurrences, words
 from colloquy.operators import engagement, filters, names, volume
 from colloquy.schema import CHATS, conform
+from colloquy.sources.tables import write_chats
 
 
 @pytest.fixture
@@ -187,6 +188,22 @@ def test_date_filter_reaches_the_scan(sample, clients, tmp_path, spark, capsys):
     assert "GreaterThanOrEqual(created_at" in plan and "LessThan(created_at" in plan
 
 
+def test_dates_prune_partitions(sample, clients, tmp_path, spark, capsys):
+    write_chats(sample, f"{tmp_path}/chats")
+    chosen = filters.Filters("2023-01-02", "2023-01-03")
+    got = filters.apply_filters(spark.read.parquet(f"{tmp_path}/chats"), clients([(1, "a")]), chosen)
+    assert sorted(r[0] for r in rows_of(got, "id")) == [4, 5, 6]
+    got.explain()
+    assert "PartitionFilters: [isnotnull(date" in capsys.readouterr().out
+
+
+def test_filters_score_the_chosen_rows(sample, clients, spark):
+    lexicon = spark.createDataFrame([("much", 3.0)], "term string, valence double")
+    chosen = filters.Filters("2023-01-01", "2024-12-30", sentiments=("positive",))
+    got = filters.apply_filters(sample, clients([(2, "Bob")]), chosen, lexicon=lexicon)
+    assert rows_of(got, "id", "name") == [(6, "Bob")]
+
+
 def test_contract(spark):
     frame = spark.createDataFrame([(1, 2, "2024-01-01 10:00:00", "q", None, "x")], "id int, client_id int, created_at string, question string, answer string, extra string")
     checked = conform(frame, CHATS)
