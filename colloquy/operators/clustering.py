@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
@@ -136,7 +138,8 @@ def segment_users(
     """Split users into the number of segments, 2 to 5, with the best silhouette.
 
     The smallest k wins a tie. With fewer than three users there is one segment
-    and no position. The per-user table is written once, as every fit reads it.
+    and no position. The per-user table is written once, as every fit reads it;
+    the fits are short jobs on few rows and run side by side.
     """
     behavior = written(behavior, "behavior")
     scaling = fit_scaling(behavior, features)
@@ -146,12 +149,19 @@ def segment_users(
     kept = vectors.select("features").persist()
     try:
         most = min(MAX_SEGMENTS, kept.limit(MAX_SEGMENTS + 1).count() - 1)
-        models = {k: KMeans(k=k, seed=seed, predictionCol="segment").fit(kept) for k in range(2, most + 1)}
-        scores = {k: silhouette(model.transform(kept), cluster="segment") for k, model in models.items()}
+
+        def fit(k: int) -> tuple[KMeansModel, float]:
+            model = KMeans(k=k, seed=seed, predictionCol="segment").fit(kept)
+            return model, silhouette(model.transform(kept), cluster="segment")
+
+        tried = range(2, most + 1)
+        with ThreadPoolExecutor(MAX_SEGMENTS) as pool:
+            fitted = dict(zip(tried, pool.map(inheritable_thread_target(behavior.sparkSession)(fit), tried)))
+        scores = {k: score for k, (_, score) in fitted.items()}
         if not scores:
             return Segments(behavior.withColumn("segment", F.lit(0)), scores)
         best = max(sorted(scores), key=scores.get)
         projection = fit_projection(kept)
     finally:
         kept.unpersist()
-    return Segments(projection.transform(models[best].transform(vectors)).drop("features"), scores)
+    return Segments(projection.transform(fitted[best][0].transform(vectors)).drop("features"), scores)
