@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_forest
+from . import decontaminate, language_id, minhash_forest, piece_encoding
 from .store import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,28 @@ def op3_decontamination(spark, sf_dir):
 def op5_near_duplicates(spark, sf_dir):
     """Components of documents whose sets of word pairs have similarity 0.8 or more."""
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    """Languages predicted by a model of the documents that are not held out."""
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder == 2, F.lit(False)))
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@query
+def op7_sentencepiece(spark, sf_dir):
+    """Documents as SentencePiece ids, and whether these decode to the text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    encoded = piece_encoding.encode(docs, keep=("doc_id", "text_hash"))
+    counted = encoded.select(
+        "doc_id", "text_hash", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids"
+    )
+    return piece_encoding.decode(counted).select(
+        "doc_id",
+        F.when(F.col("decoded").isNotNull(), F.col("n_ids")).alias("n_ids"),
+        "ids_hash",
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
+    )
