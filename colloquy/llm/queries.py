@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_forest, piece_encoding
+from . import decontaminate, language_id, minhash_forest, piece_encoding, quality
 from .store import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,12 @@ def op7_sentencepiece(spark, sf_dir):
         "ids_hash",
         (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
     )
+
+
+@query
+def op10_quality(spark, sf_dir):
+    """Base counts of every document, and the verdict of its group's thresholds."""
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
