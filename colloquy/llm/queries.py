@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_forest, piece_encoding, quality
+from . import decontaminate, language_id, line_dedup, minhash_forest, piece_encoding, quality
 from .store import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,11 @@ def op10_quality(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    """Documents without lines that repeat, or nearly repeat, an earlier line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
