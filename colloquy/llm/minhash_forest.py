@@ -19,7 +19,9 @@ links to others of the group stand in for it.
 Defined results: documents with null or wordless text have an empty set and are
 linked with nothing; rows of equal texts are one class, whatever their ids; rows
 with a null id take part, have a null component if no id is in it, and are kept
-only there; an empty table gives an empty result; other columns are not read.
+only there; rows that repeat id and text are the same document and are all kept
+or all not; of several texts with one id one is kept at most; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,11 +61,12 @@ def _factors(n: int, seed: int) -> np.ndarray:
 
 
 def document_classes(docs: DataFrame, doc_id: str, text: str, words: int, trees: int, depth: int) -> DataFrame:
-    """(id, cls, n, signature, bits) of every row; cls is a digest of the set, null if it is empty."""
+    """(id, version, cls, n, signature, bits) of every row; cls is a digest of the set, null if it is empty."""
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType(
         [
             T.StructField("id", id_type),
+            T.StructField("version", T.LongType()),
             T.StructField("cls", T.BinaryType()),
             T.StructField("n", T.LongType()),
             T.StructField("signature", T.BinaryType()),
@@ -78,7 +81,7 @@ def document_classes(docs: DataFrame, doc_id: str, text: str, words: int, trees:
 
         for batch in batches:
             out = []
-            for hashes, *_ in hashed_texts(text_bytes(batch.column(1)), LOWER_SPLIT_AT_SPACE):
+            for hashes, *_ in hashed_texts(text_bytes(batch.column(2)), LOWER_SPLIT_AT_SPACE):
                 shingles = shingle_set(hashes, words)
                 if not len(shingles):
                     out.append((None, 0, None, None))
@@ -92,10 +95,11 @@ def document_classes(docs: DataFrame, doc_id: str, text: str, words: int, trees:
             columns = list(zip(*out)) if out else [[], [], [], []]
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.names
+                [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.names
             )
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("words")).mapInArrow(run, schema)
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("words"))
+    return rows.mapInArrow(run, schema)
 
 
 def _neighbours(depth: int, floor: int, reach: int, percent: int, least_bits: int):
@@ -299,7 +303,7 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
         )
         checked = written(_confirmed(chosen, sets, percent), "confirmed")
         if checked.isEmpty():
-            return found if found is not None else checked.select("a", "b")
+            return (checked if found is None else found).where("linked").select("a", "b")
         found = checked if found is None else found.unionByName(checked)
         good = found.where("linked").select("a", "b")
         pairs = written(open_pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
@@ -321,28 +325,35 @@ def near_duplicates(
     floor: int = 3,
     reach: int = 2,
 ) -> DataFrame:
-    """<doc_id>, n_shingles, component_id and kept for every row of docs."""
+    """<doc_id>, version, n_shingles, component_id and kept for every row of docs.
+
+    ``version`` is xxhash64 of the text: with the id it names a document.
+    """
     rows = written(document_classes(docs, doc_id, text, words, trees, depth), "classes")
-    # One row of each class stands for it: the one with the least id.
-    least = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max(F.struct("n")).alias("s"))
-    keyed = least.select("cls", "id")
-    chosen = rows.where("cls is not null").join(keyed.withColumnRenamed("id", "first"), "cls")
-    classes = chosen.where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["cls"])
-    classes = written(classes.select("cls", "id", "n", "signature", "bits"), "forest-rows")
+    # The row of the least id stands for its class; null ids come last.
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "version").alias("row")
+    full = rows.where("cls is not null")
+    least = full.groupBy("cls").agg(F.min(row).alias("first"))
+    chosen = full.withColumn("row", row).join(least, "cls").where(F.col("row").eqNullSafe(F.col("first")))
+    chosen = chosen.dropDuplicates(["cls"]).select("cls", "row", "id", "n", "signature", "bits")
+    classes = written(chosen, "forest-rows")
     joined = links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percent)
-    labels = components(joined, "a", "b")
-    # Only classes with links are in labels; the least id of each component is small work.
-    named = labels.join(classes.select(F.col("cls").alias("vertex"), "id"), "vertex")
-    component = named.groupBy("label").agg(F.min("id").alias("component"))
+    # Only classes with links have labels; the least row of each component speaks for it.
+    named = components(joined, "a", "b").join(classes.select(F.col("cls").alias("vertex"), "row"), "vertex")
+    component = named.groupBy("label").agg(F.min("row").alias("component"))
     linked = named.join(component, "label").select(F.col("vertex").alias("cls"), "component")
-    of_class = classes.select("cls", "id").join(linked, "cls", "left").select("cls", F.coalesce("component", "id").alias("component"))
+    of_class = classes.select("cls", "row").join(linked, "cls", "left")
+    of_class = of_class.select("cls", F.coalesce("component", "row").alias("component"))
+    alone = F.col("cls").isNull()
+    kept = F.col("id").eqNullSafe(F.col("component.id")) & (F.col("version") == F.col("component.version"))
     return (
-        rows.select("id", "cls", "n")
+        rows.select("id", "version", "cls", "n")
         .join(of_class, "cls", "left")
         .select(
             F.col("id").alias(doc_id),
+            "version",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-            F.when(F.col("cls").isNull(), F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("component"))).alias("kept"),
+            F.when(alone, F.col("id")).otherwise(F.col("component.id")).alias("component_id"),
+            (alone | kept).alias("kept"),
         )
     )

@@ -43,7 +43,7 @@ def op3_decontamination(spark, sf_dir):
 @query
 def op5_near_duplicates(spark, sf_dir):
     """Components of documents whose sets of word pairs have similarity 0.8 or more."""
-    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("version")
 
 
 @query
