@@ -254,9 +254,8 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
     """(a, b): confirmed links between classes, enough to give all components
     that the candidates give.
 
-    Confirming ships whole sets, so it goes in rounds: the pairs with most votes
-    of each class first, then, four times as many each, those that still join
-    two different components, until none is left.
+    Confirming ships whole sets, so it goes in two rounds: the pair with most votes
+    of each class first, then all those that still join two different components.
     """
     pairs = written(candidates(classes, trees, depth, floor, reach, percent), "candidates")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -280,37 +279,29 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
     # Rows that share an id or a key may bring other sets along, or one set twice.
     sets = sets.join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     sets = written(sets, "sets")
-    found, share, labels = None, 1, None
-    while True:
-        open_pairs = pairs
-        if labels is not None:
-            la = labels.select(F.col("vertex").alias("a"), F.col("label").alias("la"))
-            lb = labels.select(F.col("vertex").alias("b"), F.col("label").alias("lb"))
-            open_pairs = (
-                pairs.join(la, "a", "left").join(lb, "b", "left")
-                .where("coalesce(la, a) <> coalesce(lb, b)")
-                .select("a", "b", "votes")
-            )
-        # A class has at most 2 * reach pairs in each tree, so these windows are small.
-        both = open_pairs.select(F.col("a").alias("v"), "a", "b", "votes").unionByName(
-            open_pairs.select(F.col("b").alias("v"), "a", "b", "votes")
-        )
-        chosen = (
-            both.withColumn("rank", F.expr("row_number() over (partition by v order by votes desc, a, b)"))
-            .where(F.col("rank") <= share)
-            .select("a", "b")
-            .distinct()
-        )
-        checked = written(_confirmed(chosen, sets, percent), "confirmed")
-        if checked.isEmpty():
-            return (checked if found is None else found).where("linked").select("a", "b")
-        found = checked if found is None else found.unionByName(checked)
-        good = found.where("linked").select("a", "b")
-        pairs = written(open_pairs.join(checked, ["a", "b"], "left_anti"), "candidates")
-        if pairs.isEmpty():
-            return good
-        labels = components(good, "a", "b")
-        share *= 4
+    # A class has at most 2 * reach pairs in each tree, so these windows are small.
+    of_ends = pairs.select(F.col("a").alias("v"), "a", "b", "votes").unionByName(
+        pairs.select(F.col("b").alias("v"), "a", "b", "votes")
+    )
+    best = (
+        of_ends.withColumn("rank", F.expr("row_number() over (partition by v order by votes desc, a, b)"))
+        .where("rank = 1")
+        .select("a", "b")
+        .distinct()
+    )
+    checked = written(_confirmed(best, sets, percent), "confirmed")
+    good = checked.where("linked").select("a", "b")
+    labels = components(good, "a", "b")
+    la = labels.select(F.col("vertex").alias("a"), F.col("label").alias("la"))
+    lb = labels.select(F.col("vertex").alias("b"), F.col("label").alias("lb"))
+    rest = (
+        pairs.join(la, "a", "left")
+        .join(lb, "b", "left")
+        .where("coalesce(la, a) <> coalesce(lb, b)")
+        .join(checked, ["a", "b"], "left_anti")
+    )
+    more = written(_confirmed(rest, sets, percent), "confirmed")
+    return good.unionByName(more.where("linked").select("a", "b"))
 
 
 def near_duplicates(
