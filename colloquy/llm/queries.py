@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, minhash_forest, piece_encoding, quality
+from . import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    main_text,
+    minhash_forest,
+    piece_encoding,
+    preference,
+    pseudonyms,
+    quality,
+    separators,
+)
 from .store import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +97,37 @@ def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup_lines(docs, counts=("n_lines", "n_dropped"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    """Tokens of every document, found by scanning the flat token files of all."""
+    return separators.counted(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+@query
+def op4_preference_pairs(spark, sf_dir):
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as prompt and masked completions."""
+    turns = table(spark, sf_dir, "conversations").withColumns(
+        {
+            "pair_id": F.shiftright("conv_id", 1),
+            "side": F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected"),
+        }
+    )
+    pairs = preference.format_pairs(turns)
+    spans = {f"{s}_mask": F.array_join(F.transform(f"{s}_mask", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",") for s in preference.SIDES}
+    return pairs.withColumns(spans)
+
+
+@query
+def op6_main_text(spark, sf_dir):
+    """The main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_pseudonyms(spark, sf_dir):
+    """Documents with personal values replaced by pseudonyms under the session's key."""
+    key = spark.conf.get("spark.colloquy.pseudonymKey", "a key for tests")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key.encode())
