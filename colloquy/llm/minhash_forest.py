@@ -321,12 +321,11 @@ def near_duplicates(
     ``version`` is xxhash64 of the text: with the id it names a document.
     """
     rows = written(document_classes(docs, doc_id, text, words, trees, depth), "classes")
-    # The row of the least id stands for its class; null ids come last.
+    # The row of the least id stands for its class; null ids come last. An aggregate
+    # finds it, so that copies meet before the shuffle and no task gets them all.
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "version").alias("row")
-    full = rows.where("cls is not null")
-    least = full.groupBy("cls").agg(F.min(row).alias("first"))
-    chosen = full.withColumn("row", row).join(least, "cls").where(F.col("row").eqNullSafe(F.col("first")))
-    chosen = chosen.dropDuplicates(["cls"]).select("cls", "row", "id", "n", "signature", "bits")
+    least = rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(row, "n", "signature", "bits")).alias("least"))
+    chosen = least.select("cls", "least.row", "least.row.id", "least.n", "least.signature", "least.bits")
     classes = written(chosen, "forest-rows")
     joined = links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percent)
     # Only classes with links have labels; the least row of each component speaks for it.

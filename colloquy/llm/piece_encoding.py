@@ -34,9 +34,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .pieces import SPACE, VOCABULARY, Pieces, load
-from .store import written
+from .store import batches_of, written
 
 CHUNK = 16_384  # characters
 # Matrices combined in one task; a text of two gigabytes, Spark's limit, has
@@ -54,12 +55,17 @@ def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def compact(trie: dict) -> dict:
+    """The trie with (children, piece or None) for each character."""
+    return {c: (compact(node), node.get("")) for c, node in trie.items() if c}
+
+
 class Encoder:
     """Cuts words and chunks of normalised text into pieces."""
 
     def __init__(self, pieces: Pieces, trie: dict | None = None):
         self.pieces = pieces
-        self.trie = trie or pieces.trie()
+        self.trie = compact(trie or pieces.trie())
         self.longest = pieces.longest
         self.unigram = pieces.is_unigram
         self.text_of = {number: piece for piece, number in pieces.ids.items()}
@@ -75,17 +81,17 @@ class Encoder:
     # An edge is (end, piece); an unknown character is the piece -1 - its code point.
 
     def edges(self, text: str, at: int) -> list[tuple[int, int]]:
-        found, node, single = [], self.trie, False
-        for end in range(at, len(text)):
-            node = node.get(text[end])
-            if node is None:
+        found, node, end = [], self.trie, at
+        for char in text[at : at + self.longest]:
+            next_ = node.get(char)
+            if next_ is None:
                 break
-            number = node.get("")
+            node, number = next_
+            end += 1
             if number is not None:
-                found.append((end + 1, number))
-                single |= end == at
-        if not single:
-            found.append((at + 1, -1 - ord(text[at])))
+                found.append((end, number))
+        if not found or found[0][0] != at + 1:
+            found.insert(0, (at + 1, -1 - ord(text[at])))
         return found
 
     def weight(self, piece: int) -> float:
@@ -246,7 +252,7 @@ class Encoder:
         """The states in which a path may come into a chunk."""
         text, b = before + chunk + after, len(before)
         found = set()
-        for at in range(max(0, b - self.longest + 1), b):
+        for at in range(max(0, b - self.longest), b):
             for end, piece in self.edges(text, at):
                 if end >= b:
                     found.add((end - b, 0 if self.unigram else piece))
@@ -357,6 +363,39 @@ def _ids_array(parts: list[bytes | None]):
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
+def in_groups(frame: DataFrame, keys: list[str], order: str, run, schema: str) -> DataFrame:
+    """Rows that ``run`` makes of ((key values), {column: values}), group after group.
+
+    A task streams its sorted rows and holds one group, which is of bounded size. The
+    number of partitions is given, as the work is heavier than its few bytes.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, kinds = frame.columns, to_arrow_schema(T._parse_datatype_string(schema))
+
+    def groups(batches):
+        held, columns = None, {}
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                row = dict(zip(names, values))
+                key = tuple(row[k] for k in keys)
+                if key != held:
+                    if held is not None:
+                        yield held, columns
+                    held, columns = key, {n: [] for n in names}
+                for name, value in row.items():
+                    columns[name].append(value)
+        if held is not None:
+            yield held, columns
+
+    def made(batches):
+        import pyarrow as pa
+
+        for rows in batches_of(run(groups(batches)), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kinds)], schema=kinds)
+
+    return frame.repartition(parts, *keys).sortWithinPartitions(*keys, order).mapInArrow(made, schema)
+
+
 def encode(
     docs: DataFrame,
     *,
@@ -433,37 +472,33 @@ def encode(
     )
     of_chunks = written(of_chunks.withColumn("_group", (F.col("_place") / group).cast("int")), "matrices")
 
-    def combine(rows):
-        ordered = rows.sort_values("_place")
-        total = None
-        for value in ordered["matrix"]:
-            matrix = pickle.loads(value)
-            total = matrix if total is None else combined(total, matrix)
-        return ordered.iloc[:1][["_row", "_group"]].assign(matrix=[pickle.dumps(total)])
+    def combine(groups):
+        for (row, group), found in groups:
+            total = None
+            for value in found["matrix"]:
+                matrix = pickle.loads(value)
+                total = matrix if total is None else combined(total, matrix)
+            yield row, group, pickle.dumps(total)
 
-    def between(rows):
+    def between(groups):
         """The two states of each group of a text."""
-        ordered = rows.sort_values("_group")
-        states = best_states([pickle.loads(m) for m in ordered["matrix"]], (0, START), None)
-        return ordered[["_row", "_group"]].assign(
-            ends=[pickle.dumps(pair) for pair in zip(states[:-1], states[1:])]
-        )
+        for (row,), found in groups:
+            states = best_states([pickle.loads(m) for m in found["matrix"]], (0, START), None)
+            for group, *pair in zip(found["_group"], states, states[1:]):
+                yield row, group, pickle.dumps(tuple(pair))
 
-    def within(rows):
+    def within(groups):
         """The two states of each chunk of a group."""
-        ordered = rows.sort_values("_place")
-        enter, leave = pickle.loads(ordered["ends"].iloc[0])
-        states = best_states([pickle.loads(m) for m in ordered["matrix"]], enter, leave)
-        return ordered[["_row", "_place"]].assign(
-            ends=[pickle.dumps(pair) for pair in zip(states[:-1], states[1:])]
-        )
-
-    of_groups = of_chunks.groupBy("_row", "_group").applyInPandas(combine, "_row string, _group int, matrix binary")
-    ends = of_groups.groupBy("_row").applyInPandas(between, "_row string, _group int, ends binary")
-    states = (
-        of_chunks.join(ends, ["_row", "_group"])
-        .groupBy("_row", "_group")
-        .applyInPandas(within, "_row string, _place int, ends binary")
+        for (row, _), found in groups:
+            enter, leave = pickle.loads(found["ends"][0])
+            states = best_states([pickle.loads(m) for m in found["matrix"]], enter, leave)
+            for place, *pair in zip(found["_place"], states, states[1:]):
+                yield row, place, pickle.dumps(tuple(pair))
+
+    of_groups = in_groups(of_chunks, ["_row", "_group"], "_place", combine, "_row string, _group int, matrix binary")
+    ends = in_groups(of_groups, ["_row"], "_group", between, "_row string, _group int, ends binary")
+    states = in_groups(
+        of_chunks.join(ends, ["_row", "_group"]), ["_row", "_group"], "_place", within, "_row string, _place int, ends binary"
     )
     parts_schema = T.StructType(
         [
