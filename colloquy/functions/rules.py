@@ -34,14 +34,15 @@ SENTIMENTS = ("negative", "neutral", "positive")
 NEGATIVE_UP_TO = -0.05
 NEUTRAL_UP_TO = 0.05
 
-MAX_RULE_ROWS = 10_000
 
+def rules_from_table(table: DataFrame, *, max_keywords: int = 10_000) -> Rules:
+    """Rules from a (priority, label, keyword) table.
 
-def rules_from_table(table: DataFrame) -> Rules:
-    """Rules from a (priority, label, keyword) table."""
-    rows = table.select("priority", "label", "keyword").limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"a rule table may hold at most {MAX_RULE_ROWS} keywords")
+    Rules become expressions, so a table of more than ``max_keywords`` rows raises.
+    """
+    rows = table.select("priority", "label", "keyword").limit(max_keywords + 1).collect()
+    if len(rows) > max_keywords:
+        raise ValueError(f"a rule table may hold at most {max_keywords} keywords")
     grouped: dict[tuple[int, str], list[str]] = {}
     for row in sorted(rows):
         grouped.setdefault((row.priority, row.label), []).append(row.keyword)

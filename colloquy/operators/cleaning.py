@@ -15,11 +15,19 @@ SHORT_NAME_BYTES = 2
 Step = tuple
 
 
+def _known(frame: DataFrame, columns: Iterable[str]) -> None:
+    unknown = sorted(set(columns) - set(frame.columns))
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+
+
 def drop_columns(frame: DataFrame, *columns: str) -> DataFrame:
+    _known(frame, columns)
     return frame.drop(*columns)
 
 
 def rename_columns(frame: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    _known(frame, names)
     return frame.withColumnsRenamed(dict(names))
 
 

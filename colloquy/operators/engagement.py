@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +13,6 @@ from ..functions.times import seconds_between
 from .names import with_names
 from .timeline import GAP_MINUTES, starts_session, with_neighbors
 
-MAX_LABELS = 62
-
 
 def _with_client(chats: DataFrame) -> DataFrame:
     return chats.filter(F.col("client_id").isNotNull())
@@ -139,27 +136,14 @@ def reply_times(chats: DataFrame, *, max_rows: int = HOT_ROWS) -> DataFrame:
     return with_neighbors(rows, shifts, max_rows=max_rows).withColumn("response_time_sec", _reply_seconds())
 
 
-def _distinct_labels(label: str, domain: Sequence[str] | None) -> Column:
-    """Distinct labels of a group; with a known small domain as bits of one number.
-
-    The bits keep the aggregation in one pass and one fixed-width buffer.
-    """
-    if domain is None or len(domain) > MAX_LABELS:
-        return F.count_distinct(label)
-    bit = F.lit(0).cast("long")
-    for i, name in enumerate(domain):
-        bit = F.when(F.col(label) == name, F.lit(1 << i).cast("long")).otherwise(bit)
-    return F.bit_count(F.bit_or(bit)).cast("long")
-
-
 def _client_features(
-    chats: DataFrame, *, topics: Sequence[str] | None, gap_minutes: float, max_rows: int
+    chats: DataFrame, *, gap_minutes: float, max_rows: int
 ) -> DataFrame:
     """All per-client features in one aggregation over rows with their neighbours.
 
     Rows are in time order, so a session starts where the gap is long enough
-    and an active date where the date differs from the row before; neither
-    needs a distinct count.
+    and an active date where the date differs from the row before; only the
+    topics need a distinct count, and that by client and topic before the client.
     """
     rows = chats.select(
         "id",
@@ -186,7 +170,7 @@ def _client_features(
             F.avg("question_length").alias("avg_message_length"),
             F.avg(_reply_seconds()).alias("avg_response_time"),
             F.count_if(starts_session(prev, now, gap_minutes)).alias("session_count"),
-            _distinct_labels("topic", topics).alias("unique_topics"),
+            F.count_distinct("topic").alias("unique_topics"),
             (seconds_between(F.min("created_at"), F.max("created_at")) / 3600).alias("span_hours"),
         )
     )
@@ -197,17 +181,16 @@ def user_behavior(
     clients: DataFrame,
     sentiment: DataFrame,
     *,
-    topics: Sequence[str] | None = None,
     gap_minutes: float = GAP_MINUTES,
     max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Seven behaviour features per client and its name.
 
-    ``chats`` needs a topic column; ``sentiment`` holds avg_sentiment per
-    client_id; ``topics`` is the topic domain when it is known. Missing numbers
-    of the clustering features become 0.
+    ``chats`` needs a topic column, whose labels are all counted; ``sentiment``
+    holds avg_sentiment per client_id. Missing numbers of the clustering features
+    become 0.
     """
-    features = _client_features(chats, topics=topics, gap_minutes=gap_minutes, max_rows=max_rows).join(
+    features = _client_features(chats, gap_minutes=gap_minutes, max_rows=max_rows).join(
         sentiment.select("client_id", "avg_sentiment"), "client_id", "left"
     )
     return with_names(features, clients).select(
@@ -227,7 +210,6 @@ def satisfaction_features(
     chats: DataFrame,
     sentiment: DataFrame,
     *,
-    topics: Sequence[str] | None = None,
     gap_minutes: float = GAP_MINUTES,
     max_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -236,7 +218,7 @@ def satisfaction_features(
     ``session_length`` is the mean number of rows per session. A client without
     questions has no engagement_diversity.
     """
-    features = _client_features(chats, topics=topics, gap_minutes=gap_minutes, max_rows=max_rows).join(
+    features = _client_features(chats, gap_minutes=gap_minutes, max_rows=max_rows).join(
         sentiment.select("client_id", "avg_sentiment"), "client_id", "left"
     )
     return features.select(

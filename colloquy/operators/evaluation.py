@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skew import broadcast_if_small
+from ..functions.skew import broadcast_if_small, small_enough
 
 SPLIT_BUCKETS = 10_000
 
@@ -48,17 +48,18 @@ def in_test_set(key: str, *, test_share: float = 0.2, seed: int = 42) -> Column:
     return bucket < round(test_share * SPLIT_BUCKETS)
 
 
-def encode_labels(rows: DataFrame, label: str, output: str) -> DataFrame:
+def encode_labels(rows: DataFrame, label: str, output: str, *, max_labels: int = 100_000) -> DataFrame:
     """Add the 0-based alphabetical position of each label.
 
-    The ranking runs over the distinct labels only, and their codes are
-    broadcast, so a label that most rows share moves no rows.
+    The ranking runs over the distinct labels only, in one task, and their codes are
+    broadcast, so a label that most rows share moves no rows. Labels are classes
+    of a model; more than ``max_labels`` of them raise.
     """
+    labels = rows.filter(F.col(label).isNotNull()).select(label).distinct()
+    if not small_enough(labels, max_labels):
+        raise ValueError(f"{label} has more than {max_labels} labels")
     codes = (
-        rows.filter(F.col(label).isNotNull())
-        .select(label)
-        .distinct()
-        .withColumn(output, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
+        labels.withColumn(output, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
     )
     return rows.join(broadcast_if_small(codes), label, "left")
 

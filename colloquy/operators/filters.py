@@ -37,7 +37,7 @@ def apply_filters(
 
     An active choice drops rows whose value is NULL. ``chats`` needs a topic for
     a choice of topics. With a lexicon the chosen rows get their sentiment here,
-    after the dates and topics have been applied, so other rows are not scored;
+    after dates, topics and users have been applied, so other rows are not scored;
     without one, a choice of sentiments needs question_sentiment_category.
     """
     rows = chats.filter(in_days("created_at", filters.first_date, filters.last_date))
@@ -47,16 +47,17 @@ def apply_filters(
         rows = rows.filter(F.col("date").between(*days))
     if filters.topics:
         rows = rows.filter(F.col("topic").isin(*filters.topics))
+    if filters.users:
+        if "name" in rows.columns:
+            rows = rows.filter(F.col("name").isin(*filters.users))
+        else:
+            chosen = unique_names(clients).filter(F.col("name").isin(*filters.users))
+            rows = rows.join(broadcast_if_small(chosen), "client_id")
     if lexicon is not None:
         rows = with_sentiment(rows, lexicon)
     if filters.sentiments:
         rows = rows.filter(F.col("question_sentiment_category").isin(*filters.sentiments))
-    if not filters.users:
-        return with_names_on_rows(rows, clients, max_rows=max_rows)
-    if "name" in rows.columns:
-        return rows.filter(F.col("name").isin(*filters.users))
-    chosen = unique_names(clients).filter(F.col("name").isin(*filters.users))
-    return rows.join(broadcast_if_small(chosen), "client_id")
+    return rows if "name" in rows.columns else with_names_on_rows(rows, clients, max_rows=max_rows)
 
 
 def user_options(clients: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .volume import messages_per_day
 
 # The lags, in rows of the daily series.
@@ -81,21 +82,20 @@ def forecast_volume(
 ) -> tuple[DataFrame, DataFrame]:
     """History with its features, and the predicted volume of the next days.
 
-    All series train one random forest together. Each further day uses the days
-    predicted before it as its lags, for all series in one step. A series with
-    fewer than ten complete days is left out; without any series both results
-    are empty.
+    All series train one random forest together, if their complete days are ten or
+    more; else both results are empty. Each further day uses the days predicted
+    before it as its lags, for all series in one step. A series needs as many days
+    as the longest lag to be predicted; shorter ones are listed with NULL volumes.
+    The daily table, a row per day and series, is written once and all else reads it.
     """
-    daily = daily_volume(chats, by=by)
+    daily = written(daily_volume(chats, by=by), "daily-volume")
     history = forecast_features(daily, by=by)
     series = _recent(daily, by)
-    if by:
-        enough = history.groupBy(*by).count().filter(F.col("count") >= MIN_ROWS).select(*by)
-        history = history.join(enough, list(by), "left_semi")
-        series = series.join(enough, list(by), "left_semi")
     if history.limit(MIN_ROWS).count() < MIN_ROWS:
         nothing = series.select(*by, F.col("_last").alias("date"), F.lit(0).cast("long").alias("predicted_volume"))
         return history.filter("false"), nothing.filter("false")
+    short = series.filter(F.size("_recent") < max(LAGS))
+    series = series.filter(F.size("_recent") >= max(LAGS))
     training = history.persist()
     try:
         model = RandomForestRegressor(
@@ -122,7 +122,9 @@ def forecast_volume(
         )
         volume = F.bround(F.col(f"_day{day}"), 0).cast("long")
         predicted.append(F.struct(date.alias("date"), volume.alias("predicted_volume")))
-    return history, series.select(*by, F.inline(F.array(*predicted)))
+    dates = F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", days)))
+    unknown = short.select(*by, dates.alias("date"), F.lit(None).cast("long").alias("predicted_volume"))
+    return history, series.select(*by, F.inline(F.array(*predicted))).unionByName(unknown)
 
 
 def history_and_forecast(history: DataFrame, forecast: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import HOT_ROWS, find_hot_keys, hot_side, small_enough
+from ..functions.skew import HOT_ROWS, broadcast_if_small, find_hot_keys, hot_side, small_enough
 
 NULL_LANES = 256
 
@@ -47,7 +47,7 @@ def with_names_on_rows(rows: DataFrame, clients: DataFrame, *, max_rows: int = H
         return _shuffled(rows, names)
     keys = hot_side(hot)
     hot_names = names.join(keys, "client_id", "left_semi")
-    is_hot = rows.join(keys, "client_id", "left_semi").join(F.broadcast(hot_names), "client_id", "left")
+    is_hot = rows.join(keys, "client_id", "left_semi").join(broadcast_if_small(hot_names), "client_id", "left")
     return _shuffled(rows.join(keys, "client_id", "left_anti"), names).unionByName(is_hot)
 
 

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LONG_TEXT = 64
-
 
 def _as_text(value: str, kind: T.DataType) -> str:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -26,20 +24,22 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def profile_table(table: DataFrame, name: str, *, exact: bool = True) -> DataFrame:
+def profile_table(table: DataFrame, name: str, *, exact: bool = False) -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, bounds.
 
-    Bounds are doubles for numbers and text for the rest. Rows, nulls and bounds
+    Bounds are doubles for numbers, text for the rest, NULL for nested values. Rows, nulls and bounds
     come from one pass with a fixed-size buffer per column; the distinct count
-    is estimated in that pass, or counted exactly in a second one.
+    is estimated in that pass. With ``exact`` it is counted in a second one, which
+    shuffles a row for each distinct value.
     """
     aggregates, cells = ["count(1) AS rows"], []
     for i, field in enumerate(table.schema.fields):
         column, kind = _quoted(field.name), field.dataType
+        ordered = not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
         aggregates += [
             f"count_if({column} IS NULL) AS nulls{i}",
-            f"min({column}) AS low{i}",
-            f"max({column}) AS high{i}",
+            f"{f'min({column})' if ordered else 'NULL'} AS low{i}",
+            f"{f'max({column})' if ordered else 'NULL'} AS high{i}",
         ]
         distinct = "CAST(NULL AS BIGINT)"
         if not exact:
@@ -70,15 +70,15 @@ def _distinct_counts(table: DataFrame) -> DataFrame:
     """Distinct non-null values per column: column_name, n.
 
     The cells become (column, value) rows, made distinct before and after one
-    shuffle. Long texts are compared by their SHA-256, so that whole texts are
-    not shuffled.
+    shuffle. Texts are compared by their SHA-256, so that whole texts are not
+    shuffled.
     """
     cells = []
     for field in table.schema.fields:
         column = _quoted(field.name)
         value = f"CAST({column} AS STRING)"
         if isinstance(field.dataType, T.StringType):
-            value = f"CASE WHEN length({column}) > {LONG_TEXT} THEN sha2({column}, 256) ELSE {column} END"
+            value = f"sha2({column}, 256)"
         cells.append(f"struct({_literal(field.name)} AS column_name, {value} AS value)")
     return (
         table.selectExpr(f"inline(array({', '.join(cells)}))")

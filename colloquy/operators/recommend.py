@@ -50,11 +50,25 @@ def recommend_topics(
     return new.orderBy(F.desc("score"), "ord").limit(n).select("topic", "score")
 
 
-def client_topic_matrix(chats: DataFrame, topics: Sequence[str]) -> DataFrame:
+def topic_domain(chats: DataFrame, *, max_topics: int = 1_000) -> list[str]:
+    """The topics that occur, in order; each becomes a column, so more than ``max_topics`` raise."""
+    rows = chats.select("topic").na.drop().distinct().orderBy("topic").limit(max_topics + 1).collect()
+    if len(rows) > max_topics:
+        raise ValueError(f"there are more than {max_topics} topics")
+    return [row.topic for row in rows]
+
+
+def client_topic_matrix(chats: DataFrame, topics: Sequence[str] | None = None) -> DataFrame:
     """Rows per client and topic with a column for each topic of the domain, 0 where none.
 
+    Without ``topics`` the domain is taken from the chats. A topic outside a given
+    domain raises when the result is run; rows without a topic count nowhere.
     Written as conditional counts: one aggregation instead of a pivot's two.
     """
+    topics = topic_domain(chats) if topics is None else topics
+    outside = F.raise_error(F.concat(F.lit("topic outside the domain: "), F.col("topic"))).cast("string")
+    topic = F.when(F.col("topic").isNull() | F.col("topic").isin(*topics), F.col("topic")).otherwise(outside)
+    chats = chats.select("client_id", topic.alias("topic"))
     counts = [F.count_if(F.col("topic") == t).alias(t) for t in topics]
     return chats.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(*counts)
 
@@ -64,8 +78,9 @@ def _pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def topic_similarity(chats: DataFrame, topics: Sequence[str]) -> DataFrame:
+def topic_similarity(chats: DataFrame, topics: Sequence[str] | None = None) -> DataFrame:
     """Correlation of every two topics over the clients, in one aggregation."""
+    topics = topic_domain(chats) if topics is None else topics
     pairs = [(a, b) for i, a in enumerate(topics) for b in topics[i + 1 :]]
     columns = [_pearson(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     cells = [
@@ -79,9 +94,12 @@ def top_client_similarity(chats: DataFrame, *, n: int = 10) -> DataFrame:
     """Correlation over the topics of every two of the n most active clients.
 
     The n keys come to the driver and become n columns of a table with one row
-    per topic, so no pairs of rows are formed. For other clients see
+    per topic, so no pairs of rows are formed; the plan grows with n * n, so n may
+    be 100 at most. For other clients see
     :func:`client_topic_profiles` and :func:`similarity_of`.
     """
+    if n > 100:
+        raise ValueError("at most 100 clients; use client_topic_profiles for more")
     top = [
         row.client_id
         for row in chats.filter(F.col("client_id").isNotNull())
@@ -107,12 +125,13 @@ def top_client_similarity(chats: DataFrame, *, n: int = 10) -> DataFrame:
     return per_topic.agg(*columns).select(F.inline(F.array(*cells)))
 
 
-def client_topic_profiles(chats: DataFrame, topics: Sequence[str]) -> DataFrame:
+def client_topic_profiles(chats: DataFrame, topics: Sequence[str] | None = None) -> DataFrame:
     """For every client a vector whose products with others are the correlations.
 
     One row per client instead of one per pair of clients. A client with the
     same count in every topic has a NULL profile.
     """
+    topics = topic_domain(chats) if topics is None else topics
     counts = F.array(*[F.col(f"`{t}`").cast("double") for t in topics])
     mean = F.aggregate("counts", F.lit(0.0), lambda total, x: total + x) / len(topics)
     length = F.sqrt(F.aggregate("centred", F.lit(0.0), lambda total, x: total + x * x))

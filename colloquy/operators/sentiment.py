@@ -130,8 +130,9 @@ def score_texts(
 ) -> DataFrame:
     """``keep`` and, for each text column, its score as ``<column>_sentiment``.
 
-    ``keep`` must identify a row. The tokens of a text meet the lexicon where
-    they are split, so only one number per text is shuffled. A whole text is
+    Rows with equal ``keep`` must have equal texts, and give one row. The tokens of
+    a text meet the lexicon where they are split, so only one number per text is
+    shuffled. A whole text is
     scored, however long it is; NULL text scores 0.
     """
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(c, F.lit("")).alias("text")) for i, c in enumerate(columns)])
@@ -172,7 +173,8 @@ def score_texts(
     sums = []
     for i, column in enumerate(columns):
         side = F.col("side") == i
-        sums.append(F.coalesce(F.sum(F.when(side, F.col("weight"))), F.lit(0.0)).alias(f"_sum{i}"))
+        copies = F.greatest(F.count_if(side & (F.col("at") == 0)), F.lit(1))
+        sums.append((F.coalesce(F.sum(F.when(side, F.col("weight"))), F.lit(0.0)) / copies).alias(f"_sum{i}"))
         sums.append(F.max(F.when(side, F.col("punctuation"))).alias(f"_marks{i}"))
     return weighted.groupBy(*keep).agg(*sums).select(
         *keep,
@@ -189,8 +191,14 @@ def with_categories(scores: DataFrame) -> DataFrame:
 def with_sentiment(
     chats: DataFrame, lexicon: DataFrame, columns: Sequence[str] = ("question", "answer")
 ) -> DataFrame:
-    """Chats with scores and categories, joined on the unique id."""
-    return chats.join(with_categories(score_texts(chats, lexicon, columns)), "id")
+    """Chats with scores and categories.
+
+    Scores belong to texts, so they are joined on two hashes of these: NULL and
+    repeated ids lose or multiply no rows, and equal messages are scored together.
+    """
+    keys = {f"_text{k}": F.xxhash64(F.lit(k), *columns) for k in (1, 2)}
+    scores = score_texts(chats.withColumns(keys), lexicon, columns, keep=tuple(keys))
+    return chats.withColumns(keys).join(with_categories(scores), list(keys)).drop(*keys)
 
 
 def sentiment_by_client(chats: DataFrame, lexicon: DataFrame) -> DataFrame:

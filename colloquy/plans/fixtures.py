@@ -4,6 +4,7 @@ The default rules name airport topics, of which the test tables say nothing, so
 the registered queries use words that occur in them.
 """
 
+from ..operators.cleaning import NAME_PATTERN
 from ..operators.engagement import SatisfactionLimits
 from ..operators.filters import Filters
 from ..operators.sentiment import Modifiers
@@ -64,7 +65,7 @@ CLEANING = {
     "part": (
         ("drop", "p_retailprice"),
         ("rename", {"p_partkey": "part_id"}),
-        ("delete_unmatched", "part_id", "p_name", "^[A-Za-z]+([ -][A-Za-z]+)*$"),
+        ("delete_unmatched", "part_id", "p_name", NAME_PATTERN),
         ("delete_short", "part_id", "p_type", 5),
         ("delete_values", "part_id", "p_brand", ("Brand#2", "Brand#17")),
     ),

@@ -56,7 +56,7 @@ VIEWS = {
     # One word per message in the event view, so the score needs no context.
     "event_scores": """SELECT c.*, round(coalesce(l.valence, 0) / sqrt(coalesce(l.valence, 0) ** 2 + 15), 4)
         AS question_sentiment FROM chats c LEFT JOIN lexicon l ON l.term = c.question""",
-    "conv": """SELECT conv_id * 1000 + turn AS id, conv_id AS client_id, text AS question,
+    "conv": """SELECT conv_id * 4294967296 + turn AS id, conv_id AS client_id, text AS question,
         CASE WHEN next_role = 'assistant' THEN next_text END AS answer
         FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""",
@@ -297,6 +297,11 @@ PROFILE_COLUMNS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 
 
@@ -307,7 +312,7 @@ def _profile(table: str, column: str, kind: str) -> str:
     def cell(function, numeric):
         if numeric:
             return f"CAST({function}({column}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
-        return "CAST(NULL AS VARCHAR)" if number else text.format(function)
+        return "CAST(NULL AS VARCHAR)" if number or kind.startswith("array") else text.format(function)
 
     return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, '{kind}' AS column_type,
         count(*) AS row_count, count(*) - count({column}) AS null_count, count(DISTINCT {column}) AS distinct_count,
@@ -321,7 +326,7 @@ ORACLES["table_profile"] = "\nUNION ALL ".join(
 ORACLES["column_top_values"] = "\nUNION ALL ".join(
     f"""SELECT * FROM (SELECT 'events' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value,
     count(*) AS frequency FROM events WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY frequency DESC, value LIMIT 5)"""
-    for c in ("user_id", "event_type", "props")
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
 )
 
 # Labels, sentiment and text
@@ -510,5 +515,5 @@ oracle(
     "streaming_sessions",
     "sessions",
     f"""SELECT client_id, session_start, session_end, messages, round({LENGTH_MIN}, 9) AS session_length_min
-    FROM sessions WHERE session_end + INTERVAL 30 MINUTES <= (SELECT max(created_at) FROM chats) - INTERVAL 1 HOUR""",
+    FROM sessions""",
 )

@@ -27,7 +27,7 @@ from ..operators import (
 )
 from ..session import new_folder
 from ..sources import adapters
-from ..sources.tables import read_source, register_views
+from ..sources.tables import read_source, register_views, stream_source
 from ..streaming import reports as streaming
 from . import dashboard
 from . import fixtures as fx
@@ -191,7 +191,6 @@ def _behavior(spark, folder):
         chats,
         clients(spark, folder),
         sentiment.sentiment_by_client(chats, lexicon(spark)),
-        topics=fx.TOPIC_NAMES,
     )
 
 
@@ -204,7 +203,7 @@ def user_behavior(spark, folder):
 def _satisfaction(spark, folder):
     chats = topics(spark, folder)
     return engagement.satisfaction_features(
-        chats, sentiment.sentiment_by_client(chats, lexicon(spark)), topics=fx.TOPIC_NAMES
+        chats, sentiment.sentiment_by_client(chats, lexicon(spark))
     )
 
 
@@ -273,19 +272,22 @@ def clean_tables(spark, folder):
     return supplier.unionByName(customer).unionByName(part)
 
 
-PROFILED = ("region", "nation", "customer", "supplier", "part", "orders", "events", "conversations", "documents", "labels")
+PROFILED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents",
+    "labels", "pages", "benchmark", "embeddings",
+)
 
 
 @query
 def table_profile(spark, folder):
-    profiles = [profiling.profile_table(read_source(spark, name, folder=folder), name) for name in PROFILED]
+    profiles = [profiling.profile_table(read_source(spark, name, folder=folder), name, exact=True) for name in PROFILED]
     return reduce(DataFrame.unionByName, profiles)
 
 
 @query
 def column_top_values(spark, folder):
     table = read_source(spark, "events", folder=folder)
-    return profiling.top_values(table, "events", ("user_id", "event_type", "props"))
+    return profiling.top_values(table, "events", ("event_id", "ts", "user_id", "event_type", "value", "props"))
 
 
 # Labels, sentiment and text
@@ -516,9 +518,7 @@ def feature_importance(spark, folder):
 
 
 def _event_stream(spark, folder):
-    schema = read_source(spark, "events", folder=folder).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return adapters.as_event_chats(stream)
+    return adapters.as_event_chats(stream_source(spark, "events", folder=folder))
 
 
 @query
@@ -528,12 +528,13 @@ def streaming_messages_per_day(spark, folder):
         with_topic(_event_stream(spark, folder), fx.TOPICS, fx.TOPIC_DEFAULT), by=("topic",)
     )
     streaming.stream_to_table(report, out, checkpoint=new_folder(spark, "daily-state"), mode="update")
-    return streaming.latest(spark.read.parquet(out), ("topic", "date"))
+    updates = spark.read.schema("topic string, date date, message_count bigint, batch int").parquet(out)
+    return streaming.latest(updates, ("topic", "date"))
 
 
 @query
 def streaming_sessions(spark, folder):
-    out = new_folder(spark, "sessions")
-    report = streaming.streaming_session_lengths(_event_stream(spark, folder))
-    streaming.stream_to_table(report, out, checkpoint=new_folder(spark, "sessions-state"))
-    return rounded(spark.read.schema(report.schema).parquet(out), "session_length_min", digits=9)
+    sessions = streaming.all_sessions(
+        _event_stream(spark, folder), new_folder(spark, "sessions"), checkpoint=new_folder(spark, "sessions-state")
+    )
+    return rounded(sessions, "session_length_min", digits=9)

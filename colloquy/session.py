@@ -36,6 +36,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """Create a folder in whatever store its path names."""
+    path, system = _path(spark, folder)
+    system.mkdirs(path)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    path, system = _path(spark, path)
+    return system.exists(path) and system.getFileStatus(path).isDirectory()
+
+
+def release(spark: SparkSession, folder: str) -> None:
+    """Delete a written intermediate; only folders under the shared one are."""
+    path, system = _path(spark, folder)
+    shared = _path(spark, shared_folder(spark))[0]
+    if not path.toUri().getPath().startswith(shared.toUri().getPath().rstrip("/") + "/"):
+        raise ValueError(f"{folder} is not an intermediate")
+    system.delete(path, True)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_source
@@ -34,6 +34,13 @@ def customer_clients(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def message_id(conversation: Column, turn: Column) -> Column:
+    """One number for both, without collisions: 31 bits of conversation, 32 of turn; more of either raises."""
+    fits = conversation.between(0, (1 << 31) - 1) & turn.between(0, (1 << 32) - 1)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no message id for conversation and turn"), conversation, turn))
+    return F.when(fits, F.shiftleft(conversation, 32) + turn).otherwise(wrong.cast("long"))
+
+
 def conversation_chats(spark: SparkSession, folder: str) -> DataFrame:
     """A user turn and the assistant turn after it become one message.
 
@@ -54,7 +61,7 @@ def conversation_chats(spark: SparkSession, folder: str) -> DataFrame:
         )
         .filter("asked")
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+            message_id(F.col("conv_id"), F.col("turn")).alias("id"),
             F.col("conv_id").alias("client_id"),
             F.timestamp_add("MINUTE", minutes, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
             .cast("timestamp_ntz")
@@ -66,9 +73,8 @@ def conversation_chats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as questions without an answer; long texts are heavy per row, so few files are spread."""
-    documents = read_source(spark, "documents", folder=folder, spread_by="doc_id")
-    return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
+    """Documents as questions without an answer."""
+    return _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
 
 
 def all_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CHATS, CLIENTS, conform
+from ..session import is_folder
 
 
 def read_source(
@@ -18,16 +19,13 @@ def read_source(
     jdbc: Mapping[str, str] | None = None,
     folder: str | None = None,
     split: tuple[str, int, int, int] | None = None,
-    spread_by: str | None = None,
 ) -> DataFrame:
     """Read a table or a query's result; the query wins when both are given.
 
     ``jdbc`` holds the connection options (url, user, password, driver), which
     are never constants here. ``split`` = (column, lower, upper, partitions)
     reads a JDBC table or query in parallel. Without ``jdbc``, a table is
-    ``<folder>/<table>.parquet`` and a query runs on the registered views. A
-    table of fewer files than cores would leave cores idle in work that is heavy
-    per row; ``spread_by`` then hashes its rows over all cores.
+    ``<folder>/<table>.parquet`` and a query runs on the registered views.
     """
     if not table and not query:
         raise ValueError("give a table or a query")
@@ -37,11 +35,17 @@ def read_source(
         return spark.sql(query)
     if folder is None:
         raise ValueError("a table needs a folder or JDBC options")
-    frame = spark.read.parquet(f"{folder}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(frame.inputFiles()) < cores:
-        return frame.repartition(cores, spread_by)
-    return frame
+    return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def stream_source(spark: SparkSession, table: str, *, folder: str) -> DataFrame:
+    """A stream of a parquet table's files: all part files of its folder, or its one file."""
+    path = f"{folder}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    # A single file can be watched by its folder only.
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def jdbc_options(table, query, jdbc, split=None) -> dict[str, str]:

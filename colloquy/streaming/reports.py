@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.times import seconds_between
 from ..operators.timeline import GAP_MINUTES
+from ..session import make_folder, new_folder
+
+
+# The client of the row that closes all sessions; its own session is never given out.
+CLOSING_CLIENT = -(1 << 63)
+CLOSING_TIME = "9000-01-01 00:00:00"
 
 
 def _with_event_time(chats: DataFrame, delay: str) -> DataFrame:
     """Watermarks need a TIMESTAMP; with the session time zone UTC the clock reads the same."""
+    zone = chats.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"days and sessions of a stream need the session time zone UTC, not {zone}")
     return chats.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
 
 
@@ -58,12 +67,43 @@ def streaming_session_lengths(
     )
 
 
+def all_sessions(
+    chats: DataFrame, folder: str, *, checkpoint: str, gap_minutes: int = GAP_MINUTES, delay: str = "1 hour"
+) -> DataFrame:
+    """Every session of a stream that has ended, the last ones included.
+
+    Append mode keeps a session until the watermark has passed it, which nothing
+    does for the last ones. So a second source stands beside the stream, empty at
+    first. When all that is available has been processed, a row of a reserved
+    client far in the future is written into it, and one more run on the same
+    checkpoint gives out what was kept. After that all rows are late: a stream
+    that goes on uses :func:`streaming_session_lengths`.
+    """
+    spark = chats.sparkSession
+    columns = ("client_id", "created_at")
+    chats = chats.select(*columns)
+    closing = new_folder(spark, "closing")
+    make_folder(spark, closing)
+    beside = spark.readStream.schema(chats.schema).parquet(closing)
+    report = streaming_session_lengths(chats.unionByName(beside), gap_minutes=gap_minutes, delay=delay)
+    stream_to_table(report, folder, checkpoint=checkpoint)
+    row = spark.range(1).select(
+        F.lit(CLOSING_CLIENT).cast(chats.schema["client_id"].dataType).alias("client_id"),
+        F.lit(CLOSING_TIME).cast(chats.schema["created_at"].dataType).alias("created_at"),
+    )
+    row.write.mode("append").parquet(closing)
+    stream_to_table(report, folder, checkpoint=checkpoint)
+    return spark.read.schema(report.schema).parquet(folder)
+
+
 def stream_to_table(report: DataFrame, folder: str, *, checkpoint: str, mode: str = "append") -> None:
     """Process everything available and write it as parquet; safe to run again.
+    The folder is there afterwards, even if nothing was.
 
     The file sink takes appended rows only; with ``update`` each micro-batch is
     written to its own folder, so that a retried batch replaces itself.
     """
+    make_folder(report.sparkSession, folder)
     writer = report.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", folder).start()

@@ -66,8 +66,11 @@ def test_many_series(chats):
         long.unionByName(other).unionByName(short), by=("topic",), trees=10
     )
     got = sorted(rows_of(future.groupBy("topic").agg(F.count("*"), F.max("predicted_volume"))))
-    assert got == [("a", 7, 3), ("b", 7, 9)]
-    assert {r[0] for r in rows_of(history, "topic")} == {"a", "b"}
+    assert got == [("a", 7, 3), ("b", 7, 9), ("c", 7, got[2][2])] and got[2][2] is not None
+    assert {r[0] for r in rows_of(history, "topic")} == {"a", "b", "c"}
+    few = daily_chats(chats, 5, start=9000).withColumn("topic", F.lit("d"))
+    _, future = forecast.forecast_volume(long.unionByName(few), by=("topic",), trees=5)
+    assert sorted(rows_of(future.groupBy("topic").agg(F.count("*"), F.count("predicted_volume")))) == [("a", 7, 7), ("d", 7, 0)]
 
 
 @pytest.fixture
@@ -114,3 +117,10 @@ def test_recommendations(spark):
         ("Technical Support", 2), ("Product Information", 1), ("Pricing & Billing", 1)
     ]
     assert rows_of(recommend.keyword_scores(frame), "score") == [(2,), (1,), (1,), (0,), (2,)]
+
+
+def test_topics_outside_the_domain_raise(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "client_id long, topic string")
+    with pytest.raises(Exception, match="outside the domain: b"):
+        recommend.client_topic_matrix(rows, ["a"]).collect()
+    assert recommend.client_topic_matrix(rows).columns == ["client_id", "a", "b"]

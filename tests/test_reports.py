@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import rules
 from colloquy.functions.text import normalized, occurrences, words
-from colloquy.operators import engagement, filters, names, volume
+from colloquy.operators import engagement, filters, names, sentiment, volume
 from colloquy.schema import CHATS, conform
 from colloquy.sources.tables import write_chats
 
@@ -136,15 +136,13 @@ def test_turns(sample):
 def test_features_and_labels(sample, clients, spark):
     frame = rules.with_topic(sample)
     mood = spark.createDataFrame([(1, 0.5), (2, -0.5)], "client_id long, avg_sentiment double")
-    domain = rules.labels_of(rules.TOPIC_RULES, rules.TOPIC_DEFAULT)
-    for topics in (domain, None):
-        for limit in (1, 100):
-            got = engagement.user_behavior(frame, clients([(1, "Ann")]), mood, topics=topics, max_rows=limit)
-            assert sorted(rows_of(got)) == [
-                (1, 2, 1, 11.0, 3600.0, 2, 2, 0.5, "Ann"),
-                (2, 2, 2, 10.5, 0.0, 2, 2, -0.5, None),
-            ]
-    features = engagement.satisfaction_features(frame, mood, topics=domain)
+    for limit in (1, 100):
+        got = engagement.user_behavior(frame, clients([(1, "Ann")]), mood, max_rows=limit)
+        assert sorted(rows_of(got)) == [
+            (1, 2, 1, 11.0, 3600.0, 2, 2, 0.5, "Ann"),
+            (2, 2, 2, 10.5, 0.0, 2, 2, -0.5, None),
+        ]
+    features = engagement.satisfaction_features(frame, mood)
     got = {r["client_id"]: r for r in features.collect()}
     assert (got[1].sessions, got[1].questions, got[1].engagement_diversity, got[1].session_length) == (2, 1, 2.0, 1.0)
     silent = engagement.satisfaction_features(frame.filter("question IS NULL"), mood)
@@ -217,3 +215,18 @@ def test_contract(spark):
 
 def test_bounds(sample):
     assert rows_of(volume.data_bounds(sample)) == [(dt.date(2023, 1, 1), dt.date(2024, 12, 30), 6)]
+
+
+def test_all_labels_count_however_many(spark, clients):
+    rows = [(k, 1, None, "q", None, f"topic {k}") for k in range(70)]
+    frame = spark.createDataFrame(rows, "id long, client_id long, created_at timestamp_ntz, question string, answer string, topic string")
+    mood = spark.createDataFrame([(1, 0.5)], "client_id long, avg_sentiment double")
+    assert engagement.user_behavior(frame, clients([(1, "Ann")]), mood).first().unique_topics == 70
+
+
+def test_sentiment_keeps_rows_of_null_and_repeated_ids(spark):
+    rows = [(None, "good"), (1, "good"), (1, "bad"), (1, "bad"), (2, None)]
+    frame = spark.createDataFrame([(i, q, None) for i, q in rows], "id long, question string, answer string")
+    got = sentiment.with_sentiment(frame, sentiment.lexicon_table(spark))
+    scores = {q: s for q, s in rows_of(got, "question", "question_sentiment")}
+    assert got.count() == 5 and scores["good"] > 0 > scores["bad"] and scores[None] == 0

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from conftest import rows_of
 
 from colloquy.functions.rules import with_topic
 from colloquy.operators import timeline, volume
+from colloquy.plans import registry
 from colloquy.schema import CHATS
 from colloquy.session import new_folder
 from colloquy.streaming import reports
@@ -29,6 +31,34 @@ def stream_of(spark, tmp_path, batches):
     return spark.readStream.schema(CHATS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
 
 
+def test_all_sessions_of_part_files(spark, tmp_path, chats):
+    stream = stream_of(spark, tmp_path, [MESSAGES[:2], MESSAGES[2:4], MESSAGES[4:]])
+    got = reports.all_sessions(stream, f"{tmp_path}/out", checkpoint=f"{tmp_path}/state", delay="2 days")
+    batch = timeline.session_lengths(chats(MESSAGES)).drop("session_id")
+    columns = ("client_id", "session_start", "session_end", "messages", "session_length_min")
+    assert sorted(rows_of(got, *columns)) == sorted(rows_of(batch, *columns))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_queries_on_a_table_of_part_files(spark, tmp_path, parts):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(parts).write.parquet(f"{tmp_path}/events.parquet")
+    days = registry.QUERIES["streaming_messages_per_day"](spark, str(tmp_path))
+    assert days.agg({"message_count": "sum"}).first()[0] == events.where("event_type <> 'error'").count()
+    sessions = registry.QUERIES["streaming_sessions"](spark, str(tmp_path))
+    assert sessions.count() == timeline.session_lengths(registry.events(spark, str(tmp_path))).count()
+
+
+def test_other_time_zones_raise(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, [MESSAGES])
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            reports.streaming_messages_per_day(stream)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_daily_stream_equals_batch(spark, tmp_path, chats):
     stream = with_topic(stream_of(spark, tmp_path, [MESSAGES[:3], MESSAGES[3:]]))
     report = reports.streaming_messages_per_day(stream, by=("topic",), delay="3 days")

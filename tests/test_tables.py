@@ -5,7 +5,7 @@ from conftest import rows_of
 
 from colloquy.operators import cleaning, profiling
 from colloquy.schema import CLIENTS
-from colloquy.sources import tables
+from colloquy.sources import adapters, tables
 
 
 def test_source_needs_a_table_or_query(spark):
@@ -43,8 +43,6 @@ def test_write_and_read(spark, tmp_path, chats):
     people = spark.createDataFrame([(1, "Ann", None)], CLIENTS)
     people.write.parquet(f"{tmp_path}/clients.parquet")
     assert rows_of(tables.read_clients(spark, table="clients", folder=str(tmp_path))) == [(1, "Ann", None)]
-    spread = tables.read_source(spark, "t", folder=str(tmp_path), spread_by="id")
-    assert sorted(rows_of(spread)) == sorted(rows_of(frame))
 
 
 NAMES = [
@@ -123,3 +121,18 @@ def test_profile(spark):
     assert empty == [(0, 0, None)] * 3
     top = rows_of(profiling.top_values(frame, "p", ["n", "f"], n=1))
     assert top == [("p", "n", "2", 2), ("p", "f", "false", 2)]
+
+
+def test_unknown_columns_raise(spark):
+    frame = spark.createDataFrame([(1, "a")], "id long, name string")
+    for step in (("drop", "nme"), ("rename", {"nme": "x"})):
+        with pytest.raises(ValueError, match="nme"):
+            cleaning.clean(frame, [step])
+
+
+def test_message_ids_do_not_collide(spark):
+    rows = spark.createDataFrame([(1, 1000), (2, 0), (1, 2_000_000)], "c long, t long")
+    ids = rows_of(rows.select(adapters.message_id(rows.c, rows.t)))
+    assert len(set(ids)) == 3
+    with pytest.raises(Exception, match="no message id"):
+        rows.select(adapters.message_id(rows.c, -rows.t - 1)).collect()
