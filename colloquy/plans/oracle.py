@@ -324,8 +324,8 @@ ORACLES["table_profile"] = "\nUNION ALL ".join(
     _profile(table, *column.split()) for table, columns in PROFILE_COLUMNS.items() for column in columns.split(", ")
 )
 ORACLES["column_top_values"] = "\nUNION ALL ".join(
-    f"""SELECT * FROM (SELECT 'events' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value,
-    count(*) AS frequency FROM events WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY frequency DESC, value LIMIT 5)"""
+    f"""SELECT * FROM (SELECT 'events' AS table_name, '{c}' AS column_name,
+    {f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c == "ts" else f"CAST({c} AS VARCHAR)"} AS value, count(*) AS frequency FROM events WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY frequency DESC, value LIMIT 5)"""
     for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
 )
 
