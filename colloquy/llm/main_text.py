@@ -155,7 +155,7 @@ def lines_of(page: str) -> list[Line]:
 def _cut_off(page: str, at: int) -> bool:
     """Whether the text after the last tag ends in the beginning of another."""
     place = page.rfind("<", at)
-    return place >= 0 and re.match(r"</?[a-zA-Z]?[^<>]*\Z", page[place:]) is not None and page[place + 1 : place + 2] not in (" ", "")
+    return place >= 0 and re.fullmatch(r"</?(?:[a-zA-Z][^<>]*)?", page[place:], re.S) is not None
 
 
 def kept_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:

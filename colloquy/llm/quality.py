@@ -161,10 +161,10 @@ def quality(
     groups = written(_sketches(good, "lang", "source"), "sketches")
     own = _limits(groups.where(F.col("texts") >= group_texts), "lang", "source")
     of_lang = _limits(_merged(groups, "lang").where(F.col("texts") >= group_texts), "lang")
-    overall = _limits(_merged(groups)).first()
-    if overall is None or overall.limits[0] is None:  # nothing passes the base rules
+    if groups.isEmpty():  # nothing passes the base rules
         named = rows.withColumn("kept", F.lit(False))
         return named.select(F.col("id").alias(doc_id), *COUNTS, "base_failed", "kept")
+    overall = _limits(_merged(groups)).first()
     default = F.struct(
         *(F.struct(F.lit(limit.low).alias("low"), F.lit(limit.high).alias("high")).alias(m.name) for m, limit in zip(MEASURES, overall.limits))
     )
