@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_broadcast, fields, written
+from .words import mix
 
 MIN_CHARS = 30
 EDITS = 2
@@ -36,13 +37,11 @@ LANES = 4096
 SHARED_KEYS = 1_000_000
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start (from 0) and size of a segment: equal shares, the last ones longer by one."""
-    share = F.floor(length / (edits + 1))
-    longer = length - share * (edits + 1)  # so many segments at the end
-    before = F.greatest(F.lit(0), F.lit(number) - (edits + 1 - longer))
-    start = share * number + before
-    return start, share + F.when(F.lit(number) >= edits + 1 - longer, 1).otherwise(0)
+    share, longer = length // (edits + 1), length % (edits + 1)
+    plain = edits + 1 - longer  # so many segments have no more than the share
+    return share * number + np.maximum(0, number - plain), share + (number >= plain)
 
 
 def probe_offsets(number: int, shorter: int, edits: int) -> range:
@@ -51,62 +50,131 @@ def probe_offsets(number: int, shorter: int, edits: int) -> range:
     return range(max(-left, shorter - right), min(left, shorter + right) + 1)
 
 
-def keys_of(line: Column, length: Column, edits: int) -> Column:
-    """An array of (key, indexed): a line's own segments, and its probes.
+class Substrings:
+    """Hashes of any substrings of a batch of strings, from one prefix sum of powers."""
+
+    base = 0x9E3779B97F4A7C15
+    powers = np.ones(1, np.uint64)
+    inverses = np.ones(1, np.uint64)
+
+    def __init__(self, strings):
+        """``strings`` is an Arrow column without nulls."""
+        import pyarrow as pa
+
+        column = strings.cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(column) else b""
+        points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        # Characters before each byte, and so before each string.
+        begins = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+        places = begins[offsets - offsets[0]]
+        self.start, self.length = places[:-1], np.diff(places)
+        self._grow(len(points) + 1)
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=self.sums[1:])
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls.powers) < n:
+            inverse = pow(cls.base, -1, 1 << 64)
+            for name, factor in (("powers", cls.base), ("inverses", inverse)):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                setattr(cls, name, np.multiply.accumulate(steps))
+
+    def hashes(self, which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = self.start[which] + begin
+        return (self.sums[first + size] - self.sums[first]) * self.inverses[first]
+
+
+def keys_of(strings, edits: int):
+    """(line numbers, keys, indexed) of all segments and probes of an Arrow column of lines.
 
     The key hashes segment number, text and length of the indexed line. A probe at
     a segment's own place is the indexed row itself.
     """
-    out = []
+    of = Substrings(strings)
     for shorter in range(edits + 1):
-        indexed = length - shorter
+        indexed = of.length - shorter
         for number in range(edits + 1):
             start, size = segment(indexed, number, edits)
             for shift in probe_offsets(number, shorter, edits):
-                own = shorter == 0 and shift == 0
                 begin = start + shift
-                key = F.xxhash64(F.lit(number), indexed.cast("int"), F.substring(line, (begin + 1).cast("int"), size.cast("int")))
-                fits = (begin >= 0) & (begin + size <= length)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("indexed"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                fits = np.flatnonzero((begin >= 0) & (begin + size <= of.length) & (size > 0))
+                text = of.hashes(fits, begin[fits], size[fits])
+                label = (indexed[fits] * (edits + 1) + number).astype(np.uint64)
+                yield fits, mix(text + mix(label + np.uint64(1))).view(np.int64), shorter == 0 and shift == 0
+
+
+def _keyed(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(hash, key, indexed) of lines of at least ``min_chars`` characters."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            hashes = batch.column(0)
+            for at, keys, indexed in keys_of(batch.column(1), edits):
+                yield pa.RecordBatch.from_arrays(
+                    [hashes.take(pa.array(at)), pa.array(keys), pa.array(np.full(len(at), indexed))], ["hash", "key", "indexed"]
+                )
+
+    long = lines.where(F.length("line") >= min_chars).select("hash", "line")
+    return long.mapInArrow(run, "hash bigint, key bigint, indexed boolean")
 
 
 def near(left: list[str], right: list[str], edits: int) -> np.ndarray:
     """Whether each pair of strings is within the edits: banded bit-vectors, a lane a pair.
 
-    Bit i of the vectors is the row j - edits + i of column j; VP and VN hold where a
+    Bit i of the vectors is the row j - edits + i of column j; they hold where a
     column rises and falls from row to row. The distance is followed along the
-    lowest diagonal of the band and then up its last column.
+    lowest diagonal of the band and then up its last column. What a pair has in
+    common at both ends is cut off first.
     """
+    pairs = [_differing(a, b) for a, b in zip(left, right)]
     out = np.zeros(len(left), bool)
-    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right)], np.int64).reshape(-1, 2)
-    order = np.argsort(sizes.max(axis=1), kind="stable")
+    order = sorted(range(len(pairs)), key=lambda k: max(map(len, pairs[k])))
     for at in range(0, len(order), LANES):
         lanes = order[at : at + LANES]
-        out[lanes] = _near_lanes([left[k] for k in lanes], [right[k] for k in lanes], edits)
+        out[lanes] = _near_lanes([pairs[k] for k in lanes], edits)
     return out
 
 
-def _near_lanes(left: list[str], right: list[str], edits: int) -> np.ndarray:
-    n = np.array([len(a) for a in left])
-    m = np.array([len(b) for b in right])
+def _differing(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two strings' characters without their common beginning and end."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    unequal = np.flatnonzero(x[:n] != y[:n])
+    head = int(unequal[0]) if len(unequal) else n
+    x, y, n = x[head:], y[head:], n - head
+    unequal = np.flatnonzero(x[len(x) - n :] != y[len(y) - n :])
+    tail = n - 1 - int(unequal[-1]) if len(unequal) else n
+    return x[: len(x) - tail], y[: len(y) - tail]
+
+
+def _near_lanes(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray:
+    n = np.array([len(a) for a, _ in pairs])
+    m = np.array([len(b) for _, b in pairs])
     band = 2 * edits + 1
-    top = int(m.max(initial=0))
+    out = (m == 0) & (n <= edits)
+    # Lanes still open: none that has ended or is too far off.
+    open_ = np.flatnonzero((m > 0) & (np.abs(n - m) <= edits))
+    top = int(m[open_].max(initial=0))
     # Column j (from 1) of the right string meets rows j - edits .. j + edits of the left one.
-    rows = np.zeros((len(left), max(int(n.max(initial=0)), top) + band + 1), np.uint32)
-    columns = np.zeros((len(right), top + 1), np.uint32)
-    for k, (a, b) in enumerate(zip(left, right)):
-        rows[k, edits : edits + len(a)] = np.frombuffer(a.encode("utf-32-le"), np.uint32) + np.uint32(1)
-        columns[k, : len(b)] = np.frombuffer(b.encode("utf-32-le"), np.uint32) + np.uint32(1)
+    rows = np.zeros((len(open_), top + 2 * band), np.uint32)
+    columns = np.zeros((len(open_), top + 1), np.uint32)
+    for k, lane in enumerate(open_):
+        a, b = pairs[lane]
+        rows[k, edits : edits + len(a)] = a + np.uint32(1)
+        columns[k, : len(b)] = b + np.uint32(1)
     one, full, top_bit = np.uint64(1), np.uint64((1 << band) - 1), np.uint64(1 << (band - 1))
     # Rises (up) and falls (down) of the column before, from row j - edits + i - 1 to row j - edits + i.
     # Column 0 rises in every row from 1 on; rows above the string never match and stay level.
-    up = np.full(len(left), np.uint64(sum(1 << i for i in range(band) if i >= edits)))
-    down = np.zeros(len(left), np.uint64)
-    value = np.full(len(left), edits, np.int64)  # at the band's lowest row
-    final = np.where(m == 0, n, 2 * band)
+    up = np.full(len(open_), np.uint64(sum(1 << i for i in range(band) if i >= edits)))
+    down = np.zeros(len(open_), np.uint64)
+    value = np.full(len(open_), edits, np.int64)  # at the band's lowest row
     for j in range(1, top + 1):
-        match = np.zeros(len(left), np.uint64)
+        match = np.zeros(len(open_), np.uint64)
         for i in range(band):
             match |= (rows[:, j - 1 + i] == columns[:, j - 1]).astype(np.uint64) << np.uint64(i)
         # Where a diagonal step costs nothing.
@@ -116,15 +184,23 @@ def _near_lanes(left: list[str], right: list[str], edits: int) -> np.ndarray:
         # The band moves down by a row; the one that comes in is a rise.
         up = (right_down | ~((zero >> one) | right_up) | top_bit) & full
         down = (zero >> one) & right_up & ~top_bit
-        done = np.flatnonzero(m == j)
+        done = np.flatnonzero(m[open_] == j)
         if len(done):
-            total, above = value[done], j + edits - n[done]  # rows to walk up to the last one
+            total, above = value[done], j + edits - n[open_[done]]  # rows to walk up to the last one
             for s in range(2 * edits):
                 bit = np.uint64(1 << (2 * edits - 1 - s))
                 total = total - np.where((above > s) & ((up[done] & bit) != 0), 1, 0)
                 total = total + np.where((above > s) & ((down[done] & bit) != 0), 1, 0)
-            final[done] = np.where((above >= 0) & (above <= 2 * edits), total, 2 * band)
-    return final <= edits
+            out[open_[done]] = (above >= 0) & (above <= 2 * edits) & (total <= edits)
+        if len(done) or j % 16 == 0:
+            # No cell of a band is below its lowest row's value by more than its width.
+            stay = (m[open_] > j) & (value <= 3 * edits)
+            if not stay.all():
+                open_, rows, columns = open_[stay], rows[stay], columns[stay]
+                up, down, value = up[stay], down[stay], value[stay]
+                if not len(open_):
+                    break
+    return out
 
 
 def _lines(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
@@ -143,12 +219,7 @@ def near_pairs(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     size, which also makes copies of a line one before the shuffle. Only the rows
     of the remaining keys are joined.
     """
-    length = F.length("line")
-    keyed = (
-        lines.where(length >= min_chars)
-        .select("hash", F.explode(keys_of(F.col("line"), length, edits)).alias("k"))
-        .select("hash", "k.key", "k.indexed")
-    )
+    keyed = _keyed(lines, edits, min_chars)
     shared = keyed.groupBy("key").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
     shared = written(shared.where("least <> most").select("key"), "shared-segments")
     rows = keyed.join(bounded_broadcast(shared, limit=SHARED_KEYS), "key", "left_semi")
