@@ -320,6 +320,19 @@ class Encoder:
         return b"".join(parts)
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(shared) -> Encoder:
+    """The worker's encoder: it and the words it has met serve all tasks of the worker."""
+    pieces, trie = shared.value
+    key = hash((pieces.is_unigram, tuple(pieces.ids.items()), tuple(pieces.scores)))
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(pieces, trie)
+    return _ENCODERS[key]
+
+
 def combined(a: dict, b: dict) -> dict:
     """The max-plus product of two matrices."""
     out: dict = {}
@@ -421,7 +434,7 @@ def encode(
     def encode_short(batches):
         import pyarrow as pa
 
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -459,7 +472,7 @@ def encode(
     def matrices(batches):
         import pyarrow as pa
 
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         for batch in batches:
             place, before, middle, after = (batch.column(k).to_pylist() for k in (1, 3, 4, 5))
             made = [pickle.dumps(encoder.matrix(b, m, a, p == 0)) for p, b, m, a in zip(place, before, middle, after)]
@@ -512,7 +525,7 @@ def encode(
     def trace(batches):
         import pyarrow as pa
 
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         for batch in batches:
             middle, after, ends = (batch.column(k).to_pylist() for k in (2, 3, 4))
             found = [encoder.trace_chunk(m, a, *pickle.loads(e)) for m, a, e in zip(middle, after, ends)]
