@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 # A word of two or more word characters, in any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
+# Common English words that say little about a text's topic.
+ENGLISH_STOP_WORDS = tuple(
+    "about above after again all also am an and any are as at be because been before being below between both but by "
+    "can could did do does doing down during each else ever few for from further had has have having he her here hers "
+    "him his how however if in into is it its itself just me more most much must my myself no nor not now of off on "
+    "once only or other our ours out over own same she should so some such than that the their theirs them then there "
+    "these they this those through to too under until up upon us very was we were what when where which while who whom "
+    "why will with within without would yet you your yours".split()
+)
 
 
 def normalized(text: Column) -> Column:

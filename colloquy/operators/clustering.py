@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized
+from ..functions.text import ENGLISH_STOP_WORDS, normalized
 from ..session import written
 from .evaluation import fit_scaling
 from .tfidf import fit_tfidf, long_form
@@ -104,7 +104,7 @@ def cluster_topics(
     *,
     n_clusters: int = 5,
     max_features: int = 1000,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     seed: int = 42,
 ) -> TopicClusters:
     """Group texts by k-means on their TF-IDF vectors and place them in the plane.

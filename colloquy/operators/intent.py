@@ -6,6 +6,7 @@ well it learned the rules, not how well it understands users.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import INTENT_DEFAULT, INTENT_RULES, Rules, with_intent
+from ..functions.text import ENGLISH_STOP_WORDS
 from ..session import written
 from .evaluation import classification_report, in_test_set
 from .tfidf import Tfidf, fit_tfidf
@@ -55,12 +57,13 @@ def train_intent_model(
     default: str = INTENT_DEFAULT,
     *,
     max_features: int = 500,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     trees: int = 100,
     max_depth: int = 10,
     seed: int = 42,
 ) -> IntentModel:
     """TF-IDF of the question and a random forest on 80 % of the rows."""
-    tfidf = fit_tfidf(chats, "question", max_features=max_features)
+    tfidf = fit_tfidf(chats, "question", max_features=max_features, stop_words=stop_words)
     labelled = with_intent(chats, rules, default).select("id", "question", "intent")
     rows = written(tfidf.vectors(labelled).drop("question"), "intents")
     indexer = StringIndexer(inputCol="intent", outputCol="intent_index", stringOrderType="alphabetAsc").fit(rows)

@@ -5,7 +5,9 @@ lexicon the caller supplies as a (term, valence) table. In: negations and
 intensity words in the three words before a term, capitals for emphasis in a
 text of mixed case, the shift at the first "but", exclamation and question
 marks, and the normalisation to (-1, 1). Not in: idioms, emoticons, "least",
-and the special cases of "never so". A text without any term scores 0.
+the special cases of "never so", and two exceptions for words that stand in both
+lists: here an intensity word that is a term counts as a term, and a word before a
+term scales or negates it even if it is a term itself. A text without any term scores 0.
 """
 
 from __future__ import annotations

@@ -51,18 +51,19 @@ def term_counts(rows: DataFrame, column: str, stop_words: Sequence[str] = ()) ->
     """Occurrences and containing texts of every term, counted before the shuffle.
 
     Each text gives its words once as occurrences and its distinct words once
-    as a document, so both counts come from one pass over the texts.
+    as a document, so both counts come from one pass over the texts. The row of
+    the NULL term holds the number of all texts.
     """
     tokens = rows.select(words(F.col(column)).alias("tokens")).select(
         "tokens", F.array_distinct("tokens").alias("once")
     )
     both = F.array(
         F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("tokens").alias("terms")),
-        F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.col("once").alias("terms")),
+        F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.concat("once", F.array(F.lit(None).cast("string"))).alias("terms")),
     )
     counted = tokens.select(F.inline(both)).select("n", "d", F.explode("terms").alias("term"))
     if stop_words:
-        counted = counted.filter(~F.col("term").isin(*stop_words))
+        counted = counted.filter(F.col("term").isNull() | ~F.col("term").isin(*stop_words))
     return counted.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("d").alias("documents"))
 
 
@@ -79,13 +80,14 @@ def fit_tfidf(
     term)) + 1), rows scaled to length 1. The driver receives the vocabulary
     only, never more than max_features rows.
     """
-    texts = rows.count()
     top = (
         term_counts(rows, column, stop_words)
-        .orderBy(F.desc("occurrences"), "term")
-        .limit(max_features)
+        .orderBy(F.desc(F.isnull("term")), F.desc("occurrences"), "term")
+        .limit(max_features + 1)
         .collect()
     )
+    texts = sum(row.documents for row in top if row.term is None)
+    top = [row for row in top if row.term is not None]
     if not top:
         raise ValueError("the texts hold no terms")
     top.sort(key=lambda row: row.term)

@@ -192,3 +192,16 @@ def test_satisfaction_model(spark):
     assert {r[0] for r in rows_of(model.report())} >= {"accuracy", "macro avg", "weighted avg"}
     same = satisfaction.train_satisfaction_model(frame, trees=10)
     assert rows_of(same.importances) == weights
+
+
+def test_clusters_have_no_stop_words_by_default(spark):
+    rows = [(k, f"the {a} of the {b} and with that {a}") for k, (a, b) in enumerate([("flight", "gate"), ("menu", "food"), ("hotel", "room")] * 4)]
+    clusters = clustering.cluster_topics(spark.createDataFrame(rows, "id long, question string"), n_clusters=3)
+    terms = {r.term for r in clusters.top_terms().select("term").collect()}
+    assert terms <= {"flight", "gate", "menu", "food", "hotel", "room"} and terms
+
+
+def test_text_count_comes_from_the_term_pass(spark):
+    rows = spark.createDataFrame([(1, "aa bb"), (2, None), (3, "")], "id long, question string")
+    model = tfidf.fit_tfidf(rows)
+    assert [round(r.idf, 9) for r in model.vocabulary.collect()] == [round(math.log(4 / 2) + 1, 9)] * 2
