@@ -103,11 +103,10 @@ def document_classes(docs: DataFrame, doc_id: str, text: str, words: int, trees:
 
 
 def _neighbours(depth: int, floor: int, reach: int, percent: int, least_bits: int):
-    """Turns sorted (tree, prefix, cls, n, bits) rows into candidate pairs, and
-    gives back the rows near the two ends of the partition for stitching."""
+    """Finds candidate pairs among sorted (tree, prefix, cls, n, bits) rows."""
 
     def pairs(tree, prefix, cls, n, bits):
-        """Row numbers (earlier, later) and shared depth of the candidates."""
+        """Row numbers (earlier, later) of the candidates, and whether they are ``reach`` apart."""
         for step in range(1, reach + 1):
             if len(tree) <= step:
                 return
@@ -258,8 +257,9 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
     """(a, b): confirmed links between classes, enough to give all components
     that the candidates give.
 
-    Confirming ships whole sets, so it goes in two rounds: the pair with most votes
-    of each class first, then all those that still join two different components.
+    Confirming ships whole sets, so it goes in rounds: the pair with most votes of
+    each class first, then all those that still join two different components, then
+    what an exact search finds for crowded classes.
     """
     pairs = written(candidates(classes, trees, depth, floor, reach, percent), "candidates")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
