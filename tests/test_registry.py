@@ -52,3 +52,29 @@ def test_dashboard(spark):
     assert sum(r["count"] for r in tables["sentiment_distribution"].collect()) == rows
     assert tables["topic_performance"].count() == 3
     assert tables["user_engagement"].count() == chats.select("client_id").distinct().count()
+
+
+def test_forecast_against_what_sql_can_decide(spark, con):
+    union = QUERIES["forecast_union"](spark, FOLDER).toPandas()
+    past, future = union[union.type == "Historical"], union[union.type == "Forecast"]
+    expected = con.execute(ORACLES["forecast_features"]).df()
+    assert sorted(zip(past.date.astype(str), past.volume)) == sorted(zip(expected.date.astype(str).str[:10], expected.volume))
+    dates = con.execute(ORACLES["forecast_dates"]).df()
+    assert sorted(future.date.astype(str)) == sorted(dates.date.astype(str).str[:10])
+    assert future.volume.between(past.volume.min(), past.volume.max()).all()
+
+
+def test_hybrid_intent_follows_the_rules(spark):
+    rows = QUERIES["hybrid_intent"](spark, FOLDER).toPandas()
+    ruled = rows.intent != fixtures.INTENT_DEFAULT
+    assert ruled.any() and (rows.hybrid_intent[ruled] == rows.intent[ruled]).all()
+    assert (rows.hybrid_intent[~ruled] == rows.predicted_intent[~ruled]).all()
+
+
+def test_satisfaction_model_against_sql(spark, con):
+    rows = QUERIES["satisfaction_model"](spark, FOLDER).toPandas()
+    labels = con.execute(ORACLES["satisfaction_labels"]).df()
+    assert sorted(zip(rows.client_id, rows.satisfaction)) == sorted(zip(labels.client_id, labels.satisfaction))
+    assert set(rows.predicted_satisfaction) <= set(labels.satisfaction)
+    importance = QUERIES["feature_importance"](spark, FOLDER).toPandas()
+    assert len(importance) == 8 and abs(importance.importance.sum() - 1) < 1e-9
