@@ -33,6 +33,7 @@ MIN_CHARS = 30
 EDITS = 2
 # Lanes of the edit distance computed together.
 LANES = 4096
+SHAPE_GROUPS = 16
 # Segment keys shared by several lines are broadcast up to so many (8 bytes each).
 SHARED_KEYS = 1_000_000
 
@@ -71,7 +72,8 @@ class Substrings:
         self.start, self.length = places[:-1], np.diff(places)
         self._grow(len(points) + 1)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=self.sums[1:])
+        self.mixed = mix(points.astype(np.uint64) + np.uint64(1))
+        np.cumsum(self.mixed * self.powers[: len(points)], out=self.sums[1:])
 
     @classmethod
     def _grow(cls, n: int) -> None:
@@ -82,18 +84,34 @@ class Substrings:
                 steps[0] = 1
                 setattr(cls, name, np.multiply.accumulate(steps))
 
+    def shapes(self) -> np.ndarray:
+        """For each string 16 counts modulo 16, of the characters in 16 groups, as one number."""
+        places = np.repeat(np.arange(len(self.length)), self.length) * SHAPE_GROUPS
+        groups = (self.mixed >> np.uint64(60)).astype(np.int64)
+        counts = np.bincount(places + groups, minlength=len(self.length) * SHAPE_GROUPS) & 15
+        shifts = np.arange(0, 64, 4, dtype=np.uint64)
+        return (counts.reshape(-1, SHAPE_GROUPS).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+
     def hashes(self, which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         first = self.start[which] + begin
         return (self.sums[first + size] - self.sums[first]) * self.inverses[first]
 
 
-def keys_of(strings, edits: int):
-    """(line numbers, keys, indexed) of all segments and probes of an Arrow column of lines.
+def shapes_fit(a: str, b: str, edits: int) -> Column:
+    """Whether two shapes may be of near lines: an edit moves two counts by one at most."""
+    parts = []
+    for k in range(SHAPE_GROUPS):
+        x, y = (f"(shiftrightunsigned({c}, {4 * k}) & 15L)" for c in (a, b))
+        parts.append(f"least(({x} - {y}) & 15L, ({y} - {x}) & 15L)")
+    return F.expr(f"{' + '.join(parts)} <= {2 * edits}")
+
+
+def keys_of(of: Substrings, edits: int):
+    """(line numbers, keys, indexed) of all segments and probes of a batch of lines.
 
     The key hashes segment number, text and length of the indexed line. A probe at
     a segment's own place is the indexed row itself.
     """
-    of = Substrings(strings)
     for shorter in range(edits + 1):
         indexed = of.length - shorter
         for number in range(edits + 1):
@@ -106,21 +124,23 @@ def keys_of(strings, edits: int):
                 yield fits, mix(text + mix(label + np.uint64(1))).view(np.int64), shorter == 0 and shift == 0
 
 
-def _keyed(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(hash, key, indexed) of lines of at least ``min_chars`` characters."""
+def _keyed(lines: DataFrame, edits: int, min_chars: int, *, shaped: bool = False) -> DataFrame:
+    """(hash, key, indexed) of lines of at least ``min_chars`` characters, and with ``shaped`` their shape."""
+    names = ["hash", "key", "indexed"] + ["shape"] * shaped
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hashes = batch.column(0)
-            for at, keys, indexed in keys_of(batch.column(1), edits):
-                yield pa.RecordBatch.from_arrays(
-                    [hashes.take(pa.array(at)), pa.array(keys), pa.array(np.full(len(at), indexed))], ["hash", "key", "indexed"]
-                )
+            hashes, of = batch.column(0), Substrings(batch.column(1))
+            shapes = of.shapes() if shaped else None
+            for at, keys, indexed in keys_of(of, edits):
+                more = [pa.array(shapes[at])] if shaped else []
+                columns = [hashes.take(pa.array(at)), pa.array(keys), pa.array(np.full(len(at), indexed)), *more]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     long = lines.where(F.length("line") >= min_chars).select("hash", "line")
-    return long.mapInArrow(run, "hash bigint, key bigint, indexed boolean")
+    return long.mapInArrow(run, "hash bigint, key bigint, indexed boolean" + ", shape bigint" * shaped)
 
 
 def near(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -217,15 +237,19 @@ def near_pairs(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
     Keys of one line only, by far the most, are found by an aggregate of fixed
     size, which also makes copies of a line one before the shuffle. Only the rows
-    of the remaining keys are joined.
+    of the remaining keys are joined, and pairs whose shapes differ by more than the edits
+    can explain are no candidates.
     """
     keyed = _keyed(lines, edits, min_chars)
     shared = keyed.groupBy("key").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
     shared = written(shared.where("least <> most").select("key"), "shared-segments")
-    rows = keyed.join(bounded_broadcast(shared, limit=SHARED_KEYS), "key", "left_semi")
-    rows = written(rows.groupBy("key", "hash").agg(F.max("indexed").alias("indexed")), "segments")
-    index = rows.where("indexed").select("key", F.col("hash").alias("a"))
-    pairs = index.join(rows.select("key", F.col("hash").alias("b")), "key").where("a <> b")
+    rows = _keyed(lines, edits, min_chars, shaped=True)
+    rows = rows.join(bounded_broadcast(shared, limit=SHARED_KEYS), "key", "left_semi")
+    rows = rows.groupBy("key", "hash").agg(F.max("indexed").alias("indexed"), F.max("shape").alias("shape"))
+    rows = written(rows, "segments")
+    index = rows.where("indexed").select("key", F.col("hash").alias("a"), F.col("shape").alias("sa"))
+    probes = rows.select("key", F.col("hash").alias("b"), F.col("shape").alias("sb"))
+    pairs = index.join(probes, "key").where("a <> b").where(shapes_fit("sa", "sb", edits))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
