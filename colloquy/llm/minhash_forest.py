@@ -39,6 +39,8 @@ from .store import bounded_broadcast, written
 from .words import LOWER_SPLIT_AT_SPACE, hashed_texts, keys, mix, text_bytes, windows
 
 _SEED = 17
+# Classes of a crowd that are compared with as many others in one row.
+BLOCK = 256
 
 
 def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -306,55 +308,70 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
     )
     more = written(_confirmed(rest, sets, percent), "confirmed")
     good = written(good.unionByName(more.where("linked").select("a", "b")), "links")
-    crowded = written(_rest_of_crowds(pairs, sets, components(good, "a", "b"), percent), "crowded-pairs")
-    last = _confirmed(crowded, sets, percent)
-    return good.unionByName(last.where("linked").select("a", "b"))
+    return good.unionByName(_rest_of_crowds(pairs, sets, components(good, "a", "b"), percent))
 
 
 def _rest_of_crowds(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All further pairs of crowded classes that may be linked and join two components.
+    """All further links (a, b) of crowded classes that join two components.
 
     A class is crowded if it has a candidate ``reach`` places away: the sorted orders
-    may then have hidden links of it behind others. For these the search is exact. Two
-    sets of the wanted similarity share one of their first n - ceil(n * percent / 100) + 1
-    members in any common order; rare members come first, so near copies meet in
-    what few of them share. Only members that lie in several components are
-    joined, those of the most frequent component on one side only.
+    may then have hidden links of it behind others. For these the search is exact.
+    A crowd is what candidates connect. All its classes outside its largest component
+    are compared with all of it, in blocks of ``BLOCK`` classes: a row for each pair of
+    blocks, in which a task counts common members and gives back links alone.
     """
     ends = pairs.where("far").select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    members = sets.join(ends, "cls", "left_semi").select("cls", "members")
-
-    def spread(batches):
+    crowds = components(pairs, "a", "b").select(F.col("vertex").alias("cls"), F.col("label").alias("crowd"))
+    known = labels.select(F.col("vertex").alias("cls"), "label")
+    rows = ends.join(crowds, "cls").join(known, "cls", "left").select("cls", "crowd", F.coalesce("label", "cls").alias("label"))
+    rows = written(rows, "crowded")
+    sizes = rows.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("k"))
+    top = sizes.groupBy("crowd").agg(
+        F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("classes"), F.count(F.lit(1)).alias("labels")
+    )
+    # A crowd of one component has nothing to find.
+    top = top.where("labels > 1").select("crowd", F.col("top.label").alias("top"), F.ceil(F.col("classes") / BLOCK).alias("blocks"))
+    placed = rows.join(top, "crowd").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rest = (F.col("label") != F.col("top")).alias("rest")
+    placed = placed.join(sets, "cls").select("crowd", "block", "blocks", rest, F.struct("cls", "label", "members").alias("x"))
+    # A block holds about BLOCK classes, and so the lists are of bounded size.
+    all_ = placed.groupBy("crowd", "block").agg(F.collect_list("x").alias("right"))
+    rest = placed.where("rest").groupBy("crowd", "block", "blocks").agg(F.collect_list("x").alias("left"))
+    rest = rest.select("crowd", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for cls, value in zip(*(c.to_pylist() for c in batch.columns)):
-                found = np.frombuffer(value, np.int64)
-                n = len(found)
+            for left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                found = _links_between(left, right, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cls] * n, pa.binary()), pa.array(np.full(n, n)), pa.array(found)], ["cls", "n", "member"]
+                    [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"]
                 )
 
-    rows = written(members.mapInArrow(spread, "cls binary, n bigint, member bigint"), "crowded-members")
-    order = rows.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # A member of one class alone comes first and meets nobody: it only takes up a place.
-    shared = rows.join(order, "member").groupBy("cls").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "member"))).alias("shared")
-    )
-    first = F.expr(f"n - ceil(n * {percent} / 100) + 1 - (n - size(shared))")
-    prefix = shared.where(first > 0).select("cls", "n", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("m"))
-    labels = labels.select(F.col("vertex").alias("cls"), "label")
-    prefix = prefix.join(labels, "cls", "left").select("cls", "n", "m.member", F.coalesce("label", "cls").alias("label"))
-    prefix = written(prefix, "crowded-prefixes")
-    sizes = prefix.groupBy("member", "label").agg(F.count(F.lit(1)).alias("k"))
-    most = sizes.groupBy("member").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    most = most.where("labels > 1").select("member", F.col("top.label").alias("top"))
-    some = prefix.join(most, "member")
-    a = some.where("label <> top").select("member", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    b = some.select("member", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    found = a.join(b, "member").where("la <> lb").where(alike)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rest.join(all_, ["crowd", "block"]).select("left", "right").mapInArrow(compare, "a binary, b binary")
+    return written(found.distinct(), "links-of-crowds")
+
+
+def _links_between(left: list[dict], right: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+    """The linked pairs of different components, by counting common members through an index."""
+    sets = [np.frombuffer(x["members"], np.uint64) for x in right]
+    sizes = np.array([len(x) for x in sets])
+    members, where = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(members, kind="stable")
+    members, where = members[order], where[order]
+    out = []
+    for x in left:
+        mine = np.frombuffer(x["members"], np.uint64)
+        begin, end = np.searchsorted(members, mine), np.searchsorted(members, mine, "right")
+        runs = [where[a:b] for a, b in zip(begin.tolist(), end.tolist()) if b > a]
+        if not runs:
+            continue
+        both = np.bincount(np.concatenate(runs), minlength=len(sets))
+        for k in np.flatnonzero(100 * both >= percent * (sizes + len(mine) - both)).tolist():
+            if right[k]["label"] != x["label"]:
+                out.append((min(x["cls"], right[k]["cls"]), max(x["cls"], right[k]["cls"])))
+    return out
 
 
 def near_duplicates(
