@@ -34,6 +34,8 @@ EDITS = 2
 # Lanes of the edit distance computed together.
 LANES = 4096
 SHAPE_GROUPS = 16
+# Lines whose segments are hashed together, some dozens of bytes for each character.
+LINES = 500
 # Segment keys shared by several lines are broadcast up to so many (8 bytes each).
 SHARED_KEYS = 1_000_000
 
@@ -132,12 +134,14 @@ def _keyed(lines: DataFrame, edits: int, min_chars: int, *, shaped: bool = False
         import pyarrow as pa
 
         for batch in batches:
-            hashes, of = batch.column(0), Substrings(batch.column(1))
-            shapes = of.shapes() if shaped else None
-            for at, keys, indexed in keys_of(of, edits):
-                more = [pa.array(shapes[at])] if shaped else []
-                columns = [hashes.take(pa.array(at)), pa.array(keys), pa.array(np.full(len(at), indexed)), *more]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for start in range(0, batch.num_rows, LINES):
+                part = batch.slice(start, LINES)
+                hashes, of = part.column(0), Substrings(part.column(1))
+                shapes = of.shapes() if shaped else None
+                for at, keys, indexed in keys_of(of, edits):
+                    more = [pa.array(shapes[at])] if shaped else []
+                    columns = [hashes.take(pa.array(at)), pa.array(keys), pa.array(np.full(len(at), indexed)), *more]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     long = lines.where(F.length("line") >= min_chars).select("hash", "line")
     return long.mapInArrow(run, "hash bigint, key bigint, indexed boolean" + ", shape bigint" * shaped)
