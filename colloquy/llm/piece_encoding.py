@@ -43,8 +43,8 @@ CHUNK = 16_384  # characters
 # Matrices combined in one task; a text of two gigabytes, Spark's limit, has
 # about 131,000 chunks and so 256 groups.
 GROUP = 512
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 150_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 START = None  # the state before the first piece
 
