@@ -4,9 +4,9 @@ A page's markup is stripped to lines, one for each block element; lines of page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments)
 count as empty, and links in a line count nothing. Text lengths are summed over a
 sliding window of lines. Where the sum surges above a threshold text begins, where
-it dives to zero it ends; what lies between is kept. If a page marks its article
-(article or main elements), a run of text is widened to the ends of the article
-that it lies in, so that short lines at its edges are not lost.
+it dives to zero it ends; what lies between is kept, wherever on the page it is.
+What a page marks as its article (article or main elements) is kept besides, from
+end to end, if it has any text outside links; so short lines are not lost there.
 
 Lines are joined by one blank, white space in a line is one blank, character
 references are decoded. Pages are handled row by row, without a shuffle.
@@ -159,31 +159,24 @@ def _cut_off(page: str, at: int) -> bool:
 
 
 def kept_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
-    """The lines between surge and dive points, widened to the article's ends."""
+    """The lines between surge and dive points, and all lines of articles with text."""
     n = len(lines)
     plain = np.array([x.plain for x in lines] + [0] * window, np.int64)
     sums = np.convolve(plain, np.ones(window, np.int64))[window - 1 : window - 1 + n]
     keep = np.zeros(n, bool)
     containers = np.array([x.container for x in lines], np.int64)
     inside = False
-    found: set[int] = set()
     for k in range(n):
         if not inside and sums[k] >= surge and plain[k]:
             inside = True
         elif inside and sums[k] == 0:
             inside = False
-        if inside:
-            keep[k] = True
-            found.add(int(containers[k]))
-    marked = found - {0}
-    if not marked:
-        # No surge in an article: it may be short, but it is what the page marks.
-        sizes = np.bincount(containers, weights=plain[:n])
-        if len(sizes) > 1 and sizes[1:].max() > 0:
-            marked = {int(sizes[1:].argmax()) + 1}
-    if marked:
-        keep = np.isin(containers, list(marked))
-    elif not keep.any():
+        keep[k] = inside
+    # What the page marks is text however short it is, unless it is links alone.
+    sizes = np.bincount(containers, weights=plain[:n])
+    sizes[0] = 0
+    keep |= sizes[containers] > 0
+    if not keep.any():
         keep = plain[:n] > 0
     return [line for line, k in zip(lines, keep) if k and line.text]
 

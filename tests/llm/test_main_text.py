@@ -36,6 +36,17 @@ def test_short_article_cut_off_and_unmarked():
     assert main_text("a < b and c > d <3") == "a < b and c > d <3"
 
 
+LONG = "A paragraph of the body that is long enough to make the sum of its window surge."
+
+
+def test_text_outside_and_in_several_articles():
+    teasers = "<article><p>Teaser one</p></article><article><p>Teaser two</p></article>"
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><nav>Menu</nav><hr><hr>{teasers}") == f"{LONG} {LONG} Teaser one Teaser two"
+    assert main_text(f"<p>{LONG}</p><article><h1>Head</h1><p>{LONG}</p></article><p>{LONG}</p>") == f"{LONG} Head {LONG} {LONG}"
+    several = f"<article><p>{LONG}</p></article><nav>a</nav><nav>b</nav><article><p>Short one.</p></article><nav>c</nav><article><a href='/x'>{LONG}</a></article>"
+    assert main_text(several) == f"{LONG} Short one."
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", "t"), (2, None, None, "t"), (3, "u", "", None), (None, "u", "<p>x", "t")]
     rows += [rows[0], (5, "u", "<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>", "t")]
