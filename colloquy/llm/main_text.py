@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-A page's markup is stripped to lines, one for each block element; lines of page
+A page's markup is stripped to lines, one for each block element with text; page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-count as empty, and links in a line count nothing. Text lengths are summed over a
-sliding window of lines. Where the sum surges above a threshold text begins, where
-it dives to zero it ends; what lies between is kept, wherever on the page it is.
+leaves one empty line each, and links in a line count nothing. Text lengths are
+summed over a sliding window of lines. Lines between two places where the sum dives
+to zero are kept, from the first with text to the last, if the sum surges above a
+threshold in them, wherever on the page they are.
 What a page marks as its article (article or main elements) is kept besides, from
 end to end, if it has any text outside links; so short lines are not lost there.
 
@@ -89,7 +90,7 @@ def is_furniture(name: str, attributes: str) -> bool:
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's lines in order; furniture leaves empty ones."""
+    """The page's lines with text in order; furniture leaves empty ones."""
     page = _RAW.sub("\n", _COMMENT.sub("", page))
     lines: list[Line] = []
     parts: list[str] = []
@@ -100,7 +101,8 @@ def lines_of(page: str) -> list[Line]:
     def end_line():
         nonlocal parts, plain
         text = " ".join(html.unescape("".join(parts)).split())
-        lines.append(Line(text, container, plain if text else 0))
+        if text:
+            lines.append(Line(text, container, plain))
         parts, plain = [], 0
 
     def add(text):
@@ -159,21 +161,19 @@ def _cut_off(page: str, at: int) -> bool:
 
 
 def kept_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
-    """The lines between surge and dive points, and all lines of articles with text."""
+    """The lines between dives if there is a surge, and all lines of articles with text."""
     n = len(lines)
     plain = np.array([x.plain for x in lines] + [0] * window, np.int64)
     sums = np.convolve(plain, np.ones(window, np.int64))[window - 1 : window - 1 + n]
     keep = np.zeros(n, bool)
     containers = np.array([x.container for x in lines], np.int64)
-    inside = False
-    for k in range(n):
-        if not inside and sums[k] >= surge and plain[k]:
-            inside = True
-        elif inside and sums[k] == 0:
-            inside = False
-        keep[k] = inside
+    # Runs of lines with text, between which a window sum is zero.
+    texts = np.flatnonzero(plain)
+    for run in np.split(texts, np.flatnonzero(np.diff(texts) > window) + 1):
+        if len(run) and sums[run].max() >= surge:
+            keep[run[0] : run[-1] + 1] = True
     # What the page marks is text however short it is, unless it is links alone.
-    sizes = np.bincount(containers, weights=plain[:n])
+    sizes = np.bincount(containers, weights=plain[:n], minlength=1)
     sizes[0] = 0
     keep |= sizes[containers] > 0
     if not keep.any():

@@ -47,6 +47,16 @@ def test_text_outside_and_in_several_articles():
     assert main_text(several) == f"{LONG} Short one."
 
 
+def test_short_blocks_in_wrappers():
+    blocks = [("h1", "Head"), ("p", "By Ann"), ("p", "12 May"), ("li", "One"), ("p", LONG), ("h2", "Part"), ("p", "Short."), ("li", "Two"), ("p", LONG), ("p", "End.")]
+    text = " ".join(x for _, x in blocks)
+    wrapped = "".join(f"<div><div><{t}>{x}</{t}></div></div>" for t, x in blocks)
+    assert main_text(f"<body><nav>Menu</nav>{wrapped}<footer>Foot</footer>") == text
+    assert main_text("<br><br><br><br>".join(x for _, x in blocks)) == text
+    menus = "<div><a href='/a'>Menu</a></div>" * 3
+    assert main_text(f"<div>Logo</div>{menus}{wrapped}{menus}<div>Foot</div>") == text
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", "t"), (2, None, None, "t"), (3, "u", "", None), (None, "u", "<p>x", "t")]
     rows += [rows[0], (5, "u", "<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>", "t")]
