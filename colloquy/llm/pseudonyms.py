@@ -35,6 +35,17 @@ MONTHS = "January February March April May June July August September October No
 # Addresses that name no one.
 PLAIN_ADDRESSES = frozenset(("0.0.0.0", "127.0.0.1", "255.255.255.255"))
 
+# An IBAN of this length is looked for first, then any with valid check digits.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+        23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL",
+        29: "BR PS QA UA", 30: "JO KW MU", 31: "MT",
+    }.items()
+    for country in countries.split()
+}
+
 
 class Permutation:
     """A keyed permutation of 0 .. n-1 without fixed points, for n > 1.
@@ -153,13 +164,17 @@ class Pseudonyms:
         return self.mixed("email@" + domain.lower(), local) + at + domain
 
     def iban(self, m: re.Match) -> str | None:
-        value = m[0].replace(" ", "")
-        country, check, account = value[:2], value[2:4], value[4:]
-        if not 11 <= len(account) <= 30 or iban_digits(country, account) != check:
-            return None
-        account = self.mixed("iban" + country, account)
-        new = iter(country + iban_digits(country, account) + account)
-        return "".join(c if c == " " else next(new) for c in m[0])
+        """As long as the IBAN, which upper-case words may follow in the match."""
+        ends = [k.start() for k in re.finditer(" |$", m[0])]
+        usual = IBAN_LENGTHS.get(m[0][:2])
+        for end in sorted(ends, key=lambda end: (end - m[0].count(" ", 0, end) != usual, -end)):
+            value = m[0][:end].replace(" ", "")
+            country, check, account = value[:2], value[2:4], value[4:]
+            if 11 <= len(account) <= 30 and iban_digits(country, account) == check:
+                account = self.mixed("iban" + country, account)
+                new = iter(country + iban_digits(country, account) + account)
+                return "".join(c if c == " " else next(new) for c in m[0][:end])
+        return None
 
     def secret(self, m: re.Match) -> str | None:
         value = m[0].lower()
@@ -229,6 +244,22 @@ class Pseudonyms:
             return self.in_place(m[0], body + luhn_digit(body))
         return self.in_place(m[0], self.digits("account", digits, lambda d: luhn_digit(d[:-1]) != d[-1]))
 
+    def others(self, text: str, at: int, end: int) -> Iterator[tuple[int, int, str]]:
+        """The values but e-mail addresses; what is not valid may hold another, or be one of another kind."""
+        while m := _OTHERS.search(text, at, end):
+            kind, start = m.lastgroup, m.start()
+            new = getattr(self, kind)(m)
+            for other in _AFTER[kind] if new is None else ():
+                m = _EACH[other].match(text, start, end)
+                new = m and getattr(self, other)(m)
+                if new is not None:
+                    kind = other
+                    break
+            at = start + 1
+            if new is not None:
+                at = start + len(new) if kind == "iban" else m.end()
+                yield start, at, new
+
     def replacements(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(start, end, replacement) of the values, in order, none overlapping."""
         found = []
@@ -236,15 +267,12 @@ class Pseudonyms:
             found += [(m.start(), m.end(), self.email(m)) for m in _EMAIL.finditer(text)]
         taken = iter(sorted(found))
         held = next(taken, None)
-        for m in (m for start, end in windows(text) for m in _OTHERS.finditer(text, start, end)):
-            new = getattr(self, m.lastgroup)(m)
-            if new is None:
-                continue
-            while held and held[1] <= m.start():
+        for value in (x for start, end in windows(text) for x in self.others(text, start, end)):
+            while held and held[1] <= value[0]:
                 yield held
                 held = next(taken, None)
-            if not (held and held[0] < m.end()):
-                yield m.start(), m.end(), new
+            if not (held and held[0] < value[1]):
+                yield value
         while held:
             yield held
             held = next(taken, None)
@@ -284,20 +312,23 @@ _SPACE = re.compile(r"\s")
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
 _NAMES = "|".join(MONTHS)
 # The last group that matched names the kind, so a kind's group closes last.
-_OTHERS = re.compile(
-    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<secret>\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}\b)"
-    r"|(?P<iso_date>\b(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{1,2})(?P=s1)(?P<d>[0-9]{1,2})\b(?![.-][0-9]))"
-    r"|(?P<day_first>(?<![\w.])(?P<d2>[0-9]{1,2})(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2})\b)"
-    rf"|(?P<named_date>\b(?:(?P<d3>[0-9]{{1,2}}) (?P<n1>(?i:{_NAMES})) (?P<y3>(?:19|20)[0-9]{{2}})"
-    rf"|(?P<n2>(?i:{_NAMES})) (?P<d4>[0-9]{{1,2}}), (?P<y4>(?:19|20)[0-9]{{2}}))\b)"
-    r"|(?P<address>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9]))"
-    r"|(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
+_KINDS = (
+    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    r"(?P<secret>\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}\b)",
+    r"(?P<iso_date>\b(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{1,2})(?P=s1)(?P<d>[0-9]{1,2})(?![0-9])(?![.-][0-9]))",
+    r"(?P<day_first>(?<![\w.])(?P<d2>[0-9]{1,2})(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2})(?![0-9]))",
+    rf"(?P<named_date>\b(?:(?P<d3>[0-9]{{1,2}}) (?P<n1>(?i:{_NAMES})) (?P<y3>(?:19|20)[0-9]{{2}})"
+    rf"|(?P<n2>(?i:{_NAMES})) (?P<d4>[0-9]{{1,2}}), (?P<y4>(?:19|20)[0-9]{{2}}))\b)",
+    r"(?P<address>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9]))",
+    r"(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
+    r"(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])(?!\.[0-9]))"
-    r"|(?P<number>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9]))"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])(?!\.[0-9]))",
+    r"(?P<number>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9]))",
 )
+_OTHERS = re.compile("|".join(_KINDS))
+_EACH = {kind[4 : kind.index(">")]: re.compile(kind) for kind in _KINDS}
+_AFTER = {kind: list(_EACH)[k + 1 :] for k, kind in enumerate(_EACH)}
 
 
 def pseudonymise(

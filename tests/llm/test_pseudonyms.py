@@ -35,6 +35,25 @@ def test_formats_and_links():
     assert re.fullmatch("[0-9A-F]{40}", replaced("9233A8ECF7C5B09FE5949719B6B82BC439E9329B"))
 
 
+def test_values_beside_letters_and_rejected_matches():
+    day = replaced("2024-03-05")
+    assert replaced("at 2024-03-05T10:00:00Z.") == f"at {day}T10:00:00Z." and day != "2024-03-05"
+    assert replaced("05.03.2024T10:00") == f"{dt.date.fromisoformat(day):%d.%m.%Y}T10:00"
+    for value in ("BE68 5390 0754 7034", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"):
+        new = replaced(value)
+        assert new != value and iban_digits(new[:2], new[4:].replace(" ", "")) == new[2:4]
+        for before, after in (("", " BIC GEBABEBB"), ("", " SWIFT KREDBEBB"), ("AB13 ", " AND MORE"), ("XX00 1234 5678 ", "."), ("", " CH93 0076 2011 6238 5295 7")):
+            assert replaced(before + value + after).startswith(before + new + after[:3])
+    assert "CH93 0076" not in replaced("BE68 5390 0754 7034 CH93 0076 2011 6238 5295 7")
+    secret = replaced("AB12" * 8)
+    assert re.fullmatch("[0-9A-F]{32}", secret) and secret != "AB12" * 8
+    for card in ("3782 822463 10005", "3714-496353-98431", "3056 930902 5904"):
+        new, digits = replaced(f"card {card}, x"), re.sub("[^0-9]", "", card)
+        found = re.sub("[^0-9]", "", new)
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"card {card}, x")
+        assert found != digits and found == replaced(digits) and luhn_digit(found[:-1]) == found[-1]
+
+
 def test_dates_are_one_value_in_all_formats():
     iso = replaced("1985-03-12")
     day = dt.date.fromisoformat(iso)
