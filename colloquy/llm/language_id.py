@@ -34,6 +34,14 @@ KEPT_WORDS = 200_000
 AT_ONCE = 4_000
 # A longer text is read in parts that end at white space.
 PART = 1 << 20
+# A text is not in a language if so small a share of its learned stretches is as improbable.
+RARE = 0.001
+# What a text may be less probable than that, per character, as the stretches are learned from.
+MARGIN = 0.1
+# Rates are counted in steps of 1 / BINS.
+BINS = 50
+# Words of the longest stretches.
+LONGEST = 4096
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -163,9 +171,25 @@ class Scorer:
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.scores = np.concatenate([self.scores, *found])
 
-    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def rates(self, text: str, language: int):
+        """(words, log probabilities per character) of the stretches of 1, 2, 4 .. words of a text."""
+        for words in text_words(text):
+            if not words:
+                continue
+            self._learn(words)
+            logs = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), language]
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            n = 1
+            while n <= min(len(words), LONGEST):
+                at = np.arange(0, len(words) - n + 1, n)
+                whole = at[-1] + n
+                yield n, np.add.reduceat(logs[:whole], at) / np.add.reduceat(sizes[:whole], at)
+                n *= 2
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
+        """Language, its probability, number of words, and log probability per character in it."""
         totals = np.zeros((len(texts), len(self.model.languages)))
-        any_word = np.zeros(len(texts), bool)
+        n_words, n_chars = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         held, owners, n = [], [], 0
 
         def settle():
@@ -181,7 +205,8 @@ class Scorer:
         for k, text in enumerate(texts):
             for words in text_words(text or ""):
                 if words:
-                    any_word[k] = True
+                    n_words[k] += len(words)
+                    n_chars[k] += len(words) + sum(map(len, words))
                     held.append(words)
                     owners.append(k)
                     n += len(words)
@@ -191,15 +216,27 @@ class Scorer:
             settle()
         out = []
         for k in range(len(texts)):
-            if not any_word[k] or not self.model.languages:
-                out.append((UNDETERMINED, 0.0))
+            if not n_words[k] or not self.model.languages:
+                out.append((UNDETERMINED, 0.0, 0, 0.0))
                 continue
             logs = totals[k] + self.model.prior
             best = int(np.argmax(logs))
-            out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
+            out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum()), int(n_words[k]), float(totals[k, best] / n_chars[k])))
         return out
 
 
+def learned(labelled: DataFrame, doc_id: str, text: str, lang: str, docs_each: int) -> tuple[DataFrame, dict[str, int]]:
+    """The sample (lang, words) that is learned from, and the number of texts of each language."""
+    rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("words"), F.col(lang).alias("lang"))
+    rows = rows.where("words is not null and lang is not null")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return rows.select("lang", "words"), sizes
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, docs_each / n))) for k, n in sizes.items()))
+    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(place < share).select("lang", "words"), sizes
+
+
 def fit(
     labelled: DataFrame,
     *,
@@ -215,15 +252,10 @@ def fit(
     The driver holds the languages and their piece probabilities, never texts.
     """
     pieces = load(vocabulary)
-    rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("words"), F.col(lang).alias("lang"))
-    rows = rows.where("words is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample, sizes = learned(labelled, doc_id, text, lang, docs_each)
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((pieces.size + 1, 0)), np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, docs_each / n))) for k, n in sizes.items()))
-    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share).select("lang", "words")
 
     def count_words(batches):
         import pyarrow as pa
@@ -298,6 +330,63 @@ def fit(
     return LanguageModel(languages, probabilities, np.log(counts / counts.sum()))
 
 
+def floors(
+    labelled: DataFrame,
+    model: LanguageModel,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    docs_each: int = 1500,
+    vocabulary: str = VOCABULARY,
+) -> dict[str, list[float]]:
+    """The log probability per character below which a text is not in the language.
+
+    For stretches of 1, 2, 4 .. words of the learned texts, the quantile ``RARE`` of
+    their rates less ``MARGIN``; the driver holds counts of rounded rates.
+    """
+    sample, _ = learned(labelled, doc_id, text, lang, docs_each)
+    number = {name: k for k, name in enumerate(model.languages)}
+    shared = labelled.sparkSession.sparkContext.broadcast((model.probabilities, model.prior, load(vocabulary).trie()))
+
+    def run(batches):
+        import pyarrow as pa
+
+        probabilities, prior, trie = shared.value
+        scorer = Scorer(LanguageModel(list(number), probabilities, prior), trie)
+        counts: dict = {}
+        for batch in batches:
+            for name, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for n, rates in scorer.rates(words.as_py(), number[name]):
+                    for rate, count in zip(*np.unique(np.floor(rates * BINS), return_counts=True)):
+                        key = name, n, int(rate)
+                        counts[key] = counts.get(key, 0) + int(count)
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(counts.values(), pa.int64())],
+            ["lang", "n", "rate", "count"],
+        )
+
+    found = sample.mapInArrow(run, "lang string, n bigint, rate bigint, count bigint").groupBy("lang", "n", "rate").agg(F.sum("count").alias("count"))
+    rates: dict = {}
+    for row in found.collect():
+        rates.setdefault((row.lang, row.n), []).append((row.rate, row["count"]))
+    out: dict[str, list[float]] = {}
+    for (name, _), counted in sorted(rates.items()):
+        rate, count = np.array(sorted(counted)).T
+        low = float(rate[np.searchsorted(np.cumsum(count), RARE * count.sum(), side="right")] / BINS - MARGIN)
+        # What is too rare for a short text is not less rare for a long one.
+        known = out.setdefault(name, [])
+        known.append(max([low, *known[-1:]]))
+    return out
+
+
+def is_familiar(language: str, words: int, rate: float, floors: dict[str, list[float]]) -> bool:
+    """Whether a text is no less like its language than stretches of about its length are."""
+    known = floors.get(language)
+    return bool(known) and words > 0 and rate >= known[min(words.bit_length(), len(known)) - 1]
+
+
 def predict(
     docs: DataFrame,
     model: LanguageModel,
@@ -306,10 +395,16 @@ def predict(
     lang_pred: str = "lang_pred",
     score: str = "score",
     vocabulary: str = VOCABULARY,
+    floors: dict[str, list[float]] | None = None,
+    familiar: str = "familiar",
 ) -> DataFrame:
-    """The rows with two more columns: the language, and its probability (0 to 1)."""
+    """The rows with two more columns: the language, and its probability (0 to 1).
+
+    With ``floors`` (see there) a third tells whether the text is like the language at all.
+    """
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((model.languages, model.probabilities, model.prior, load(vocabulary).trie()))
+    added = [familiar] if floors is not None else []
 
     def run(batches):
         import pyarrow as pa
@@ -321,13 +416,15 @@ def predict(
             found = []
             for start in range(0, batch.num_rows, 256):
                 found += scorer.predict_all(batch.column(at).slice(start, 256).to_pylist())
+            likeness = [pa.array([is_familiar(x, n, rate, floors) for x, _, n, rate in found], pa.bool_())] if added else []
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([x for _, x in found], pa.float64()),
+                    pa.array([x for x, *_ in found], pa.string()),
+                    pa.array([x for _, x, *_ in found], pa.float64()),
+                    *likeness,
                 ],
-                [*batch.schema.names, lang_pred, score],
+                [*batch.schema.names, lang_pred, score, *added],
             )
 
-    return docs.mapInArrow(run, fields(docs, (lang_pred, "string"), (score, "double")))
+    return docs.mapInArrow(run, fields(docs, (lang_pred, "string"), (score, "double"), *((c, "boolean") for c in added)))
