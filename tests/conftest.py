@@ -1,8 +1,7 @@
 from __future__ import annotations
 
-import datetime as dt
-
 import pytest
+from helpers import at
 
 from colloquy.schema import CHATS, CLIENTS
 from colloquy.session import local_session
@@ -17,10 +16,6 @@ def spark():
     session.stop()
 
 
-def at(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
 @pytest.fixture
 def chats(spark):
     """Build a chats frame from (id, client_id, created_at, question, answer) rows."""
@@ -38,7 +33,3 @@ def clients(spark):
         return spark.createDataFrame([(i, n, None) for i, n in rows], CLIENTS)
 
     return build
-
-
-def rows_of(frame, *columns):
-    return [tuple(r) for r in (frame.select(*columns) if columns else frame).collect()]

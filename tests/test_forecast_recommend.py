@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from colloquy.operators import forecast, recommend

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from colloquy.functions.rules import with_topic
 from colloquy.operators import timeline, volume

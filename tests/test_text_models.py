@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from colloquy.operators import clustering, evaluation, intent, satisfaction, sentiment, tfidf

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
-from conftest import rows_of
+from helpers import rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
