@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
+    hard_negatives,
     language_id,
     line_dedup,
     main_text,
     minhash_forest,
+    periodic_runs,
     piece_encoding,
     preference,
     pseudonyms,
@@ -131,3 +133,44 @@ def op8_pseudonyms(spark, sf_dir):
     key = spark.conf.get("spark.colloquy.pseudonymKey", "a key for tests")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs, key.encode())
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Three hard negatives for each of the five positives of every fiftieth vector."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """The documents, of which a tenth repeat a stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), chosen.alias("w")).withColumn("n", F.size("w"))
+    start = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int")
+    parted = start.withColumns({"p": period, "rest": F.col("n") - F.col("a")})
+    cycle = F.slice("w", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(cycle, F.ceil(F.col("rest") / F.col("p")).cast("int")))
+    words = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("rest")))
+    return parted.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of every document, and its words without the runs' repetitions."""
+    found = periodic_runs.find_runs(looped(table(spark, sf_dir, "documents")))
+    rank = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    best = found.withColumn("best", F.array_max(rank).cast("struct<length:bigint,start:bigint,period:bigint>"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[x].cast("string") for x in ("start", "length", "period"))), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
