@@ -96,6 +96,19 @@ FROM cuts LEFT JOIN (SELECT * FROM whole WHERE odd = 0) a USING (pair_id)
           LEFT JOIN (SELECT * FROM whole WHERE odd = 1) b USING (pair_id)
 """
 
+# Five hexadecimal digits of a digest are four base32 digits.
+WARC_BUNDLES = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(sha1(h), (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - i % 4 * 5)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM p
+"""
+
 HARD_NEGATIVES = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -123,5 +136,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION,
     "op4_preference_pairs": PREFERENCE_PAIRS,
     "op5_near_duplicates": NEAR_DUPLICATES,
+    "op11_warc_bundles": WARC_BUNDLES,
     "op12_hard_negatives": HARD_NEGATIVES,
 }

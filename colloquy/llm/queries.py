@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from . import (
     decontaminate,
     hard_negatives,
@@ -21,6 +22,7 @@ from . import (
     pseudonyms,
     quality,
     separators,
+    warc_bundles,
 )
 from .store import ship_package, table
 
@@ -135,6 +137,14 @@ def op8_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(docs, key.encode())
 
 
+@query
+def op11_warc_bundles(spark, sf_dir):
+    """Pages written to WARC bundles, repeated payloads as revisits, and read back."""
+    index = warc_bundles.write(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    found = warc_bundles.read(index, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op12_hard_negatives(spark, sf_dir):
     """Three hard negatives for each of the five positives of every fiftieth vector."""
