@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import broadcast_if_small, small_enough
+from ..functions.ranking import ranks
+from ..functions.skew import broadcast_if_small
 
 SPLIT_BUCKETS = 10_000
 
@@ -48,20 +49,15 @@ def in_test_set(key: str, *, test_share: float = 0.2, seed: int = 42) -> Column:
     return bucket < round(test_share * SPLIT_BUCKETS)
 
 
-def encode_labels(rows: DataFrame, label: str, output: str, *, max_labels: int = 100_000) -> DataFrame:
-    """Add the 0-based alphabetical position of each label.
+def encode_labels(rows: DataFrame, label: str, output: str) -> DataFrame:
+    """Add the 0-based alphabetical position of each label; NULL has none.
 
-    The ranking runs over the distinct labels only, in one task, and their codes are
-    broadcast, so a label that most rows share moves no rows. Labels are classes
-    of a model; more than ``max_labels`` of them raise.
+    The distinct labels are ranked over range partitions, so there may be any number of them.
+    Their codes are broadcast if they are counted to be few, so a label that most rows share
+    moves no rows.
     """
     labels = rows.filter(F.col(label).isNotNull()).select(label).distinct()
-    if not small_enough(labels, max_labels):
-        raise ValueError(f"{label} has more than {max_labels} labels")
-    codes = (
-        labels.withColumn(output, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
-    )
-    return rows.join(broadcast_if_small(codes), label, "left")
+    return rows.join(broadcast_if_small(ranks(labels, label, name=output)), label, "left")
 
 
 def classification_report(predictions: DataFrame, label: str, prediction: str) -> DataFrame:

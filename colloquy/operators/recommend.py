@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ranks
 from ..functions.rules import Rules
-from ..functions.text import occurrences
+from ..functions.skew import broadcast_if_small
+from ..session import written
+from .keywords import occurrences_in, vocabulary_counts
 
 # Candidate topics in order, with their keywords.
 CANDIDATE_TOPICS: Rules = (
@@ -26,18 +27,26 @@ def keyword_scores(chats: DataFrame, candidates: Rules = CANDIDATE_TOPICS, *, co
     """For each candidate, how often its keywords occur in all texts.
 
     Occurrences are counted inside each text, so a keyword never spans two
-    messages; only one row of sums per task is shuffled.
+    messages. Keywords without blanks are counted in each different word, times the
+    number of its uses; those with blanks in the texts. For a table of
+    keywords of any size see :func:`.keywords.scores_by_table`.
     """
-    text = F.lower(column)
-    totals = [
-        F.coalesce(F.sum(reduce(add, (occurrences(text, k.lower()) for k in keywords))), F.lit(0)).alias(f"s{i}")
-        for i, (_, keywords) in enumerate(candidates)
-    ]
-    cells = [
-        F.struct(F.lit(i).alias("ord"), F.lit(topic).alias("topic"), F.col(f"s{i}").alias("score"))
-        for i, (topic, _) in enumerate(candidates)
-    ]
-    return chats.agg(*totals).select(F.inline(F.array(*cells)))
+    listed = [(i, k.lower()) for i, (_, keywords) in enumerate(candidates) for k in keywords]
+    inside = [(i, k) for i, k in listed if k and not any(c.isspace() for c in k)]
+    across = [(i, k) for i, k in listed if any(c.isspace() for c in k)]
+
+    def totals(rows: DataFrame, text: str, keywords, times: Column) -> DataFrame:
+        sums = [F.sum(occurrences_in(F.col(text), F.lit(k)) * times).alias(f"s{j}") for j, (_, k) in enumerate(keywords)]
+        cells = [F.struct(F.lit(i).alias("ord"), F.coalesce(f"s{j}", F.lit(0)).alias("score")) for j, (i, _) in enumerate(keywords)]
+        return rows.agg(*sums).select(F.inline(F.array(*cells)))
+
+    names = chats.sparkSession.createDataFrame([(i, topic) for i, (topic, _) in enumerate(candidates)], "ord int, topic string")
+    found = names.select("ord", F.lit(0).cast("bigint").alias("score"))
+    if inside:
+        found = found.unionByName(totals(vocabulary_counts(chats, column), "word", inside, F.col("n")))
+    if across:
+        found = found.unionByName(totals(chats.select(F.lower(column).alias("text")), "text", across, F.lit(1)))
+    return names.join(found.groupBy("ord").agg(F.sum("score").alias("score")), "ord").select("ord", "topic", "score")
 
 
 def recommend_topics(
@@ -78,16 +87,106 @@ def _pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _counts(chats: DataFrame) -> DataFrame:
+    """The client x topic matrix in long form, without its zeros."""
+    named = chats.filter(F.col("client_id").isNotNull() & F.col("topic").isNotNull())
+    return named.groupBy("client_id", "topic").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def _correlation(n, x: str, y: str, xx: str, yy: str, xy: Column) -> Column:
+    """Pearson's from sums over n places; NULL where one side is constant."""
+    spread = (n * F.col(xx) - F.col(x) * F.col(x)) * (n * F.col(yy) - F.col(y) * F.col(y))
+    return F.when(spread > 0, (n * xy - F.col(x) * F.col(y)) / F.sqrt(spread))
+
+
 def topic_similarity(chats: DataFrame, topics: Sequence[str] | None = None) -> DataFrame:
-    """Correlation of every two topics over the clients, in one aggregation."""
-    topics = topic_domain(chats) if topics is None else topics
-    pairs = [(a, b) for i, a in enumerate(topics) for b in topics[i + 1 :]]
-    columns = [_pearson(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-    cells = [
-        F.struct(F.lit(a).alias("topic_a"), F.lit(b).alias("topic_b"), F.col(f"c{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return client_topic_matrix(chats, topics).agg(*columns).select(F.inline(F.array(*cells)))
+    """Correlation of every two topics over the clients, for any number of topics.
+
+    The products of two topics are summed where a client has both (a sparse Gram matrix in long form);
+    with the sums of each topic these give the correlations. Without ``topics`` all
+    topics of the chats are paired; a topic outside a given domain raises.
+    """
+    spark = chats.sparkSession
+    clients = chats.filter(F.col("client_id").isNotNull()).select("client_id").distinct().count()
+    counts = _counts(chats)
+    if topics is None:
+        numbered = ranks(counts.select("topic").distinct(), "topic", name="k")
+    else:
+        numbered = spark.createDataFrame([(t, k) for k, t in enumerate(topics)], "topic string, k bigint")
+        outside = F.raise_error(F.concat(F.lit("topic outside the domain: "), F.col("topic")))
+        counts = counts.join(numbered, "topic", "left").withColumn("k", F.coalesce("k", outside.cast("bigint")))
+    numbered = written(numbered, "topics")
+    counts = counts if topics is not None else counts.join(broadcast_if_small(numbered), "topic")
+    counts = written(counts.select("client_id", "k", "n"), "client-topics")
+    sums = counts.groupBy("k").agg(F.sum("n").alias("x"), F.sum(F.col("n") * F.col("n")).alias("xx"))
+    sums = written(numbered.join(sums, "k", "left").na.fill(0.0), "topic-sums")
+    both = counts.alias("a").join(counts.alias("b"), (F.col("a.client_id") == F.col("b.client_id")) & (F.col("a.k") < F.col("b.k")))
+    products = both.groupBy(F.col("a.k").alias("k"), F.col("b.k").alias("l")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("xy"))
+    last = numbered.count() - 1
+    other = sums.select(F.col("k").alias("l"), F.col("topic").alias("topic_b"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    pairs = sums.filter(F.col("k") < last).withColumn("l", F.explode(F.sequence(F.col("k") + 1, F.lit(last).cast("bigint"))))
+    pairs = pairs.join(broadcast_if_small(other), "l").join(products, ["k", "l"], "left")
+    correlation = _correlation(F.lit(float(clients)), "x", "y", "xx", "yy", F.coalesce("xy", F.lit(0.0)))
+    return pairs.select(F.col("topic").alias("topic_a"), "topic_b", correlation.alias("correlation"))
+
+
+PLANES = 64
+TREES = 8
+REACH = 12
+
+
+def nearest_clients(chats: DataFrame, *, n: int = 10, trees: int = TREES, reach: int = REACH) -> DataFrame:
+    """client_id, rank, other_id, correlation: for every client, the clients most like it over the topics.
+
+    Not all pairs are formed. The signs of random projections of the centred profiles give each
+    client a bit string; in ``trees`` orders, each by another stretch of the string and a
+    projection's value, the ``reach`` clients on both sides are candidates. Their correlations
+    are exact, and the first ``n`` by correlation and id stay; so a neighbour may be
+    missed but none is wrong. Clients with the same number of rows in every topic have no correlation.
+    """
+    counts = written(_counts(chats), "client-topics")
+    topics = counts.select("topic").distinct().count()
+    # The sign of a topic in plane k is a bit of its hash; centring subtracts the mean count times all signs.
+    hashes = [F.xxhash64(F.lit(17 + s), "topic") for s in range(-(-(PLANES + trees) // 64))]
+    bit = lambda k: (F.shiftrightunsigned(hashes[k // 64], k % 64).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")
+    planes = list(range(PLANES + trees))
+    signs = counts.select("topic").distinct().agg(*[F.sum(bit(k)).alias(f"s{k}") for k in planes]).first()
+    stats = [F.sum("n").alias("x"), F.sum(F.col("n") * F.col("n")).alias("xx")]
+    dots = [F.sum(F.col("n") * bit(k)).alias(f"d{k}") for k in planes]
+    sums = counts.groupBy("client_id").agg(*stats, *dots)
+    centred = [F.col(f"d{k}") - F.col("x") * F.lit((signs[f"s{k}"] or 0.0) / max(topics, 1)) for k in planes]
+    spread = F.col("xx") - F.col("x") * F.col("x") / F.lit(float(max(topics, 1)))
+    sums = written(
+        sums.filter(F.lit(float(topics)) * F.col("xx") - F.col("x") * F.col("x") > 0).select(
+            "client_id", "x", "xx",
+            F.concat(*[F.when(c > 0, "1").otherwise("0") for c in centred[:PLANES]]).alias("bits"),
+            F.array(*[c / F.sqrt(spread) for c in centred[PLANES:]]).alias("values"),
+        ),
+        "projections",
+    )
+    width = PLANES // trees
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    spots = sums.select("client_id", "bits", "values", tree)
+    turned = F.concat(F.expr(f"substring(bits, tree * {width} + 1)"), F.expr(f"substring(bits, 1, tree * {width})"))
+    first = F.substring(turned, 1, width)
+    spots = spots.select("tree", F.struct(first.alias("bits"), F.get("values", F.col("tree")).alias("value"), "client_id").alias("place"))
+    placed = ranks(spots, "place", by=("tree",), name="rank").select("tree", "rank", F.col("place.client_id").alias("client_id"))
+    placed = written(placed, "orders")
+    ahead = placed.select("tree", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + reach)).alias("rank"), F.col("client_id").alias("a"))
+    met = ahead.join(placed.withColumnRenamed("client_id", "b"), ["tree", "rank"])
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "candidate-pairs")
+    left = counts.select(F.col("client_id").alias("a"), "topic", F.col("n").alias("na"))
+    right = counts.select(F.col("client_id").alias("b"), "topic", F.col("n").alias("nb"))
+    products = pairs.join(left, "a").join(right, ["b", "topic"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("xy"))
+    one, two = (sums.select(F.col("client_id").alias(k), F.col("x").alias(x), F.col("xx").alias(xx)) for k, x, xx in (("a", "x", "xx"), ("b", "y", "yy")))
+    known = pairs.join(products, ["a", "b"], "left").join(one, "a").join(two, "b")
+    correlation = _correlation(F.lit(float(topics)), "x", "y", "xx", "yy", F.coalesce("xy", F.lit(0.0))).alias("correlation")
+    ends = F.array(F.struct(F.col("a").alias("client_id"), F.col("b").alias("other_id")), F.struct(F.col("b").alias("client_id"), F.col("a").alias("other_id")))
+    sides = known.select(correlation, F.inline(ends))
+    order = Window.partitionBy("client_id").orderBy(F.desc("correlation"), "other_id")
+    best = sides.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return best.select("client_id", "rank", "other_id", "correlation")
 
 
 def top_client_similarity(chats: DataFrame, *, n: int = 10) -> DataFrame:

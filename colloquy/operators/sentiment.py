@@ -1,25 +1,32 @@
 """Lexicon sentiment of texts.
 
 The scoring follows the published VADER rules (Hutto and Gilbert 2014) on a
-lexicon the caller supplies as a (term, valence) table. In: negations and
-intensity words in the three words before a term, capitals for emphasis in a
-text of mixed case, the shift at the first "but", exclamation and question
-marks, and the normalisation to (-1, 1). Not in: idioms, emoticons, "least",
-the special cases of "never so", and two exceptions for words that stand in both
-lists: here an intensity word that is a term counts as a term, and a word before a
-term scales or negates it even if it is a term itself. A text without any term scores 0.
+lexicon the caller supplies as a (term, valence) table:
+
+* negations and intensity words in the three words before a term, unless these are terms
+  themselves; "never so" strengthens, "without doubt" does not negate, and "least" negates
+  unless it is "at least" or "very least";
+* an intensity word has no valence of its own, neither has "kind" in "kind of";
+* idioms around a term, up to three words before and two after it, replace its valence, and
+  "sort of" before it weakens it (both only where a third word stands before the term and is no
+  term, as published);
+* capitals for emphasis in a text of mixed case, on terms and intensity words;
+* emoticons: terms of the lexicon that are not words count where blanks stand around them;
+* the shift at the first "but", exclamation and question marks, and the normalisation to (-1, 1).
+
+A text without any term scores 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import SENTIMENTS, sentiment_category
-from ..functions.skew import broadcast_if_small
+from ..functions.skew import BROADCAST_ROWS
 
 # A token is a run of word characters and apostrophes.
 TOKEN = r"[\p{L}\p{N}_']+"
@@ -34,6 +41,7 @@ EXCLAMATION = 0.292
 MAX_EXCLAMATIONS = 4
 QUESTION = 0.18
 MANY_QUESTIONS = 0.96
+NEVER_SO = (1.5, 1.25)  # "never" two and three words before the term
 ALPHA = 15.0
 
 # Single words that turn, strengthen or weaken what follows.
@@ -46,6 +54,12 @@ STRENGTHENERS = (
     "incredibly", "highly", "especially", "more", "most", "deeply", "truly", "quite", "too",
 )
 WEAKENERS = ("barely", "hardly", "slightly", "somewhat", "partly", "less", "almost", "scarcely")
+# Pairs of words that weaken what follows, and idioms with their valence.
+WEAKENING_PAIRS = ("kind of", "sort of", "just enough")
+IDIOMS = (
+    ("the bomb", 3.0), ("bad ass", 1.5), ("yeah right", -2.0), ("cut the mustard", 2.0), ("kiss of death", -1.5),
+    ("hand to mouth", -2.0),
+)
 
 # A small general lexicon of our own.
 DEFAULT_LEXICON = (
@@ -61,13 +75,28 @@ DEFAULT_LEXICON = (
 )
 
 
+# A lexicon counted to hold no more terms than this also sorts out, inside each text, the
+# words that are no terms; a larger one meets all words in its joins.
+LISTED_TERMS = 10_000
+MAX_EMOTICONS = 1_000
+
+
 @dataclass(frozen=True)
 class Modifiers:
-    """Words that change the terms after them; replace them for another language."""
+    """Words that change the terms near them, in lower case; replace them for another language."""
 
     negations: Sequence[str] = NEGATIONS
     strengtheners: Sequence[str] = STRENGTHENERS
     weakeners: Sequence[str] = WEAKENERS
+    never: Sequence[str] = ("never",)
+    so: Sequence[str] = ("so", "this")
+    without: Sequence[str] = ("without",)
+    doubt: Sequence[str] = ("doubt",)
+    least: Sequence[str] = ("least",)
+    before_least: Sequence[str] = ("at", "very")
+    unweighted_pairs: Sequence[str] = ("kind of",)
+    weakening_pairs: Sequence[str] = WEAKENING_PAIRS
+    idioms: Sequence[tuple[str, float]] = IDIOMS
 
 
 def lexicon_table(spark: SparkSession, terms: Sequence[tuple[str, float]] = DEFAULT_LEXICON) -> DataFrame:
@@ -78,43 +107,114 @@ def _sign(value: Column) -> Column:
     return F.when(value < 0, -1.0).otherwise(1.0)
 
 
-def _intensity(word: Column, modifiers: Modifiers) -> Column:
-    return (
-        F.when(word.isin(*modifiers.strengtheners), INTENSITY)
-        .when(word.isin(*modifiers.weakeners), -INTENSITY)
-        .otherwise(0.0)
-    )
+def _in(word: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(word.isin(*words), F.lit(False)) if words else F.lit(False)
+
+
+# The parts that a word can play, as bits: one look-up a word keeps the generated code small
+# enough to be compiled.
+ROLES = ("negations", "strengtheners", "weakeners", "never", "so", "without", "doubt", "least", "before_least")
+
+
+def _lookup(table: Mapping, key: Column) -> Column:
+    """The value of a short constant table, NULL for another key."""
+    if not table:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _roles(word: Column, modifiers: Modifiers) -> Column:
+    bits: dict[str, int] = {}
+    for k, role in enumerate(ROLES):
+        for listed in getattr(modifiers, role):
+            bits[listed] = bits.get(listed, 0) | 1 << k
+    negated = F.when(word.endswith("n't"), 1 << ROLES.index("negations")).otherwise(0)
+    return F.coalesce(_lookup(bits, word).cast("int"), F.lit(0)).bitwiseOR(negated)
+
+
+def _plays(roles: Column, *names: str) -> Column:
+    return roles.bitwiseAND(sum(1 << ROLES.index(name) for name in names)) != 0
+
 
+def _phrase(*names: str) -> Column:
+    """The words with blanks between; a missing word is empty, so such a phrase is none that is listed."""
+    return F.concat(*[part for name in names for part in (F.lit(" "), F.col(name))][1:])
 
-def _negates(word: Column, modifiers: Modifiers) -> Column:
-    return F.coalesce(word.isin(*modifiers.negations) | word.endswith("n't"), F.lit(False))
+
+def _idiom(valence: Column, modifiers: Modifiers) -> Column:
+    phrases = [
+        _phrase("word", "n1", "n2"), _phrase("word", "n1"),  # what stands after the term counts last
+        _phrase("p1", "word"), _phrase("p2", "p1", "word"), _phrase("p2", "p1"), _phrase("p3", "p2", "p1"), _phrase("p3", "p2"),
+    ]
+    idioms = dict(reversed(modifiers.idioms))
+    known = [_lookup(idioms, phrase).cast("double") for phrase in phrases]
+    weakened = _in(_phrase("p3", "p2"), modifiers.weakening_pairs) | _in(_phrase("p2", "p1"), modifiers.weakening_pairs)
+    return F.coalesce(*known, valence) - F.when(weakened, INTENSITY).otherwise(0.0)
 
 
 def _after_words(tokens: DataFrame, modifiers: Modifiers) -> DataFrame:
-    """Change the valence by the three words before the term, nearest first.
+    """Change the valence by the words around the term, the nearest before it first.
 
     One projection per word: as a single expression the valence would be
     repeated in every branch and the generated method would grow too large to
     be compiled.
     """
-    for name, damping in zip(("p1", "p2", "p3"), DAMPING):
-        word, valence = F.col(name), F.col("valence")
-        factor = F.when(_negates(word, modifiers), NEGATION).otherwise(1.0)
-        tokens = tokens.withColumn(
-            "valence", (valence + _intensity(word, modifiers) * damping * _sign(valence)) * factor
-        )
-    return tokens
+    r1, r2, r3, valence = (F.col(c) for c in ("r1", "r2", "r3", "valence"))
+    tokens = tokens.withColumns({f"r{n}": _roles(F.col(f"p{n}"), modifiers) for n in (1, 2, 3)})
+    said = {
+        1: (F.lit(False), F.lit(False)),
+        2: (_plays(r2, "never") & _plays(r1, "so"), _plays(r2, "without") & _plays(r1, "doubt")),
+        3: (_plays(r3, "never") & _plays(r2.bitwiseOR(r1), "so"), _plays(r3, "without") & _plays(r2.bitwiseOR(r1), "doubt")),
+    }
+    for n, damping, never_so in zip((1, 2, 3), DAMPING, (1.0, *NEVER_SO)):
+        roles, (never, doubtless) = F.col(f"r{n}"), said[n]
+        counts = (F.col(f"p{n}") != "") & ~F.col(f"p{n}_is_term")
+        strength = F.when(_plays(roles, "strengtheners"), INTENSITY).when(_plays(roles, "weakeners"), -INTENSITY).otherwise(0.0)
+        loud = F.when(_plays(roles, "strengtheners", "weakeners") & F.col("mixed_case") & _in_capitals(F.col(f"t{n}")), CAPITALS)
+        change = (strength + F.coalesce(loud, F.lit(0.0))) * damping
+        negated = ~doubtless & _plays(roles, "negations")
+        factor = F.when(~counts, 1.0).when(never, never_so).when(negated, NEGATION).otherwise(1.0)
+        tokens = tokens.withColumns({"_change": F.when(counts, change).otherwise(0.0), "_factor": factor})
+        tokens = tokens.withColumn("valence", (valence + F.col("_change") * _sign(valence)) * F.col("_factor"))
+    idiomatic = (F.col("p3") != "") & ~F.col("p3_is_term")
+    tokens = tokens.withColumn("valence", F.when(idiomatic, _idiom(valence, modifiers)).otherwise(valence))
+    least = _plays(r1, "least") & ~F.col("p1_is_term") & ~_plays(r2, "before_least")
+    return tokens.withColumn("valence", F.when(least, valence * NEGATION).otherwise(valence))
 
 
 def _in_capitals(token: Column) -> Column:
     return (token == F.upper(token)) & (token != F.lower(token))
 
 
+def _read(lexicon: DataFrame) -> tuple[int, list[str] | None, list[str]]:
+    """How many terms there are, all of them if they are few, and those that are no words."""
+    symbol = ~F.col("term").rlike(rf"\A{TOKEN}\z") & ~F.col("term").rlike(r"\s") & (F.col("term") != "")
+    terms = lexicon.select("term", symbol.alias("symbol")).filter("term IS NOT NULL")
+    listed = terms.limit(LISTED_TERMS + 1).collect()
+    if len(listed) <= LISTED_TERMS:
+        size, symbols = len(listed), [row.term for row in listed if row.symbol]
+    else:
+        size, symbols = terms.count(), [row.term for row in terms.filter("symbol").limit(MAX_EMOTICONS + 1).collect()]
+    if len(symbols) > MAX_EMOTICONS:
+        raise ValueError(f"a lexicon may hold at most {MAX_EMOTICONS} terms that are no words")
+    return size, [row.term for row in listed] if size <= LISTED_TERMS else None, symbols
+
+
+def _token_pattern(symbols: Sequence[str]) -> str:
+    """Words, and the given terms with blanks around them."""
+    quoted = "|".join("\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E" for term in sorted(symbols))
+    return rf"(?<!\S)(?iu:{quoted})(?!\S)|{TOKEN}" if symbols else TOKEN
+
+
+def _marks(text: Column, mark: str) -> Column:
+    """How often the mark is in the text; most texts have none."""
+    return F.when(F.contains(text, F.lit(mark)), F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))).otherwise(0)
+
+
 def _punctuation(text: Column) -> Column:
-    marks = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
-    asks = F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit("")))
+    asks = _marks(text, "?")
     questions = F.when(asks > 3, MANY_QUESTIONS).when(asks > 1, asks * QUESTION).otherwise(0.0)
-    return F.least(marks, F.lit(MAX_EXCLAMATIONS)) * EXCLAMATION + questions
+    return F.least(_marks(text, "!"), F.lit(MAX_EXCLAMATIONS)) * EXCLAMATION + questions
 
 
 def _compound(total: Column, punctuation: Column) -> Column:
@@ -134,48 +234,62 @@ def score_texts(
 
     Rows with equal ``keep`` must have equal texts, and give one row. The tokens of
     a text meet the lexicon where they are split, so only one number per text is
-    shuffled. A whole text is
-    scored, however long it is; NULL text scores 0.
+    shuffled; with a lexicon of up to LISTED_TERMS terms, only these become rows at all.
+    A whole text is scored, however long it is; NULL text scores 0. Terms are in lower case.
     """
+    lexicon = lexicon.select("term", "valence")
+    size, listed, symbols = _read(lexicon)
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(c, F.lit("")).alias("text")) for i, c in enumerate(columns)])
-    texts = rows.select(*keep, F.inline(sides)).withColumn("token", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    texts = texts.withColumn("word", F.transform("token", F.lower))
-    none = F.lit(None).cast("string")
-    capitals = F.size(F.filter("token", _in_capitals))
+    token = F.regexp_extract_all("text", F.lit(_token_pattern(symbols)), F.lit(0))
+    texts = rows.select(*keep, F.inline(sides)).withColumn("token", token)
+    texts = texts.withColumn("places", F.transform("token", lambda t, i: F.when(_in(F.lower(t), listed), i) if listed is not None else i))
+    mixed = F.exists("token", lambda t: _in_capitals(t)) & F.exists("token", lambda t: ~_in_capitals(t))
+    but_at = F.array_position(F.transform("token", F.lower), "but") - 1
+
+    def hit(i: Column) -> Column:
+        around = {"t0": 0, "t1": 1, "t2": 2, "t3": 3, "a1": -1, "a2": -2}
+        return F.struct(i.alias("at"), *[F.get("token", i - k).alias(name) for name, k in around.items()])
+
+    # Only the terms and the words around them become rows, not the arrays.
     texts = texts.select(
-        *keep,
-        "side",
-        "token",
-        "word",
-        # The array moved by 1, 2 and 3 places: zipped, each token meets the words before it.
-        *[F.concat(F.array(*[none] * n), "word").alias(f"p{n}") for n in (1, 2, 3)],
-        (F.array_position("word", "but") - 1).alias("but_at"),
-        ((capitals > 0) & (capitals < F.size("token"))).alias("mixed_case"),
+        *keep, "side",
+        F.when(F.contains(F.lower("text"), F.lit("but")), but_at).alias("but_at"),
+        mixed.alias("mixed_case"),
         _punctuation(F.col("text")).alias("punctuation"),
-    )
-    tokens = texts.select(
-        *keep,
-        "side",
-        "but_at",
-        "mixed_case",
-        "punctuation",
-        F.posexplode(F.arrays_zip("token", "word", "p1", "p2", "p3")).alias("at", "t"),
-    ).select(*keep, "side", "but_at", "mixed_case", "punctuation", "at", "t.*")
-    lexicon = broadcast_if_small(lexicon.select(F.col("term").alias("word"), "valence"))
-    capital_bonus = F.when(
-        F.col("mixed_case") & _in_capitals(F.col("token")), _sign(F.col("valence")) * CAPITALS
-    ).otherwise(0.0)
+        F.transform(F.filter("places", lambda i: i.isNotNull()), hit).alias("hits"),
+    )
+    # A text without a term gives a row without a place.
+    tokens = texts.select(*keep, "side", "but_at", "mixed_case", "punctuation", F.posexplode_outer("hits").alias("nth", "t"))
+    tokens = tokens.select(
+        *keep, "side", "nth", "but_at", "punctuation", F.coalesce("mixed_case", F.lit(False)).alias("mixed_case"), F.col("t.at").alias("at"),
+        *[F.coalesce(f"t.t{n}", F.lit("")).alias(f"t{n}") for n in range(4)],
+        *[F.coalesce(F.lower(f"t.t{n}"), F.lit("")).alias(name) for n, name in enumerate(("word", "p1", "p2", "p3"))],
+        *[F.coalesce(F.lower(f"t.a{n}"), F.lit("")).alias(f"n{n}") for n in (1, 2)],
+    )
+    at, before = F.col("at"), ("p1", "p2", "p3")
+    terms = F.broadcast(lexicon) if size <= BROADCAST_ROWS else lexicon
+    for name in before:
+        if listed is not None:
+            tokens = tokens.withColumn(f"{name}_is_term", _in(F.col(name), listed))
+        else:
+            known = terms.select(F.col("term").alias(name), F.lit(True).alias("_known")).distinct()
+            tokens = tokens.join(known, name, "left").withColumn(f"{name}_is_term", F.col("_known").isNotNull()).drop("_known")
+    no_weight = _plays(_roles(F.col("word"), modifiers), "strengtheners", "weakeners") | _in(_phrase("word", "n1"), modifiers.unweighted_pairs)
+    valence = F.col("valence") + F.when(F.col("mixed_case") & _in_capitals(F.col("t0")), _sign(F.col("valence")) * CAPITALS).otherwise(0.0)
     shift = (
-        F.when(F.col("but_at").isNull() | (F.col("but_at") < 0) | (F.col("at") == F.col("but_at")), 1.0)
-        .when(F.col("at") < F.col("but_at"), BEFORE_BUT)
+        F.when(F.col("but_at").isNull() | F.col("at").isNull() | (F.col("but_at") < 0) | (at == F.col("but_at")), 1.0)
+        .when(at < F.col("but_at"), BEFORE_BUT)
         .otherwise(AFTER_BUT)
     )
-    found = tokens.join(lexicon, "word", "left").withColumn("valence", F.col("valence") + capital_bonus)
-    weighted = _after_words(found, modifiers).withColumn("weight", F.col("valence") * shift)
+    found = tokens.join(terms.withColumnRenamed("term", "word"), "word", "left")
+    found = found.withColumns({"counts": F.col("valence").isNotNull() & ~no_weight, "valence": F.coalesce("valence", F.lit(0.0))})
+    found = found.withColumn("valence", valence)
+    weight = F.when(F.col("counts"), F.col("valence") * shift).otherwise(0.0)
+    weighted = _after_words(found, modifiers).withColumn("weight", weight)
     sums = []
     for i, column in enumerate(columns):
         side = F.col("side") == i
-        copies = F.greatest(F.count_if(side & (F.col("at") == 0)), F.lit(1))
+        copies = F.greatest(F.count_if(side & (F.coalesce("nth", F.lit(0)) == 0)), F.lit(1))
         sums.append((F.coalesce(F.sum(F.when(side, F.col("weight"))), F.lit(0.0)) / copies).alias(f"_sum{i}"))
         sums.append(F.max(F.when(side, F.col("punctuation"))).alias(f"_marks{i}"))
     return weighted.groupBy(*keep).agg(*sums).select(
@@ -195,12 +309,15 @@ def with_sentiment(
 ) -> DataFrame:
     """Chats with scores and categories.
 
-    Scores belong to texts, so they are joined on two hashes of these: NULL and
-    repeated ids lose or multiply no rows, and equal messages are scored together.
+    Scores are joined on the id and two hashes of the texts: NULL and repeated ids lose or
+    multiply no rows, and a text that many rows have is spread by their ids.
     """
     keys = {f"_text{k}": F.xxhash64(F.lit(k), *columns) for k in (1, 2)}
-    scores = score_texts(chats.withColumns(keys), lexicon, columns, keep=tuple(keys))
-    return chats.withColumns(keys).join(with_categories(scores), list(keys)).drop(*keys)
+    keyed = chats.withColumns(keys)
+    scores = with_categories(score_texts(keyed, lexicon, columns, keep=("id", *keys)))
+    scores = scores.withColumnsRenamed({c: f"{c}_" for c in ("id", *keys)})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", *keys)]
+    return keyed.join(scores, same).drop(*keys, *(f"{c}_" for c in ("id", *keys)))
 
 
 def sentiment_by_client(chats: DataFrame, lexicon: DataFrame) -> DataFrame:

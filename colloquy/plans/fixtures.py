@@ -26,11 +26,21 @@ LEXICON = (
     ("click", 0.4), ("view", 0.1), ("purchase", 2.4), ("signup", -0.9), ("error", -1.8),
     ("that", 1.1), ("with", -0.8), ("for", 0.7), ("this", 1.9), ("from", -1.5),
     ("die", -1.2), ("und", -0.6), ("les", 0.4), ("des", -0.3), ("was", 1.3), ("er", -2.1),
+    ("le", 0.8),
 )
 MODIFIERS = Modifiers(
     negations=("not", "no", "ne", "as", "un"),
     strengtheners=("very", "so", "the", "le"),
     weakeners=("hardly", "of", "la", "der"),
+    never=("never", "de", "to"),
+    so=("so", "la", "the"),
+    without=("un", "not"),
+    doubt=("doubt", "le", "the"),
+    least=("least", "and", "et"),
+    before_least=("at", "in", "de"),
+    unweighted_pairs=("kind of", "that the"),
+    weakening_pairs=("sort of", "of the", "de la", "in the"),
+    idioms=(("for the", 1.2), ("with the", -0.8), ("the that", 0.9), ("to the", 1.5), ("in the this", 2.0), ("of the", -1.1)),
 )
 
 STOP_WORDS = (
@@ -55,6 +65,7 @@ LIMITS = SatisfactionLimits(
 FILTERS = Filters(
     "2024-01-05", "2024-01-20", topics=("Navigation", "Other"), sentiments=("positive", "negative")
 )
+USER_FILTERS = Filters("2024-01-02", "2024-01-28", users=("Customer#000000003", "Customer#000000007", "Customer#000000011", "Nobody"))
 
 CLEANING = {
     "supplier": (("drop", "s_acctbal"), ("rename", {"s_suppkey": "supplier_id"})),

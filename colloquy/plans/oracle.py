@@ -247,13 +247,21 @@ def _category(score: str) -> str:
 
 
 ANSWER_SCORE = "round(coalesce(a.valence, 0) / sqrt(coalesce(a.valence, 0) ** 2 + 15), 4)"
-FILTERED = f"""SELECT * FROM (SELECT c.id, c.client_id, c.created_at, c.question, c.answer, c.topic,
+SCORED_CHATS = f"""SELECT c.id, c.client_id, c.created_at, c.question, c.answer, c.topic,
     c.question_sentiment, {ANSWER_SCORE} AS answer_sentiment,
     {_category('c.question_sentiment')} AS question_sentiment_category,
     {_category(ANSWER_SCORE)} AS answer_sentiment_category, name
-    FROM event_scores c LEFT JOIN lexicon a ON a.term = c.answer LEFT JOIN clients USING (client_id))
+    FROM event_scores c LEFT JOIN lexicon a ON a.term = c.answer LEFT JOIN clients USING (client_id)"""
+FILTERED = f"""SELECT * FROM ({SCORED_CHATS})
     WHERE CAST(created_at AS DATE) BETWEEN '{fx.FILTERS.first_date}' AND '{fx.FILTERS.last_date}'
     AND topic IN {_in(fx.FILTERS.topics)} AND question_sentiment_category IN {_in(fx.FILTERS.sentiments)}"""
+oracle(
+    "user_chats",
+    "event_scores clients",
+    f"""SELECT * FROM ({SCORED_CHATS})
+    WHERE CAST(created_at AS DATE) BETWEEN '{fx.USER_FILTERS.first_date}' AND '{fx.USER_FILTERS.last_date}'
+    AND name IN {_in(fx.USER_FILTERS.users)}""",
+)
 oracle("filtered_chats", "event_scores clients", FILTERED)
 oracle(
     "sentiment_over_time",
@@ -323,10 +331,23 @@ def _profile(table: str, column: str, kind: str) -> str:
 ORACLES["table_profile"] = "\nUNION ALL ".join(
     _profile(table, *column.split()) for table, columns in PROFILE_COLUMNS.items() for column in columns.split(", ")
 )
+
+
+def _columns():
+    return [(table, *c.split()) for table, columns in PROFILE_COLUMNS.items() for c in columns.split(", ")]
+
+
 ORACLES["column_top_values"] = "\nUNION ALL ".join(
-    f"""SELECT * FROM (SELECT 'events' AS table_name, '{c}' AS column_name,
-    {f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c == "ts" else f"CAST({c} AS VARCHAR)"} AS value, count(*) AS frequency FROM events WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY frequency DESC, value LIMIT 5)"""
-    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    f"""SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name,
+    {f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if kind == "timestamp_ntz" else f"CAST({c} AS VARCHAR)"} AS value, count(*) AS frequency FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY frequency DESC, value LIMIT 5)"""
+    for t, c, kind in _columns()
+    if not kind.startswith("array")
+)
+ORACLES["column_quartiles"] = "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name, {", ".join(f"CAST(min({c}) FILTER (4 * r >= {k} * n) AS DOUBLE) AS q{25 * k}" for k in (1, 2, 3))}
+    FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) AS r, count(*) OVER () AS n FROM {t} WHERE {c} IS NOT NULL)"""
+    for t, c, kind in _columns()
+    if kind in ("int", "bigint", "double")
 )
 
 # Labels, sentiment and text
@@ -338,32 +359,55 @@ def _scores(source: str) -> str:
     """CTEs that end in scored(id, side, score), from said(id, side, text)."""
     m = fx.MODIFIERS
 
-    def intensity(p):
-        return f"CASE WHEN {p} IN {_in(m.strengtheners)} THEN 0.293::DOUBLE WHEN {p} IN {_in(m.weakeners)} THEN -0.293::DOUBLE ELSE 0::DOUBLE END"
-
-    def step(before, after, p, damping):
-        moved = f"(v + {intensity(p)} * {damping}::DOUBLE * CASE WHEN v < 0 THEN -1::DOUBLE ELSE 1::DOUBLE END)"
-        negates = f"coalesce({p} IN {_in(m.negations)} OR ends_with({p}, 'n''t'), false)"
-        return f"{after} AS (SELECT * REPLACE (CASE WHEN {negates} THEN {moved} * -0.74::DOUBLE ELSE {moved} END AS v) FROM {before})"
-
+    def among(p, words):
+        return f"coalesce({p} IN {_in(words)}, false)" if words else "false"
+
+    def loud(t):
+        return f"({t} = upper({t}) AND {t} <> lower({t}))"
+
+    def steps(n, damping, never, never_so, doubtless):
+        p = f"p{n}"
+        counts = f"({p} IS NOT NULL AND {p} NOT IN (SELECT term FROM lexicon))"
+        strength = f"CASE WHEN {p} IN {_in(m.strengtheners)} THEN 0.293::DOUBLE WHEN {p} IN {_in(m.weakeners)} THEN -0.293::DOUBLE ELSE 0::DOUBLE END"
+        bonus = f"CASE WHEN {among(p, (*m.strengtheners, *m.weakeners))} AND mixed AND {loud(f't{n}')} THEN 0.733::DOUBLE ELSE 0::DOUBLE END"
+        moved = f"v + ({strength} + {bonus}) * {damping}::DOUBLE * CASE WHEN v < 0 THEN -1::DOUBLE ELSE 1::DOUBLE END"
+        negates = f"({among(p, m.negations)} OR coalesce(ends_with({p}, 'n''t'), false))"
+        factor = f"CASE WHEN NOT {counts} THEN 1::DOUBLE WHEN {never} THEN {never_so}::DOUBLE WHEN NOT {doubtless} AND {negates} THEN -0.74::DOUBLE ELSE 1::DOUBLE END"
+        return f"""a{n} AS (SELECT * REPLACE (CASE WHEN {counts} THEN {moved} ELSE v END AS v) FROM v{n - 1}),
+    v{n} AS (SELECT * REPLACE (v * {factor} AS v) FROM a{n})"""
+
+    def idiom(phrase):
+        return "CASE " + phrase + " " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in m.idioms) + " END" if m.idioms else "NULL::DOUBLE"
+
+    phrases = [" || ' ' || ".join(x) for x in (("word", "n1", "n2"), ("word", "n1"), ("p1", "word"), ("p2", "p1", "word"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))]
+    never2, sure2 = (f"({among('p2', a)} AND {among('p1', b)})" for a, b in ((m.never, m.so), (m.without, m.doubt)))
+    never3, sure3 = (
+        f"({among('p3', a)} AND ({among('p2', b)} OR {among('p1', b)}))" for a, b in ((m.never, m.so), (m.without, m.doubt))
+    )
+    weaker = " OR ".join(among(x, m.weakening_pairs) for x in ("p3 || ' ' || p2", "p2 || ' ' || p1"))
+    weightless = f"{among('word', (*m.strengtheners, *m.weakeners))} OR {among(phrases[1], m.unweighted_pairs)}"
     token = "[\\p{L}\\p{N}_'']+"
-    capitals = "(token = upper(token) AND token <> lower(token))"
     return f"""said AS ({source}),
     tokens AS (SELECT id, side, unnest(t) AS token, generate_subscripts(t, 1) AS i
         FROM (SELECT id, side, regexp_extract_all(coalesce(text, ''), '{token}') AS t FROM said)),
-    placed AS (SELECT *, lower(token) AS word, lag(lower(token), 1) OVER w AS p1, lag(lower(token), 2) OVER w AS p2,
-        lag(lower(token), 3) OVER w AS p3 FROM tokens WINDOW w AS (PARTITION BY id, side ORDER BY i)),
+    placed AS (SELECT *, lower(token) AS word, {", ".join(f"lag(lower(token), {n}) OVER w AS p{n}, lag(token, {n}) OVER w AS t{n}" for n in (1, 2, 3))},
+        lead(lower(token), 1) OVER w AS n1, lead(lower(token), 2) OVER w AS n2
+        FROM tokens WINDOW w AS (PARTITION BY id, side ORDER BY i)),
     facts AS (SELECT id, side, min(i) FILTER (word = 'but') AS but_at,
-        count(*) FILTER {capitals.replace('(token =', '(WHERE token =', 1)} BETWEEN 1 AND count(*) - 1 AS mixed
+        count(*) FILTER (WHERE {loud('token')}) BETWEEN 1 AND count(*) - 1 AS mixed
         FROM placed GROUP BY id, side),
-    v0 AS (SELECT p.*, f.but_at, l.valence + CASE WHEN f.mixed AND {capitals}
+    v0 AS (SELECT p.*, f.but_at, f.mixed, l.valence + CASE WHEN f.mixed AND {loud('token')}
         THEN 0.733::DOUBLE * CASE WHEN l.valence < 0 THEN -1 ELSE 1 END ELSE 0 END AS v
         FROM placed p JOIN lexicon l ON l.term = p.word JOIN facts f USING (id, side)),
-    {step('v0', 'v1', 'p1', 1.0)},
-    {step('v1', 'v2', 'p2', 0.95)},
-    {step('v2', 'v3', 'p3', 0.9)},
-    totals AS (SELECT id, side, sum(v * CASE WHEN i < but_at THEN 0.5::DOUBLE WHEN i > but_at THEN 1.5::DOUBLE
-        ELSE 1::DOUBLE END) AS s FROM v3 GROUP BY id, side),
+    {steps(1, 1.0, 'false', 1.0, 'false')},
+    {steps(2, 0.95, never2, 1.5, sure2)},
+    {steps(3, 0.9, never3, 1.25, sure3)},
+    v4 AS (SELECT * REPLACE (CASE WHEN p3 IS NOT NULL AND p3 NOT IN (SELECT term FROM lexicon)
+        THEN coalesce({", ".join(idiom(x) for x in phrases)}, v) - CASE WHEN {weaker} THEN 0.293::DOUBLE ELSE 0::DOUBLE END ELSE v END AS v) FROM v3),
+    v5 AS (SELECT * REPLACE (CASE WHEN {among('p1', m.least)} AND p1 NOT IN (SELECT term FROM lexicon)
+        AND NOT {among('p2', m.before_least)} THEN v * -0.74::DOUBLE ELSE v END AS v) FROM v4),
+    totals AS (SELECT id, side, sum(CASE WHEN {weightless} THEN 0::DOUBLE ELSE v END * CASE WHEN i < but_at THEN 0.5::DOUBLE WHEN i > but_at THEN 1.5::DOUBLE
+        ELSE 1::DOUBLE END) AS s FROM v5 GROUP BY id, side),
     marked AS (SELECT id, side, coalesce(s, 0) AS s,
         least(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')), 4) * 0.292::DOUBLE
         + CASE WHEN q > 3 THEN 0.96::DOUBLE WHEN q > 1 THEN q * 0.18::DOUBLE ELSE 0 END AS marks
@@ -406,6 +450,24 @@ oracle(
 )
 ORACLES["term_weights"] = ORACLES["term_weights"].replace("\n, occurring", ",\noccurring")
 
+# Words and pairs of words of the benchmark as rules.
+VIEWS["rules"] = """SELECT *, CAST('0x' || substr(md5(keyword), 1, 6) AS BIGINT) AS priority,
+    'label ' || CAST('0x' || substr(md5(keyword), 1, 6) AS BIGINT) % 7 AS label FROM (SELECT DISTINCT unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS keyword FROM (SELECT list_filter(
+    regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM benchmark))"""
+oracle(
+    "keyword_labels",
+    "texts rules",
+    """SELECT id, coalesce('label ' || min(priority) % 7, 'none') AS topic
+    FROM texts LEFT JOIN rules ON contains(lower(question), keyword) GROUP BY id""",
+)
+oracle(
+    "keyword_totals",
+    "texts rules",
+    """SELECT label AS topic, CAST(sum((length(lower(question)) - length(replace(lower(question), keyword, ''))) // length(keyword)) AS BIGINT) AS score
+    FROM texts JOIN rules ON contains(lower(question), keyword) GROUP BY label""",
+)
+
 # Scaling, encoding, splits, evaluation
 oracle(
     "scaled_features",
@@ -505,6 +567,22 @@ oracle(
     ORDER BY score DESC, ord LIMIT 5""",
 )
 
+# All pairs of topics from long counts, zeros filled in.
+ORACLES["word_topic_similarity"] = """WITH c AS (SELECT l_suppkey AS client_id, p_brand || ' ' || p_type AS topic, count(*)::DOUBLE AS n
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    k AS (SELECT count(DISTINCT client_id)::DOUBLE AS k FROM c),
+    t AS (SELECT topic, sum(n) AS x, sum(n * n) AS xx FROM c GROUP BY topic),
+    p AS (SELECT a.topic AS topic_a, b.topic AS topic_b, sum(a.n * b.n) AS xy FROM c a JOIN c b ON a.client_id = b.client_id AND a.topic < b.topic GROUP BY 1, 2)
+    SELECT a.topic AS topic_a, b.topic AS topic_b, round((k * coalesce(xy, 0) - a.x * b.x)
+    / nullif(sqrt(greatest((k * a.xx - a.x * a.x) * (k * b.xx - b.x * b.x), 0)), 0), 6) AS correlation
+    FROM t a JOIN t b ON a.topic < b.topic LEFT JOIN p ON topic_a = a.topic AND topic_b = b.topic, k"""
+oracle(
+    "incremental_days",
+    "chats",
+    """SELECT CAST(created_at AS DATE) AS date, topic, count(*) AS rows, count(question) AS questions, count(answer) AS answers
+    FROM chats GROUP BY 1, 2""",
+)
+
 # Streams
 oracle(
     "streaming_messages_per_day",
@@ -517,3 +595,4 @@ oracle(
     f"""SELECT client_id, session_start, session_end, messages, round({LENGTH_MIN}, 9) AS session_length_min
     FROM sessions""",
 )
+oracle("streaming_session_ids", "sessioned", "SELECT id, client_id, created_at, session_id, false AS late FROM sessioned")

@@ -17,6 +17,7 @@ from ..operators import (
     filters,
     forecast,
     intent,
+    keywords,
     profiling,
     recommend,
     satisfaction,
@@ -26,9 +27,10 @@ from ..operators import (
     volume,
 )
 from ..session import new_folder
-from ..sources import adapters
+from ..sources import adapters, increments
 from ..sources.tables import read_source, register_views, stream_source
 from ..streaming import reports as streaming
+from ..streaming import sessions as streaming_session_numbers
 from . import dashboard
 from . import fixtures as fx
 
@@ -237,6 +239,12 @@ def filtered_chats(spark, folder):
     )
 
 
+@query
+def user_chats(spark, folder):
+    """The chats of some users, by name, in a range of days."""
+    return filters.apply_filters(topics(spark, folder), clients(spark, folder), fx.USER_FILTERS, lexicon=lexicon(spark))
+
+
 @query
 def filter_options(spark, folder):
     users = filters.user_options(clients(spark, folder)).select(F.lit("user").alias("kind"), F.col("name").alias("value"))
@@ -286,8 +294,13 @@ def table_profile(spark, folder):
 
 @query
 def column_top_values(spark, folder):
-    table = read_source(spark, "events", folder=folder)
-    return profiling.top_values(table, "events", ("event_id", "ts", "user_id", "event_type", "value", "props"))
+    tops = [profiling.top_values(read_source(spark, name, folder=folder), name) for name in PROFILED]
+    return reduce(DataFrame.unionByName, tops)
+
+
+@query
+def column_quartiles(spark, folder):
+    return profiling.quartiles({name: read_source(spark, name, folder=folder) for name in PROFILED})
 
 
 # Labels, sentiment and text
@@ -336,6 +349,28 @@ def term_weights(spark, folder):
     return rounded(fitted.weights(texts), "weight")
 
 
+def keyword_rules(spark, folder):
+    """Every word and pair of words of the benchmark, in alphabetical order, under seven labels."""
+    words = F.filter(F.split(F.lower("text"), "\\s+"), lambda w: w != "")
+    split = read_source(spark, "benchmark", folder=folder).select(words.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    listed = split.select(F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("keyword")).distinct()
+    code = F.conv(F.substring(F.md5("keyword"), 1, 6), 16, 10).cast("long")
+    return listed.select(code.alias("priority"), F.concat(F.lit("label "), (code % 7).cast("string")).alias("label"), "keyword")
+
+
+@query
+def keyword_labels(spark, folder):
+    texts = adapters.document_texts(spark, folder)
+    return keywords.label_by_table(texts, keyword_rules(spark, folder), default="none").select("id", "topic")
+
+
+@query
+def keyword_totals(spark, folder):
+    table = keyword_rules(spark, folder).select(F.lit(0).alias("ord"), F.col("label").alias("topic"), "keyword")
+    return keywords.scores_by_table(adapters.document_texts(spark, folder), table).select("topic", "score")
+
+
 # Scaling, encoding, splits, evaluation
 
 
@@ -427,6 +462,22 @@ def client_topic_profiles(spark, folder):
     return profiles.select("client_id", *columns)
 
 
+@query
+def word_topic_similarity(spark, folder):
+    """Every two of 150 topics, brands and types of parts, over the suppliers as clients."""
+    lines = read_source(spark, "lineitem", folder=folder).select(F.col("l_suppkey").alias("client_id"), F.col("l_partkey"))
+    parts = read_source(spark, "part", folder=folder).select("p_partkey", F.concat_ws(" ", "p_brand", "p_type").alias("topic"))
+    chats = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("client_id", "topic")
+    return rounded(recommend.topic_similarity(chats), "correlation")
+
+
+@query
+def nearest_clients(spark, folder):
+    """Clients like each other by the days on which they write."""
+    days = events(spark, folder).select("client_id", F.to_date("created_at").cast("string").alias("topic"))
+    return rounded(recommend.nearest_clients(days), "correlation")
+
+
 @query
 def topic_recommendations(spark, folder):
     texts = adapters.document_texts(spark, folder)
@@ -514,6 +565,19 @@ def feature_importance(spark, folder):
     return _satisfaction_model(spark, folder)[0].importances
 
 
+# Reports that grow
+
+
+@query
+def incremental_days(spark, folder):
+    """Day sums loaded in two halves that share all days, the second half twice."""
+    stored = new_folder(spark, "days")
+    rows = topics(spark, folder)
+    for name, part in (("even", rows.filter("id % 2 = 0")), ("odd", rows.filter("id % 2 = 1 AND id % 3 = 0")), ("odd", rows.filter("id % 2 = 1"))):
+        increments.load(part, stored, name)
+    return increments.report(spark, stored)
+
+
 # Streams
 
 
@@ -538,3 +602,10 @@ def streaming_sessions(spark, folder):
         _event_stream(spark, folder), new_folder(spark, "sessions"), checkpoint=new_folder(spark, "sessions-state")
     )
     return rounded(sessions, "session_length_min", digits=9)
+
+
+@query
+def streaming_session_ids(spark, folder):
+    return streaming_session_numbers.all_session_ids(
+        _event_stream(spark, folder), new_folder(spark, "session-ids"), checkpoint=new_folder(spark, "session-ids-state")
+    )
