@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, VOCABULARY, load
+from .pieces import SPACE, VOCABULARY, shared_pieces, trie_of
 from .store import fields, written
 
 UNDETERMINED = "und"
@@ -66,10 +66,10 @@ class Lattice:
             for i in range(len(text)):
                 node, single = root, False
                 for j in range(i, len(text)):
-                    node = node.get(text[j])
-                    if node is None:
+                    step = node.get(text[j])
+                    if step is None:
                         break
-                    number = node.get("")
+                    node, number = step
                     if number is not None:
                         word.append(w)
                         begin.append(i)
@@ -251,7 +251,8 @@ def fit(
 
     The driver holds the languages and their piece probabilities, never texts.
     """
-    pieces = load(vocabulary)
+    context = labelled.sparkSession.sparkContext
+    pieces, shared = shared_pieces(context, vocabulary)
     sample, sizes = learned(labelled, doc_id, text, lang, docs_each)
     languages = sorted(sizes)
     if not languages:
@@ -284,8 +285,6 @@ def fit(
         .where(F.length("word") <= 64)
     )
     counted = written(counted, "words")
-    context = labelled.sparkSession.sparkContext
-    trie = context.broadcast(pieces.trie())
     probabilities = np.full((pieces.size + 1, len(languages)), 1.0 / pieces.size)
     probabilities[-1] = UNKNOWN_CHARACTER
 
@@ -295,7 +294,7 @@ def fit(
         def run(batches):
             import pyarrow as pa
 
-            lattice = Lattice(trie.value, pieces.size)
+            lattice = Lattice(trie_of(shared.value), shared.value.size)
             for batch in batches:
                 names, words, counts = (c.to_pylist() for c in batch.columns)
                 for at in range(0, len(words), AT_ONCE):
@@ -347,13 +346,15 @@ def floors(
     """
     sample, _ = learned(labelled, doc_id, text, lang, docs_each)
     number = {name: k for k, name in enumerate(model.languages)}
-    shared = labelled.sparkSession.sparkContext.broadcast((model.probabilities, model.prior, load(vocabulary).trie()))
+    context = labelled.sparkSession.sparkContext
+    _, shared = shared_pieces(context, vocabulary)
+    learned_model = context.broadcast((model.probabilities, model.prior))
 
     def run(batches):
         import pyarrow as pa
 
-        probabilities, prior, trie = shared.value
-        scorer = Scorer(LanguageModel(list(number), probabilities, prior), trie)
+        probabilities, prior = learned_model.value
+        scorer = Scorer(LanguageModel(list(number), probabilities, prior), trie_of(shared.value))
         counts: dict = {}
         for batch in batches:
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -371,6 +372,7 @@ def floors(
     rates: dict = {}
     for row in found.collect():
         rates.setdefault((row.lang, row.n), []).append((row.rate, row["count"]))
+    learned_model.destroy()
     out: dict[str, list[float]] = {}
     for (name, _), counted in sorted(rates.items()):
         rate, count = np.array(sorted(counted)).T
@@ -403,14 +405,14 @@ def predict(
     With ``floors`` (see there) a third tells whether the text is like the language at all.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.languages, model.probabilities, model.prior, load(vocabulary).trie()))
+    _, shared = shared_pieces(context, vocabulary)
+    learned_model = context.broadcast((model.languages, model.probabilities, model.prior))
     added = [familiar] if floors is not None else []
 
     def run(batches):
         import pyarrow as pa
 
-        languages, probabilities, prior, trie = shared.value
-        scorer = Scorer(LanguageModel(languages, probabilities, prior), trie)
+        scorer = Scorer(LanguageModel(*learned_model.value), trie_of(shared.value))
         for batch in batches:
             at = batch.schema.names.index(text)
             found = []

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_broadcast, fields, written
+from .store import bounded_broadcast, fields, unused, written
 from .words import mix
 
 MIN_CHARS = 30
@@ -321,10 +321,11 @@ def dedup_lines(
     stay = stay.groupBy("id", "version").agg(F.collect_list("number").alias("numbers"))
     stay = stay.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("numbers").alias("_numbers"))
     names = list(docs.columns)
+    kept_lines = unused(names, "_numbers")
     packed = docs.select(F.struct(*names).alias("_row"), F.col(doc_id).alias("_key"), F.xxhash64(text).alias("_hash"))
     joined = packed.join(
         stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_version")), "left"
-    ).select("_row.*", "_numbers")
+    ).select("_row.*", F.col("_numbers").alias(kept_lines))
     at, added = names.index(text), list(counts or ())
 
     def rebuild(batches):

@@ -16,7 +16,7 @@ over either end included; matrices are combined associatively, in groups of
 bounded size; then each chunk is traced back alone between its two states.
 
 Defined results: a null text has null ids, an empty text none; repeated rows are
-encoded each; a literal U+2581 decodes to a blank; ids outside the vocabulary and
+encoded each; an empty table gives no rows, and columns that are not kept do not come out; a literal U+2581 decodes to a blank; ids outside the vocabulary and
 null ids decode to nothing, and a null list to a null text; broken bytes decode to
 U+FFFD.
 """
@@ -36,15 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .pieces import SPACE, VOCABULARY, Pieces, load
+from .pieces import SPACE, VOCABULARY, Pieces, shared_pieces, trie_of
 from .store import batches_of, written
 
 CHUNK = 16_384  # characters
 # Matrices combined in one task; a text of two gigabytes, Spark's limit, has
 # about 131,000 chunks and so 256 groups.
 GROUP = 512
-KEPT_WORDS = 150_000
-KEPT_PAIRS = 150_000
+# What an encoder, which serves one task, keeps at hand.
+KEPT_BYTES = 48 << 20  # of words and their ids
+KEPT_PAIRS = 100_000
+# Longer words go through the lattice.
+SHORT = 64
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 START = None  # the state before the first piece
 
@@ -55,17 +58,13 @@ def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def compact(trie: dict) -> dict:
-    """The trie with (children, piece or None) for each character."""
-    return {c: (compact(node), node.get("")) for c, node in trie.items() if c}
-
-
 class Encoder:
     """Cuts words and chunks of normalised text into pieces."""
 
-    def __init__(self, pieces: Pieces, trie: dict | None = None):
+    def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.trie = compact(trie or pieces.trie())
+        self.trie = trie_of(pieces)
+        self.score_of = {piece: pieces.scores[number] for piece, number in pieces.ids.items()}
         self.longest = pieces.longest
         self.unigram = pieces.is_unigram
         self.text_of = {number: piece for piece, number in pieces.ids.items()}
@@ -77,6 +76,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
+        self.held = 0  # bytes of the words, about
 
     # An edge is (end, piece); an unknown character is the piece -1 - its code point.
 
@@ -103,17 +103,21 @@ class Encoder:
         return self.text_of[piece] if piece >= 0 else chr(-1 - piece)
 
     def merged(self, text: str) -> list[str]:
-        """BPE of a short text: the neighbours whose union scores best are joined first."""
-        parts, ids, scores = list(text), self.pieces.ids, self.pieces.scores
-        while len(parts) > 1:
-            best, where = -math.inf, -1
-            for k in range(len(parts) - 1):
-                number = ids.get(parts[k] + parts[k + 1])
-                if number is not None and scores[number] > best:
-                    best, where = scores[number], k
-            if where < 0:
+        """BPE of a short text: the neighbours whose union scores best are joined first, from the left."""
+        score_of, none = self.score_of.get, -math.inf
+        parts = list(text)
+        unions = [score_of(a + b, none) for a, b in zip(parts, parts[1:])]
+        while unions:
+            best = max(unions)
+            if best == none:
                 break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            k = unions.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del unions[k]
+            if k < len(unions):
+                unions[k] = score_of(parts[k] + parts[k + 1], none)
+            if k:
+                unions[k - 1] = score_of(parts[k - 1] + parts[k], none)
         return parts
 
     def apart(self, before, piece) -> bool:
@@ -158,8 +162,17 @@ class Encoder:
         return out[::-1]
 
     def cut(self, word: str) -> list[int]:
-        """The pieces of one word, or of a part of it between characters that no piece has."""
-        return self._best_path(word) if self.unigram else self._only_path(word)
+        """The pieces of one word, or of a part of it between characters that no piece has.
+
+        The one path of finite weight through a BPE lattice is what merging gives; for a short
+        word, merging is the fastest way to it.
+        """
+        if self.unigram:
+            return self._best_path(word)
+        if len(word) > SHORT:
+            return self._only_path(word)
+        ids = self.pieces.ids
+        return [ids[part] if part in ids else -1 - ord(part) for part in self.merged(word)]
 
     def _best_path(self, word: str) -> list[int]:
         n = len(word)
@@ -200,14 +213,19 @@ class Encoder:
                 path.pop()
                 left.pop()
 
+    def _keep(self, known: dict[str, bytes], word: str, ids: bytes) -> bytes:
+        self.held += 200 + 2 * len(word) + len(ids)
+        if self.held > KEPT_BYTES:
+            self.words.clear()
+            self.plain.clear()
+            self.held = 0
+        known[word] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
         """The ids of a word as 32-bit numbers."""
         known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            known = self.words[word] = self.new_word(word)
-        return known
+        return self._keep(self.words, word, self.new_word(word)) if known is None else known
 
     def new_word(self, word: str) -> bytes:
         pieces: list[int] = []
@@ -238,13 +256,14 @@ class Encoder:
             return b"".join(map(self.word, _WORDS.findall(normalised(text))))
         # Single blanks part the words; each is kept without the blank before it.
         words, known = text.split(" "), self.plain
-        new = set(words).difference(known)
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = set(words)
-        for word in new:
-            known[word] = self.new_word(SPACE + word)
-        return b"".join(map(known.__getitem__, words))
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            own = {word: known.get(word) or self.new_word(SPACE + word) for word in set(words)}
+            for word, ids in own.items():
+                if word not in known:
+                    self._keep(known, word, ids)
+            return b"".join(map(own.__getitem__, words))
 
     # Chunks: ``before`` and ``after`` are the neighbours' characters that pieces may reach.
 
@@ -320,19 +339,6 @@ class Encoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def encoder_of(shared) -> Encoder:
-    """The worker's encoder: it and the words it has met serve all tasks of the worker."""
-    pieces, trie = shared.value
-    key = hash((pieces.is_unigram, tuple(pieces.ids.items()), tuple(pieces.scores)))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(pieces, trie)
-    return _ENCODERS[key]
-
-
 def combined(a: dict, b: dict) -> dict:
     """The max-plus product of two matrices."""
     out: dict = {}
@@ -420,13 +426,12 @@ def encode(
     vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """The kept columns and the ids of the text's pieces."""
-    pieces = load(vocabulary)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((pieces, pieces.trie()))
+    pieces, shared = shared_pieces(docs.sparkSession.sparkContext, vocabulary)
     if chunk < pieces.longest:
         raise ValueError(f"a chunk needs {pieces.longest} characters at least")
-    keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    # Inside, the kept columns have names of their own, so theirs may be any.
+    outside, keep = [*keep, ids], [f"kept{k}" for k in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(k) for c, k in zip(outside, keep)), F.col(text).alias("_text"))
     kept = [rows.schema[c] for c in keep]
     long = F.length("_text") >= chunk
     final = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -434,7 +439,7 @@ def encode(
     def encode_short(batches):
         import pyarrow as pa
 
-        encoder = encoder_of(shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -449,7 +454,7 @@ def encode(
     def split(batches):
         import pyarrow as pa
 
-        reach = shared.value[0].longest
+        reach = shared.value.longest
         for batch in batches:
             for k, value in enumerate(batch.column(len(keep))):
                 whole, row = normalised(value.as_py()), uuid.uuid4().hex
@@ -472,7 +477,7 @@ def encode(
     def matrices(batches):
         import pyarrow as pa
 
-        encoder = encoder_of(shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
             place, before, middle, after = (batch.column(k).to_pylist() for k in (1, 3, 4, 5))
             made = [pickle.dumps(encoder.matrix(b, m, a, p == 0)) for p, b, m, a in zip(place, before, middle, after)]
@@ -525,7 +530,7 @@ def encode(
     def trace(batches):
         import pyarrow as pa
 
-        encoder = encoder_of(shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
             middle, after, ends = (batch.column(k).to_pylist() for k in (2, 3, 4))
             found = [encoder.trace_chunk(m, a, *pickle.loads(e)) for m, a, e in zip(middle, after, ends)]
@@ -542,12 +547,12 @@ def encode(
     whole = parts.groupBy("_row").agg(
         *(F.first(c).alias(c) for c in keep), F.flatten(F.transform(ordered, lambda p: p["_ids"])).alias(ids)
     )
-    return short.unionByName(whole.select(*keep, ids))
+    return short.unionByName(whole.select(*keep, ids)).toDF(*outside)
 
 
 def decode(frame: DataFrame, *, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """The frame with the text of its ids in place of these."""
-    pieces = load(vocabulary)
+    pieces, _ = shared_pieces(frame.sparkSession.sparkContext, vocabulary)
     spelled = [b""] * pieces.size
     for piece, number in pieces.ids.items():
         spelled[number] = piece.encode()

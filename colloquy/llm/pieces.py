@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"  # how the vocabulary writes a blank
+_LEAF: dict = {}  # the one empty node of all tries
 
 
 @dataclass
@@ -20,20 +23,51 @@ class Pieces:
     is_unigram: bool = False
 
     def trie(self) -> dict:
-        """Nested dictionaries by character; the id of a piece is under the empty string."""
+        """By character: the same for the next characters, and the id of the piece that ends here or None."""
+
+        def closed(node: dict) -> dict:
+            return {c: (closed(below), below.get("")) for c, below in node.items() if c} or _LEAF
+
         root: dict = {}
         for piece, number in self.ids.items():
             node = root
             for char in piece:
                 node = node.setdefault(char, {})
             node[""] = number
-        return root
+        return closed(root)
+
+    @cached_property
+    def key(self) -> str:
+        """A name for the content: equal models have equal keys."""
+        return hashlib.sha256(repr((self.is_unigram, self.size, sorted(self.ids.items()), self.scores)).encode()).hexdigest()
 
     @property
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
 
+_TRIES: dict[str, dict] = {}
+
+
+def trie_of(pieces: Pieces) -> dict:
+    """The pieces' trie. A worker builds it once and holds the last one, for the tasks of all stages:
+    what travels is the list of pieces, about a tenth of its size."""
+    if pieces.key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[pieces.key] = pieces.trie()
+    return _TRIES[pieces.key]
+
+
+def shared_pieces(context, path: str = VOCABULARY):
+    """The vocabulary as a broadcast, one for all operators of a Spark context."""
+    held = context.__dict__.setdefault("_colloquy_pieces", {})
+    if path not in held:
+        pieces = load(path)
+        pieces.key  # noqa: B018 (computed before it travels)
+        held[path] = (pieces, context.broadcast(pieces))
+    return held[path]
+
+
 def _is_unigram(data: bytes) -> bool:
     """Whether the model file names the unigram algorithm (also the default).
 

@@ -6,10 +6,14 @@ holds, a date stays a date. The permutation depends on the key and the kind of
 value alone, so equal values are equal in all documents, however they are written.
 No value is its own pseudonym.
 
-Kinds: e-mail addresses (letters and digits before the @), IBANs (mod 97), hex
-secrets of 32 digits or more, dates from 1900 to 2099, IPv4 addresses, US social
-security numbers, telephone numbers, and card or account numbers of 13 to 19
-digits (a valid Luhn digit stays valid, another stays invalid).
+Kinds: e-mail addresses (letters of any script and digits before the @; marks where there is neither),
+IBANs (mod 97), hex secrets of 32 digits or more, dates from 1900 to 2099, IPv4 and IPv6 addresses, US social
+security numbers, telephone numbers (with a country code, in US grouping, or after a word such as "tel"), and
+card or account numbers of 13 to 19 digits (a valid Luhn digit stays valid, another stays invalid).
+
+Days up to the 12th and later ones are permuted apart: so a date that is written month first, which only
+a later day shows, still reads so, and different dates never get one pseudonym in any format.
+A telephone number's country code stays and the rest is permuted, whatever stands between its digits.
 
 Everything happens in the row, without a shuffle. Defined results: a null text
 stays null with no values; rows that repeat get the same pseudonyms; other columns,
@@ -20,9 +24,13 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -31,6 +39,11 @@ from .store import fields
 ROUNDS = 10
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 DAYS = dt.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
+EARLY, LATE = ([d for d in range(DAYS) if (dt.date.fromordinal(FIRST_DAY + d).day > 12) == late] for late in (False, True))
+# The telephone country codes of one and two digits; all others have three.
+SHORT_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 MONTHS = "January February March April May June July August September October November December".split()
 # Addresses that name no one.
 PLAIN_ADDRESSES = frozenset(("0.0.0.0", "127.0.0.1", "255.255.255.255"))
@@ -112,6 +125,27 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+MARKS = "+-._"
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters among which a lower-case character is permuted: a-z, 0-9, or the letters of its
+    part of Unicode that change case as it does; itself alone if it is no letter."""
+    if "a" <= c <= "z":
+        return string.ascii_lowercase
+    if "0" <= c <= "9":
+        return string.digits
+    if not c.isalpha() or c.isupper():
+        return c
+
+    def behaviour(x: str) -> tuple:
+        return x.upper() == x, x.upper().lower() == x
+
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if x.isalpha() and not x.isupper() and behaviour(x) == behaviour(c))
+
+
 class Pseudonyms:
     """Finds the values of a text and gives their replacements."""
 
@@ -128,17 +162,23 @@ class Pseudonyms:
         return found(x)
 
     def mixed(self, kind: str, text: str) -> str:
-        """Letters a-z go to letters and digits to digits; all else stays, as does case."""
-        sizes = [26 if "a" <= c <= "z" else 10 if "0" <= c <= "9" else 1 for c in text.lower()]
-        value = 0
-        for c, size in zip(text.lower(), sizes):
-            value = value * size + (ord(c) - 97 if size == 26 else int(c) if size == 10 else 0)
-        value = self.permuted(kind + "/" + "".join("a" if s == 26 else "0" if s == 10 else c for c, s in zip(text.lower(), sizes)), math.prod(sizes), value)
+        """Letters go to letters of their script and digits to digits; all else stays, as does case.
+
+        A text of marks alone has these replaced.
+        """
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        sets = [alphabet(c) for c in lower]
+        if not any(len(x) > 1 for x in sets):
+            sets = [MARKS if c in MARKS else x for c, x in zip(lower, sets)]
+        value, size = 0, 1
+        for c, letters in zip(lower, sets):
+            value, size = value * len(letters) + letters.index(c), size * len(letters)
+        value = self.permuted(kind + "/" + "".join(x[0] if len(x) > 1 else c for c, x in zip(lower, sets)), size, value)
         out = []
-        for c, size in zip(reversed(text), reversed(sizes)):
-            value, digit = divmod(value, size)
-            new = c if size == 1 else chr(97 + digit) if size == 26 else str(digit)
-            out.append(new.upper() if c.isupper() and size == 26 else new)
+        for c, letters in zip(reversed(text), reversed(sets)):
+            value, place = divmod(value, len(letters))
+            new = letters[place]
+            out.append(new.upper() if c.isupper() and len(new.upper()) == 1 else new)
         return "".join(reversed(out))
 
     def digits(self, kind: str, digits: str, valid: Callable[[str], bool] | None = None) -> str:
@@ -166,14 +206,14 @@ class Pseudonyms:
     def iban(self, m: re.Match) -> str | None:
         """As long as the IBAN, which upper-case words may follow in the match."""
         ends = [k.start() for k in re.finditer(" |$", m[0])]
-        usual = IBAN_LENGTHS.get(m[0][:2])
+        usual = IBAN_LENGTHS.get(m[0][:2].upper())
         for end in sorted(ends, key=lambda end: (end - m[0].count(" ", 0, end) != usual, -end)):
-            value = m[0][:end].replace(" ", "")
+            value = m[0][:end].replace(" ", "").upper()
             country, check, account = value[:2], value[2:4], value[4:]
             if 11 <= len(account) <= 30 and iban_digits(country, account) == check:
                 account = self.mixed("iban" + country, account)
                 new = iter(country + iban_digits(country, account) + account)
-                return "".join(c if c == " " else next(new) for c in m[0][:end])
+                return "".join(c if c == " " else next(new).lower() if c.islower() or (c.isdigit() and m[0].islower()) else next(new) for c in m[0][:end])
         return None
 
     def secret(self, m: re.Match) -> str | None:
@@ -190,7 +230,8 @@ class Pseudonyms:
             return None
         if not 0 <= ordinal < DAYS:
             return None
-        return dt.date.fromordinal(self.permuted("date", DAYS, ordinal) + FIRST_DAY)
+        kind, days = ("late day", LATE) if day > 12 else ("early day", EARLY)
+        return dt.date.fromordinal(days[self.permuted(kind, len(days), bisect_left(days, ordinal))] + FIRST_DAY)
 
     def iso_date(self, m: re.Match) -> str | None:
         day = self._day(int(m["y"]), int(m["m"]), int(m["d"]))
@@ -203,18 +244,36 @@ class Pseudonyms:
             day, swapped = self._day(int(m["y2"]), a, b), True
         if day is None:
             return None
-        # A swapped date must still read month first, so its day must not be taken for a month.
+        # A date that was swapped has a day after the 12th, as has its pseudonym.
         first, second = (day.month, day.day) if swapped else (day.day, day.month)
         return f"{first:02d}{m['s2']}{second:02d}{m['s2']}{day.year}"
 
     def named_date(self, m: re.Match) -> str | None:
         month = m["n1"] or m["n2"]
-        day = self._day(int(m["y3"] or m["y4"]), MONTHS.index(month.capitalize()) + 1, int(m["d3"] or m["d4"]))
+        number = next(k for k, name in enumerate(MONTHS) if name.lower().startswith(month.lower()[:3]))
+        day = self._day(int(m["y3"] or m["y4"]), number + 1, int(m["d3"] or m["d4"]))
         if day is None:
             return None
-        name = MONTHS[day.month - 1]
+        # May is as long as its short form, so a short form is told by the rest of the match.
+        name = MONTHS[day.month - 1] if month.capitalize() in MONTHS else MONTHS[day.month - 1][:3]
         name = name.upper() if month.isupper() else name.lower() if month.islower() else name
-        return f"{day.day} {name} {day.year}" if m["n1"] else f"{name} {day.day}, {day.year}"
+        ordinal = "" if not (m["o3"] or m["o4"]) else "th" if 10 < day.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day.day % 10, "th")
+        if m["n1"]:
+            return f"{day.day}{ordinal} {m['of'] or ''}{name}{m['p1'] or ''} {day.year}"
+        return f"{name}{m['p2'] or ''} {day.day}{ordinal}{m['c4']} {day.year}"
+
+    def address6(self, m: re.Match) -> str | None:
+        try:
+            value = ipaddress.IPv6Address(m[0])
+        except ValueError:
+            return None
+        if int(value) < 2:
+            return None
+        new = ipaddress.IPv6Address(self.permuted("ip6", 1 << 128, int(value))).compressed
+        return new.upper() if m[0] != m[0].lower() else new
+
+    def labelled(self, m: re.Match) -> str:
+        return m[0][: m.start("bare") - m.start()] + self.digits("phone", m["bare"])
 
     def address(self, m: re.Match) -> str | None:
         parts = m[0].split(".")
@@ -232,10 +291,11 @@ class Pseudonyms:
 
     def phone(self, m: re.Match) -> str | None:
         digits = re.sub("[^0-9]", "", m[0])
-        code = re.match(r"\+([0-9]{1,3})(?=[ .(-])", m[0])
-        kept = code[1] if code else ""
-        rest = digits[len(kept) :]
-        return self.in_place(m[0], kept + self.digits("phone", rest)) if 7 <= len(rest) <= 12 else None
+        size = 0
+        if m[0][0] == "+":
+            size = next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)
+        rest = digits[size:]
+        return self.in_place(m[0], digits[:size] + self.digits("phone", rest)) if 7 <= len(rest) <= 12 else None
 
     def number(self, m: re.Match) -> str:
         digits = re.sub("[^0-9]", "", m[0])
@@ -309,21 +369,24 @@ def _stretch(text: str, at: int) -> int:
 REACH = 140
 _DIGITS = re.compile("[0-9]+")
 _SPACE = re.compile(r"\s")
-_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-])")
-_NAMES = "|".join(MONTHS)
+_EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}(?![\w-])")
+_NAMES = "|".join([*MONTHS, *(name[:3] for name in MONTHS), "Sept"])
+_LABELS = "telephone|phone|tel|mobile|cell|fax|fon|telefon|tél|móvil"
 # The last group that matched names the kind, so a kind's group closes last.
 _KINDS = (
-    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    r"(?P<iban>\b(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b)",
     r"(?P<secret>\b(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128}\b)",
     r"(?P<iso_date>\b(?P<y>(?:19|20)[0-9]{2})(?P<s1>[-/.])(?P<m>[0-9]{1,2})(?P=s1)(?P<d>[0-9]{1,2})(?![0-9])(?![.-][0-9]))",
     r"(?P<day_first>(?<![\w.])(?P<d2>[0-9]{1,2})(?P<s2>[-/.])(?P<m2>[0-9]{1,2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2})(?![0-9]))",
-    rf"(?P<named_date>\b(?:(?P<d3>[0-9]{{1,2}}) (?P<n1>(?i:{_NAMES})) (?P<y3>(?:19|20)[0-9]{{2}})"
-    rf"|(?P<n2>(?i:{_NAMES})) (?P<d4>[0-9]{{1,2}}), (?P<y4>(?:19|20)[0-9]{{2}}))\b)",
+    rf"(?P<named_date>\b(?:(?P<d3>[0-9]{{1,2}})(?P<o3>st|nd|rd|th)? (?P<of>of )?(?P<n1>(?i:{_NAMES}))(?P<p1>\.)? (?P<y3>(?:19|20)[0-9]{{2}})"
+    rf"|(?P<n2>(?i:{_NAMES}))(?P<p2>\.)? (?P<d4>[0-9]{{1,2}})(?P<o4>st|nd|rd|th)?(?P<c4>,?) (?P<y4>(?:19|20)[0-9]{{2}}))\b)",
+    r"(?P<address6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:.]))",
     r"(?P<address>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9]))",
     r"(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))",
     r"(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
-    r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}"
+    r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,5}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])(?!\.[0-9]))",
+    rf"(?P<labelled>\b(?i:{_LABELS})\b[.:]{{0,2}} ?(?P<bare>[0-9]{{7,12}})(?![0-9])(?![.-][0-9]))",
     r"(?P<number>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9]))",
 )
 _OTHERS = re.compile("|".join(_KINDS))
@@ -334,9 +397,12 @@ _AFTER = {kind: list(_EACH)[k + 1 :] for k, kind in enumerate(_EACH)}
 def pseudonymise(
     docs: DataFrame, key: bytes, *, text: str = "text", n_values: str | None = "n_values"
 ) -> DataFrame:
-    """The documents with their personal values replaced, and how many there were."""
+    """The documents with their personal values replaced, and how many there were: in a column
+    ``n_values``, with underscores after it if the documents have one of that name."""
     names = list(docs.columns)
     at = names.index(text)
+    while n_values in names:
+        n_values += "_"
     added = [n_values] if n_values else []
 
     def run(batches):

@@ -1,11 +1,17 @@
 """Quality rules with thresholds from quantile sketches per language and source.
 
 Each text is measured once; the measures of texts that pass the base rules go
-into KLL sketches, one for each measure of each (language, source). Sketches are
-mergeable: they are built before the shuffle, and those of a language, or of all
-texts, are merged from them for groups too small to speak for themselves.
-A text is kept if it passes the base rules and none of its measures lies far
-outside the middle half of its group.
+into quantile sketches, one for each measure of each (language, source). A sketch counts values in
+bins whose edges grow by GAMMA (a published form, with a relative error of 1 % in the value and
+none in the rank): it merges by addition, before and after the shuffle, and is the same
+whatever the order of rows. A sketch's limit for a measure is the larger of 2 Q(TAIL) - Q(1/2)
+and the quantile RARE of the values that are not 0, where Q are its quantiles; for word length
+there is also a lower one, 2 Q(1 - TAIL) - Q(1/2).
+
+A group's limit is the mean of its own, weighted by its texts, and those of its language and of
+all texts, with the weight of PRIOR texts each: a small group speaks through its language and a
+large one for itself, without a size at which the rule changes. A text is kept if it passes
+the base rules and all its measures lie within its group's limits.
 
 Words are runs of anything but ASCII white space.
 
@@ -19,11 +25,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import bounded_broadcast, written
 from .words import SPLIT_AT_SPACE, hashed_texts, text_bytes, windows
 
 WINDOW = 8
@@ -32,26 +38,23 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Measure:
-    """A measure and how far it may lie outside the middle half: a multiple of
-    the half's width, and a distance that is always allowed."""
-
     name: str
     column: str  # SQL over the counts
-    spreads: float
-    slack: float
     both_sides: bool = False
 
 
 MEASURES = (
-    Measure("word_length", "word_chars / n_words", 4.0, 1.0, both_sides=True),
-    Measure("symbols", "n_symbols / n_words", 4.0, 0.2),
+    Measure("word_length", "word_chars / n_words", both_sides=True),
+    Measure("symbols", "n_symbols / n_words"),
     # Four more lines, so that one repeat in a text of three lines is not a third of it.
-    Measure("dup_lines", "n_dup_lines / (n_lines + 4)", 4.0, 0.2),
-    Measure("repeats", "n_repeat_words / n_words", 4.0, 0.1),
+    Measure("dup_lines", "n_dup_lines / (n_lines + 4)"),
+    Measure("repeats", "n_repeat_words / n_words"),
 )
-# A group of fewer texts takes the thresholds of its language, or of all texts.
-GROUP_TEXTS = 100
-SKETCH_SIZE = 400
+TAIL = 0.99
+RARE = 0.9
+GAMMA = 1.02
+PRIOR = 100  # texts
+ZERO = -(1 << 20)  # the bin of the value 0
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -111,34 +114,68 @@ def measured(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     return rows.mapInArrow(run, schema)
 
 
-def _measures() -> dict:
-    return {m.name: F.expr(f"double({m.column})") for m in MEASURES}
+def _value(m: Measure) -> F.Column:
+    top, bottom = m.column.split(" / ")
+    return F.coalesce(F.expr(f"try_divide(double({top}), {bottom})"), F.lit(0.0))
 
 
-def _sketches(rows: DataFrame, *keys: str) -> DataFrame:
-    """A sketch of each measure and the number of texts of each group."""
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("texts"),
-        *(F.kll_sketch_agg_double(m.name, F.lit(SKETCH_SIZE)).alias(m.name) for m in MEASURES),
+def _bins(rows: DataFrame) -> DataFrame:
+    """(lang, source, measure, bin, n): the sketches of all groups."""
+    cells = []
+    for m in MEASURES:
+        place = F.ceil(F.log(_value(m)) / F.log(F.lit(GAMMA))).cast("int")
+        cells.append(F.struct(F.lit(m.name).alias("measure"), F.when(_value(m) > 0, place).otherwise(ZERO).alias("bin")))
+    each = rows.select("lang", "source", F.inline(F.array(*cells)))
+    return each.groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _points(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure), the number of texts and the limits of the merged sketches."""
+    merged = sketches.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    # A sketch has one row for each bin, so these windows are short.
+    whole = Window.partitionBy(*keys, "measure")
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.col("bin") == ZERO
+    placed = merged.withColumns(
+        {
+            "total": F.sum("n").over(whole),
+            "zeros": F.sum(F.when(zero, F.col("n")).otherwise(0)).over(whole),
+            "reach": F.sum("n").over(upto),
+            "value": F.when(zero, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin"))),
+        }
     )
 
+    def quantile(q: float) -> F.Column:
+        return F.min(F.when(F.col("reach") >= q * F.col("total"), F.col("value")))
 
-def _merged(sketches: DataFrame, *keys: str) -> DataFrame:
-    return sketches.groupBy(*keys).agg(
-        F.sum("texts").alias("texts"), *(F.kll_merge_agg_double(m.name).alias(m.name) for m in MEASURES)
+    beyond = F.col("reach") - F.col("zeros") >= RARE * (F.col("total") - F.col("zeros"))
+    rare = F.coalesce(F.min(F.when(~zero & beyond, F.col("value"))), F.lit(0.0))
+    found = placed.groupBy(*keys, "measure").agg(
+        F.max("total").alias("texts"),
+        F.greatest(2 * quantile(TAIL) - quantile(0.5), rare).alias("high"),
+        (2 * quantile(1 - TAIL) - quantile(0.5)).alias("low"),
     )
+    return found
 
 
-def _limits(sketches: DataFrame, *keys: str) -> DataFrame:
-    """The sketches turned into the limits of each measure."""
+def limits(sketches: DataFrame) -> DataFrame:
+    """(lang, source) and for each measure its lowest and highest value that is kept."""
+    own = _points(sketches, "lang", "source")
+    of_lang = _points(sketches, "lang").select(
+        F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), F.col("high").alias("lang_high"), F.col("low").alias("lang_low")
+    )
+    of_all = _points(sketches).select("measure", F.col("high").alias("all_high"), F.col("low").alias("all_low"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure"))
+    every = own.join(of_lang, same).join(of_all, "measure")
 
-    def limit(m: Measure):
-        low, high = (F.kll_sketch_get_quantile_double(m.name, F.lit(q)) for q in (0.25, 0.75))
-        reach = (high - low) * m.spreads + m.slack
-        floor = low - reach if m.both_sides else F.lit(float("-inf"))
-        return F.struct(floor.alias("low"), (high + reach).alias("high")).alias(m.name)
+    def blended(end: str) -> F.Column:
+        weighed = F.col("texts") * F.col(end) + PRIOR * F.col(f"lang_{end}") + PRIOR * F.col(f"all_{end}")
+        return weighed / (F.col("texts") + 2 * PRIOR)
 
-    return sketches.select(*keys, F.struct(*(limit(m) for m in MEASURES)).alias("limits"))
+    both = [m.name for m in MEASURES if m.both_sides]
+    low = F.when(F.col("measure").isin(both), blended("low")).otherwise(float("-inf"))
+    reach = F.struct(low.alias("low"), blended("high").alias("high"))
+    return every.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m.name, reach)).alias(m.name) for m in MEASURES])
 
 
 def base_failed() -> F.Column:
@@ -152,37 +189,15 @@ def quality(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    group_texts: int = GROUP_TEXTS,
 ) -> DataFrame:
     """<doc_id>, the COUNTS, base_failed and kept for every document."""
     rows = written(measured(docs, doc_id, text, lang, source).withColumn("base_failed", base_failed()), "measures")
-    good = rows.where("not base_failed").select("lang", "source", *(e.alias(n) for n, e in _measures().items()))
-    # A row for each language and source, a few kilobytes each.
-    groups = written(_sketches(good, "lang", "source"), "sketches")
-    own = _limits(groups.where(F.col("texts") >= group_texts), "lang", "source")
-    of_lang = _limits(_merged(groups, "lang").where(F.col("texts") >= group_texts), "lang")
-    if groups.isEmpty():  # nothing passes the base rules
-        named = rows.withColumn("kept", F.lit(False))
-        return named.select(F.col("id").alias(doc_id), *COUNTS, "base_failed", "kept")
-    overall = _limits(_merged(groups)).first()
-    default = F.struct(
-        *(F.struct(F.lit(limit.low).alias("low"), F.lit(limit.high).alias("high")).alias(m.name) for m, limit in zip(MEASURES, overall.limits))
-    )
-    own = own.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.col("limits").alias("_own"))
-    of_lang = of_lang.select(F.col("lang").alias("_m"), F.col("limits").alias("_lang"))
-    both = rows.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    both = both.join(of_lang, F.col("lang").eqNullSafe(F.col("_m")), "left")
-    both = both.withColumn("_limits", F.coalesce("_own", "_lang", default)).withColumns(_measures_or_zero())
+    sketches = written(_bins(rows.where("not base_failed")), "sketches")
+    # A row for each language and source.
+    reach = written(limits(sketches), "limits")
+    reach = bounded_broadcast(reach.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(m.name for m in MEASURES)))
+    both = rows.join(reach, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.col(f"_value_{m.name}").between(F.col(f"_limits.{m.name}.low"), F.col(f"_limits.{m.name}.high"))
-    return both.select(
-        F.col("id").alias(doc_id), *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept")
-    )
-
-
-def _measures_or_zero() -> dict:
-    return {
-        f"_value_{m.name}": F.coalesce(F.expr(f"try_divide(double({m.column.split(' / ')[0]}), {m.column.split(' / ')[1]})"), F.lit(0.0))
-        for m in MEASURES
-    }
+        inside &= F.coalesce(_value(m).between(F.col(f"{m.name}.low"), F.col(f"{m.name}.high")), F.lit(False))
+    return both.select(F.col("id").alias(doc_id), *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))

@@ -3,6 +3,7 @@ the parameters used in production, to its whole table."""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,12 +130,18 @@ def op6_main_text(spark, sf_dir):
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def pseudonym_key(spark) -> bytes:
+    """The key that the session sets; else a random one, which links values in this session alone."""
+    key = spark.conf.get("spark.colloquy.pseudonymKey", None)
+    held = spark.sparkContext.__dict__.setdefault("_colloquy_key", secrets.token_bytes(32))
+    return key.encode() if key else held
+
+
 @query
 def op8_pseudonyms(spark, sf_dir):
     """Documents with personal values replaced by pseudonyms under the session's key."""
-    key = spark.conf.get("spark.colloquy.pseudonymKey", "a key for tests")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, key.encode())
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
 
 
 @query

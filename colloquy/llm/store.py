@@ -50,6 +50,14 @@ def fields(frame: DataFrame, *added: tuple[str, str]) -> T.StructType:
     )
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores after it until no column has it."""
+    columns = set(columns)
+    while name in columns:
+        name += "_"
+    return name
+
+
 def batches_of(rows: Iterable, size: int):
     batch = []
     for row in rows:
@@ -61,4 +69,4 @@ def batches_of(rows: Iterable, size: int):
         yield batch
 
 
-__all__ = ["BROADCAST_ROWS", "batches_of", "bounded_broadcast", "fields", "ship_package", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "batches_of", "bounded_broadcast", "fields", "ship_package", "table", "unused", "written"]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import ipaddress
 import re
 
 import pytest
@@ -63,6 +64,69 @@ def test_dates_are_one_value_in_all_formats():
     assert replaced("MARCH 12, 1985") == f"{day:%B} {day.day}, {day.year}".replace(f"{day:%B}", f"{day:%B}".upper())
 
 
+def test_dates_map_one_to_one_in_all_formats():
+    first = dt.date(1960, 1, 1)
+    days = [first + dt.timedelta(days=k) for k in range(0, 25_000, 3)]
+    by_day = {}
+    for pattern in ("{d:02}/{m:02}/{y}", "{m:02}/{d:02}/{y}", "{y}-{m:02}-{d:02}", "{d}.{m}.{y}"):
+        back = {}
+        for day in days:
+            if pattern.startswith("{m") and day.day <= 12:
+                continue  # reads day first
+            new = replaced(pattern.format(d=day.day, m=day.month, y=day.year))
+            numbers = list(map(int, re.findall("[0-9]+", new)))
+            y, m, d = numbers if pattern.startswith("{y") else (numbers[2], numbers[0], numbers[1]) if pattern.startswith("{m") else numbers[::-1]
+            found = dt.date(y, m, d)
+            assert found != day and back.setdefault(new, day) == day
+            assert by_day.setdefault(day, found) == found
+    assert len(set(by_day.values())) == len(by_day)
+
+
+@pytest.mark.parametrize("text", ["12 Mar 2024", "5th March 2024", "Mar. 12th, 2024", "1st of May 2001", "SEPT 3 1999", "tel 4155550123", "Phone: 04155550123"])
+def test_more_spellings(text):
+    new = replaced(text)
+    assert new != text and re.sub("[0-9]+|[A-Za-z]+", "x", new) == re.sub("[0-9]+|[A-Za-z]+", "x", text)
+
+
+def test_short_months_and_ordinals_agree_with_iso_dates():
+    day = dt.date.fromisoformat(replaced("2024-03-05"))
+    assert replaced("5 Mar 2024") == f"{day.day} {day:%b} {day.year}"
+    ending = "th" if 10 < day.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day.day % 10, "th")
+    assert replaced("5th March 2024") == f"{day.day}{ending} {day:%B} {day.year}"
+
+
+def test_telephone_numbers_are_linked_however_they_are_spaced():
+    spellings = ("+1 415 555 0123", "+14155550123", "+1 (415) 555-0123", "(415) 555-0123", "415-555-0123", "tel. 4155550123")
+    found = {re.sub("[^0-9]", "", replaced(x))[-10:] for x in spellings}
+    assert len(found) == 1 and found != {"4155550123"}
+    assert replaced("+49 30 901820")[:4] == "+49 " and replaced("+4930901820")[:3] == "+49"
+    assert re.sub("[^0-9]", "", replaced("+35312345678")) == re.sub("[^0-9]", "", replaced("+353 1 234 5678"))
+
+
+@pytest.mark.parametrize("local", ["жанна", "_", "Ω.αβ", "李", "ß", "a", "é", "._-", "Łukasz", "x1"])
+def test_no_address_stays(local):
+    new = replaced(f"{local}@example.com")
+    assert new.endswith("@example.com") and new != f"{local}@example.com" and len(new) == len(local) + 12
+    assert [c.isupper() for c in new] == [c.isupper() for c in f"{local}@example.com"]
+    assert replaced("ann@пример.рф") != "ann@пример.рф"
+
+
+def test_local_parts_map_one_to_one():
+    letters = "абвгё12.xΩ"
+    names = {a + b for a in letters for b in letters}
+    assert len({replaced(f"{x}@example.com") for x in names}) == len(names)
+
+
+def test_lower_case_ibans_and_ipv6():
+    new = replaced("de89370400440532013000")
+    assert new == new.lower() and new != "de89370400440532013000" and iban_digits("DE", new[4:].upper()) == new[2:4]
+    assert new.upper() == replaced("DE89370400440532013000")
+    for address in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "FE80::1"):
+        assert ipaddress.IPv6Address(replaced(f"at {address},")[3:-1]) != ipaddress.IPv6Address(address)
+    assert replaced("2001:db8::1") == replaced("2001:0db8:0:0:0:0:0:1")
+    assert replaced("::1 at 10:30:45") == "::1 at 10:30:45"
+
+
 @pytest.mark.parametrize(
     "text",
     ["", "version 3.0, 2001-13-45", "1999 pages", "12345678", "127.0.0.1", "300.1.1.1", "DE00370400440532013000x", "000-12-3456", "a@b", "CC BY-NC 4.0.", "deadbeef"],
@@ -83,3 +147,5 @@ def test_rows(documents):
     assert by[2].text == by[1].text.upper() and by[6].text == (by[1].text + " ") * 5_000
     assert (by[3].text, by[3].found, by[4].text, by[None].text) == (None, 0, "", "no values")
     assert pseudonymise(frame.limit(0), KEY).count() == 0
+    named = frame.withColumnRenamed("kept", "n_values")
+    assert pseudonymise(named, KEY).columns == [*named.columns, "n_values_"]
