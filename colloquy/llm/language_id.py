@@ -5,7 +5,8 @@ word's probability is the sum over all ways to cut it into pieces, which a
 forward pass adds up; a text is the product of its words. The probabilities are
 fitted by expectation maximisation over the same segmentations.
 
-Words are runs of letters and their marks, lower-cased, with a blank in front.
+Words are runs of letters and their marks, lower-cased, with a blank in front, however long: in scripts
+without blanks a word may be a sentence.
 Characters outside the vocabulary have one fixed small probability.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0;
@@ -36,6 +37,8 @@ AT_ONCE = 4_000
 PART = 1 << 20
 # A text is not in a language if so small a share of its learned stretches is as improbable.
 RARE = 0.001
+# Longer words, with the blank in front, could underflow: their sums are kept as logarithms.
+PLAIN = 33
 # What a text may be less probable than that, per character, as the stretches are learned from.
 MARGIN = 0.1
 # Rates are counted in steps of 1 / BINS.
@@ -58,6 +61,20 @@ class Lattice:
     def __init__(self, trie: dict, unknown: int):
         self.trie, self.unknown = trie, unknown
 
+    def pieces_at(self, text: str, at: int):
+        """(end, piece) of all pieces that begin at a place."""
+        node, single = self.trie, False
+        for j in range(at, len(text)):
+            step = node.get(text[j])
+            if step is None:
+                break
+            node, number = step
+            if number is not None:
+                single |= j == at
+                yield j + 1, number
+        if not single:
+            yield at + 1, self.unknown
+
     def edges(self, words: list[str]):
         """Arrays (word, begin, end, piece) of all pieces found in the words."""
         word, begin, end, piece = [], [], [], []
@@ -106,25 +123,57 @@ class Lattice:
 
     def log_probabilities(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
         """log P(word | language) by word and language."""
-        # Long words would underflow; they are cut, and the parts multiplied.
-        parts, owner = [], []
-        for k, word in enumerate(words):
-            for at in range(0, max(len(word), 1), 32):
-                parts.append(word[at : at + 32])
-                owner.append(k)
-        sums, lengths, _ = self.forward(parts, probabilities)
-        each = np.log(sums[lengths, np.arange(len(parts))])
         out = np.zeros((len(words), probabilities.shape[1]))
-        np.add.at(out, np.array(owner), each)
+        plain = [k for k, word in enumerate(words) if len(word) <= PLAIN]
+        sums, lengths, _ = self.forward([words[k] for k in plain], probabilities)
+        out[plain] = np.log(sums[lengths, np.arange(len(plain))])
+        if len(plain) < len(words):
+            logs = np.log(probabilities)
+            for k, word in enumerate(words):
+                if len(word) > PLAIN:
+                    for _, last in self._logs_forward(word, logs):
+                        out[k] = last
         return out
 
+    def _logs_forward(self, word: str, logs: np.ndarray):
+        """(place, log of the forward sum) along a word of any length; holds as many sums as a piece is long."""
+        sums = {0: np.zeros(logs.shape[1])}
+        for i in range(len(word)):
+            here = sums.pop(i)
+            yield i, here
+            for end, piece in self.pieces_at(word, i):
+                more = here + logs[piece]
+                sums[end] = np.logaddexp(sums[end], more) if end in sums else more
+        yield len(word), sums[len(word)]
+
     def expected(self, words: list[str], counts: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; counts by word and language."""
+        plain = [k for k, word in enumerate(words) if len(word) <= PLAIN]
+        out = self._expected_plain([words[k] for k in plain], counts[plain], probabilities)
+        if len(plain) < len(words):
+            logs = np.log(probabilities)
+            for k, word in enumerate(words):
+                if len(word) > PLAIN:
+                    self._add_expected(word, counts[k], logs, out)
+        return out
+
+    def _add_expected(self, word: str, counts: np.ndarray, logs: np.ndarray, out: np.ndarray) -> None:
+        before = [here for _, here in self._logs_forward(word, logs)]
+        total, after = before[-1], {len(word): np.zeros(logs.shape[1])}
+        for i in range(len(word) - 1, -1, -1):
+            rest = None
+            for end, piece in self.pieces_at(word, i):
+                more = logs[piece] + after[end]
+                out[piece] += counts * np.exp(before[i] + more - total)
+                rest = more if rest is None else np.logaddexp(rest, more)
+            after[i] = rest
+
+    def _expected_plain(self, words: list[str], counts: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
         sums, lengths, groups = self.forward(words, probabilities)
         rest = np.zeros_like(sums)
         rest[lengths, np.arange(len(words))] = 1.0
         total = sums[lengths, np.arange(len(words))]
-        weight = np.divide(counts, total, out=np.zeros_like(total), where=total > 0)
+        weight = counts / total
         out = np.zeros_like(probabilities)
         for begin, end, word, piece in reversed(groups):
             flow = probabilities[piece] * rest[end, word]
@@ -277,12 +326,10 @@ def fit(
                 ["lang", "word", "n"],
             )
 
-    # A word of over 64 letters is rare noise to the fit; prediction reads all.
     counted = (
         sample.mapInArrow(count_words, "lang string, word string, n bigint")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
-        .where(F.length("word") <= 64)
     )
     counted = written(counted, "words")
     probabilities = np.full((pieces.size + 1, len(languages)), 1.0 / pieces.size)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -66,3 +67,26 @@ def test_odd_rows(spark, documents):
     nothing = L.fit(train.limit(0))
     assert [x.guess for x in L.predict(documents(rows[:1]), nothing, lang_pred="guess").collect()] == ["und"]
     assert L.predict(documents([]), model).count() == 0
+
+
+def test_long_words_are_summed_without_a_cut():
+    r = random.Random(5)
+    ids = {c: k for k, c in enumerate(["a", "b", "ab", "ba", "aab", L.SPACE, L.SPACE + "a"])}
+    lattice = L.Lattice(Pieces(ids, [0.0] * 7, size=7).trie(), 7)
+    probabilities = np.random.default_rng(1).random((8, 3))
+    words = [L.SPACE + "".join(r.choice("abx") for _ in range(n)) for n in (1, 20, 33, 60, 90)]
+    counts = np.random.default_rng(2).random((5, 3))
+    sums, lengths, _ = lattice.forward(words, probabilities)
+    assert np.allclose(lattice.log_probabilities(words, probabilities), np.log(sums[lengths, range(5)]))
+    assert np.allclose(lattice.expected(words, counts, probabilities), lattice._expected_plain(words, counts, probabilities))
+    giant = L.SPACE + "abx" * 4000
+    assert np.isfinite(lattice.log_probabilities([giant], probabilities * 1e-6)).all()
+
+
+def test_languages_without_blanks_are_told_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('en', 'de') and length(text) between 300 and 900")
+    glued = docs.select("doc_id", F.regexp_replace("text", r"[^\p{L}]", "").alias("text"), "lang").where("length(text) > 100")
+    model = L.fit(glued.where("doc_id % 2 = 0"))
+    found = L.predict(glued.where("doc_id % 2 = 1"), model).collect()
+    assert len(found) > 40
+    assert sum(x.lang == x.lang_pred for x in found) >= 0.95 * len(found)
