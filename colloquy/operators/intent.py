@@ -44,11 +44,13 @@ class IntentModel:
         return classification_report(self.predict(chats).filter("in_test"), "intent", "predicted_intent")
 
     def hybrid(self, chats: DataFrame) -> DataFrame:
-        """The rule's label where a rule applies, else the classifier's."""
-        by_rule = F.col("intent") != self.default
-        return self.predict(chats).withColumn(
-            "hybrid_intent", F.when(by_rule, F.col("intent")).otherwise(F.col("predicted_intent"))
-        )
+        return with_hybrid(self.predict(chats), self.default)
+
+
+def with_hybrid(predicted: DataFrame, default: str = INTENT_DEFAULT) -> DataFrame:
+    """Add ``hybrid_intent``: the rule's label where a rule applies, else the classifier's."""
+    by_rule = F.col("intent") != default
+    return predicted.withColumn("hybrid_intent", F.when(by_rule, F.col("intent")).otherwise(F.col("predicted_intent")))
 
 
 def train_intent_model(

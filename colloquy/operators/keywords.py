@@ -126,8 +126,8 @@ def vocabulary_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def occurrences_in(text: Column, keyword: Column) -> Column:
     """Number of non-overlapping occurrences; 0 of an empty keyword."""
-    rest = F.length(F.replace(text, keyword, F.lit("")))
-    return F.when(F.length(keyword) > 0, (F.length(text) - rest) / F.length(keyword)).otherwise(0).cast("long")
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, keyword, F.lit("")))
+    return F.when(F.length(keyword) > 0, gone / F.octet_length(keyword)).otherwise(0).cast("long")
 
 
 def scores_by_table(rows: DataFrame, candidates: DataFrame, *, column: str = "question", row_id: str = "id") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.ranking import ranks
 from ..functions.rules import Rules
 from ..functions.skew import broadcast_if_small
+from ..functions.text import occurrences
 from ..session import written
-from .keywords import occurrences_in, vocabulary_counts
 
 # Candidate topics in order, with their keywords.
 CANDIDATE_TOPICS: Rules = (
@@ -27,26 +29,18 @@ def keyword_scores(chats: DataFrame, candidates: Rules = CANDIDATE_TOPICS, *, co
     """For each candidate, how often its keywords occur in all texts.
 
     Occurrences are counted inside each text, so a keyword never spans two
-    messages. Keywords without blanks are counted in each different word, times the
-    number of its uses; those with blanks in the texts. For a table of
-    keywords of any size see :func:`.keywords.scores_by_table`.
+    messages; only one row of sums per task is shuffled. Each keyword is sought in each
+    text: for a long list or a table of them see :func:`.keywords.scores_by_table`.
     """
-    listed = [(i, k.lower()) for i, (_, keywords) in enumerate(candidates) for k in keywords]
-    inside = [(i, k) for i, k in listed if k and not any(c.isspace() for c in k)]
-    across = [(i, k) for i, k in listed if any(c.isspace() for c in k)]
-
-    def totals(rows: DataFrame, text: str, keywords, times: Column) -> DataFrame:
-        sums = [F.sum(occurrences_in(F.col(text), F.lit(k)) * times).alias(f"s{j}") for j, (_, k) in enumerate(keywords)]
-        cells = [F.struct(F.lit(i).alias("ord"), F.coalesce(f"s{j}", F.lit(0)).alias("score")) for j, (i, _) in enumerate(keywords)]
-        return rows.agg(*sums).select(F.inline(F.array(*cells)))
-
-    names = chats.sparkSession.createDataFrame([(i, topic) for i, (topic, _) in enumerate(candidates)], "ord int, topic string")
-    found = names.select("ord", F.lit(0).cast("bigint").alias("score"))
-    if inside:
-        found = found.unionByName(totals(vocabulary_counts(chats, column), "word", inside, F.col("n")))
-    if across:
-        found = found.unionByName(totals(chats.select(F.lower(column).alias("text")), "text", across, F.lit(1)))
-    return names.join(found.groupBy("ord").agg(F.sum("score").alias("score")), "ord").select("ord", "topic", "score")
+    totals = [
+        F.coalesce(F.sum(reduce(add, (occurrences(F.col("text"), k.lower()) for k in keywords))), F.lit(0)).alias(f"s{i}")
+        for i, (_, keywords) in enumerate(candidates)
+    ]
+    cells = [
+        F.struct(F.lit(i).alias("ord"), F.lit(topic).alias("topic"), F.col(f"s{i}").alias("score"))
+        for i, (topic, _) in enumerate(candidates)
+    ]
+    return chats.select(F.lower(column).alias("text")).agg(*totals).select(F.inline(F.array(*cells)))
 
 
 def recommend_topics(

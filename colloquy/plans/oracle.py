@@ -567,6 +567,45 @@ oracle(
     ORDER BY score DESC, ord LIMIT 5""",
 )
 
+# Models with given assignments
+oracle(
+    "given_segment_profiles",
+    "features",
+    "SELECT CAST(client_id % 4 AS INTEGER) AS segment, " + ", ".join(f"round(avg({f}), 4) AS {f}" for f in SEGMENT_FEATURES)
+    + " FROM features GROUP BY 1",
+)
+ORACLES["given_cluster_terms"] = f"""WITH weights AS ({ORACLES["term_weights"].replace("round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6)", "w / sqrt(sum(w * w) OVER (PARTITION BY id))")}),
+    members AS (SELECT CAST(doc_id % 3 AS INTEGER) AS topic_cluster, count(*) AS n FROM documents GROUP BY 1),
+    means AS (SELECT m.topic_cluster, term, sum(weight) / any_value(m.n) AS weight FROM weights JOIN members m ON m.topic_cluster = id % 3 GROUP BY 1, 2)
+    SELECT topic_cluster, term, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY topic_cluster ORDER BY weight DESC, term) AS INTEGER) AS rank
+    FROM means QUALIFY row_number() OVER (PARTITION BY topic_cluster ORDER BY weight DESC, term) <= 10"""
+oracle(
+    "given_forecast_union",
+    "topic_daily",
+    f"""SELECT topic, date, volume, 'Historical' AS type FROM ({_forecast("topic_daily", "topic,", "topic")})
+    UNION ALL SELECT topic, CAST(last + CAST(n AS INTEGER) AS DATE), day(last + CAST(n AS INTEGER)), 'Forecast'
+    FROM (SELECT topic, max(date) AS last FROM topic_daily GROUP BY topic), range(1, 8) t(n)""",
+)
+oracle(
+    "given_hybrid_intent",
+    "texts",
+    f"""SELECT *, CASE WHEN intent <> '{fx.INTENT_DEFAULT}' THEN intent ELSE predicted_intent END AS hybrid_intent
+    FROM (SELECT id, {_label('question', fx.INTENTS[:2], fx.INTENT_DEFAULT)} AS intent,
+    {_label('question', fx.INTENTS[2:], fx.INTENT_DEFAULT)} AS predicted_intent FROM texts)""",
+)
+oracle(
+    "recent_volumes",
+    "topic_daily",
+    """SELECT topic, max(date) AS last_date, string_agg(CAST(volume AS VARCHAR), ',' ORDER BY date DESC) AS volumes
+    FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY date DESC) AS n FROM topic_daily) WHERE n <= 7 GROUP BY topic""",
+)
+oracle(
+    "normalized_texts",
+    "texts",
+    r"SELECT id, md5(regexp_replace(lower(coalesce(question, '')), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', '', 'g')) AS digest FROM texts",
+)
+ORACLES["cleaned_suppliers"] = "SELECT s_suppkey AS supplier_id, s_name, s_nationkey, 'supplier' AS tables FROM supplier"
+
 # All pairs of topics from long counts, zeros filled in.
 ORACLES["word_topic_similarity"] = """WITH c AS (SELECT l_suppkey AS client_id, p_brand || ' ' || p_type AS topic, count(*)::DOUBLE AS n
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),

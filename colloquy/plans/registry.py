@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import label_by_rules, with_sender, with_topic
+from ..functions.text import normalized
 from ..operators import (
     cleaning,
     clustering,
@@ -565,6 +566,59 @@ def feature_importance(spark, folder):
     return _satisfaction_model(spark, folder)[0].importances
 
 
+# The parts of the models that follow from given assignments, which SQL can check
+
+
+@query
+def given_segment_profiles(spark, folder):
+    users = _behavior(spark, folder).withColumn("segment", (F.col("client_id") % 4).cast("int"))
+    return rounded(clustering.Segments(users, {}).profiles(), *clustering.SEGMENT_FEATURES, digits=4)
+
+
+@query
+def given_cluster_terms(spark, folder):
+    texts = adapters.document_texts(spark, folder)
+    fitted = tfidf.fit_tfidf(texts, max_features=1000, stop_words=fx.STOP_WORDS)
+    assigned = fitted.vectors(texts).withColumn("topic_cluster", (F.col("id") % 3).cast("int"))
+    return rounded(clustering.TopicClusters(assigned, fitted.vocabulary, None).top_terms(), "weight")
+
+
+@query
+def given_forecast_union(spark, folder):
+    daily = forecast.daily_volume(topics(spark, folder), by=("topic",))
+    future = forecast.forecast_dates(daily, by=("topic",)).withColumn("predicted_volume", F.dayofmonth("date").cast("bigint"))
+    return forecast.history_and_forecast(forecast.forecast_features(daily, by=("topic",)), future, by=("topic",))
+
+
+@query
+def given_hybrid_intent(spark, folder):
+    texts = adapters.document_texts(spark, folder)
+    labels = {"intent": fx.INTENTS[:2], "predicted_intent": fx.INTENTS[2:]}
+    predicted = texts.withColumns({name: label_by_rules("question", rules, fx.INTENT_DEFAULT) for name, rules in labels.items()})
+    return intent.with_hybrid(predicted, fx.INTENT_DEFAULT).drop("question")
+
+
+@query
+def recent_volumes(spark, folder):
+    """The last seven volumes of each topic, newest first, as the forecast starts from them."""
+    recent = forecast._recent(forecast.daily_volume(topics(spark, folder), by=("topic",)), ("topic",))
+    listed = F.array_join(F.transform("_recent", lambda v: v.cast("bigint").cast("string")), ",")
+    return recent.select("topic", F.col("_last").alias("last_date"), listed.alias("volumes"))
+
+
+@query
+def normalized_texts(spark, folder):
+    return adapters.document_texts(spark, folder).select("id", F.md5(normalized(F.col("question"))).alias("digest"))
+
+
+@query
+def cleaned_suppliers(spark, folder):
+    """All columns that cleaning leaves, with an empty table beside that is left out."""
+    tables = {"supplier": read_source(spark, "supplier", folder=folder), "part": read_source(spark, "part", folder=folder).filter("p_partkey < 0")}
+    cleaned = cleaning.drop_empty_tables(cleaning.clean_tables(tables, {name: fx.CLEANING[name] for name in tables}))
+    return cleaned["supplier"].withColumn("tables", F.lit(",".join(sorted(cleaned))))
+
+
 # Reports that grow
 
 
