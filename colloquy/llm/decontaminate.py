@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import fields
+from .store import fields, lean
 from .words import LOWER_ALPHANUMERIC, hashed_texts, text_bytes, word_hashes
 
 # Items are cut into blocks of about this many words, an automaton each (about
@@ -226,7 +226,7 @@ def _passes(docs, items, item_id, item_text, text, width, block_words, blocks_at
     for n, group in enumerate(groups):
         last = n == len(groups) - 1
         schema = final_schema if last else fields(docs, (carry, "binary")) if n == 0 else docs.schema
-        docs = docs.mapInArrow(scan(group, n == 0, last), schema)
+        docs = docs.mapInArrow(lean(scan(group, n == 0, last)), schema)
     return docs
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import SPACE, VOCABULARY, shared_pieces, trie_of
-from .store import fields, written
+from .store import fields, lean, written
 
 UNDETERMINED = "und"
 UNKNOWN_CHARACTER = 1e-8
@@ -327,7 +327,7 @@ def fit(
             )
 
     counted = (
-        sample.mapInArrow(count_words, "lang string, word string, n bigint")
+        sample.mapInArrow(lean(count_words), "lang string, word string, n bigint")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
     )
@@ -360,7 +360,7 @@ def fit(
     for _ in range(rounds):
         current = context.broadcast(probabilities)
         sums = (
-            counted.mapInArrow(expectations(current), "piece bigint, language bigint, expected double")
+            counted.mapInArrow(lean(expectations(current)), "piece bigint, language bigint, expected double")
             .groupBy("piece", "language")
             .agg(F.sum("expected").alias("expected"))
         )
@@ -415,7 +415,7 @@ def floors(
             ["lang", "n", "rate", "count"],
         )
 
-    found = sample.mapInArrow(run, "lang string, n bigint, rate bigint, count bigint").groupBy("lang", "n", "rate").agg(F.sum("count").alias("count"))
+    found = sample.mapInArrow(lean(run), "lang string, n bigint, rate bigint, count bigint").groupBy("lang", "n", "rate").agg(F.sum("count").alias("count"))
     rates: dict = {}
     for row in found.collect():
         rates.setdefault((row.lang, row.n), []).append((row.rate, row["count"]))
@@ -476,4 +476,4 @@ def predict(
                 [*batch.schema.names, lang_pred, score, *added],
             )
 
-    return docs.mapInArrow(run, fields(docs, (lang_pred, "string"), (score, "double"), *((c, "boolean") for c in added)))
+    return docs.mapInArrow(lean(run), fields(docs, (lang_pred, "string"), (score, "double"), *((c, "boolean") for c in added)))

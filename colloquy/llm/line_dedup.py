@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_broadcast, fields, unused, written
+from .store import bounded_broadcast, fields, lean, unused, written
 from .words import mix
 
 MIN_CHARS = 30
@@ -144,7 +144,7 @@ def _keyed(lines: DataFrame, edits: int, min_chars: int, *, shaped: bool = False
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     long = lines.where(F.length("line") >= min_chars).select("hash", "line")
-    return long.mapInArrow(run, "hash bigint, key bigint, indexed boolean" + ", shape bigint" * shaped)
+    return long.mapInArrow(lean(run), "hash bigint, key bigint, indexed boolean" + ", shape bigint" * shaped)
 
 
 def near(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -288,7 +288,7 @@ def near_lines(docs: DataFrame, first: DataFrame, place: list[str], lines: DataF
                 left, right = part.column(1).to_pylist(), part.column(2).to_pylist()
                 yield part.select([0]).filter(pa.array(near(left, right, edits), pa.bool_()))
 
-    return both.mapInArrow(verify, both.select("later").schema).select("later.*").distinct()
+    return both.mapInArrow(lean(verify), both.select("later").schema).select("later.*").distinct()
 
 
 def dedup_lines(
@@ -352,4 +352,4 @@ def dedup_lines(
             more = [pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())] if added else []
             yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names[:-1], *added])
 
-    return joined.mapInArrow(rebuild, fields(docs, *((c, "bigint") for c in added)))
+    return joined.mapInArrow(lean(rebuild), fields(docs, *((c, "bigint") for c in added)))

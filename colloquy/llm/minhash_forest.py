@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .components import components
-from .store import bounded_broadcast, written
+from .store import bounded_broadcast, lean, written
 from .words import LOWER_SPLIT_AT_SPACE, hashed_texts, keys, mix, text_bytes, windows
 
 _SEED = 17
@@ -101,7 +101,7 @@ def document_classes(docs: DataFrame, doc_id: str, text: str, words: int, trees:
             )
 
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("words"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _neighbours(depth: int, floor: int, reach: int, percent: int, least_bits: int):
@@ -214,7 +214,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, floor: int, reach: in
             [r | {"a": r["cls"], "border": True, "part": part, "place": i} for i, r in ends], schema
         )
 
-    made = written(ordered.mapInArrow(run, _EDGE), "forest")
+    made = written(ordered.mapInArrow(lean(run), _EDGE), "forest")
 
     def stitch(batches):
         """Compares the rows at the ends of neighbouring partitions, 2 * reach of each."""
@@ -252,7 +252,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["a", "b", "linked"])
 
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(run, "a binary, b binary, linked boolean")
+    return both.mapInArrow(lean(run), "a binary, b binary, linked boolean")
 
 
 def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percent) -> DataFrame:
@@ -281,7 +281,7 @@ def links(docs, classes, doc_id, text, words, trees, depth, floor, reach, percen
                 [pa.array([c for c, _ in out], pa.binary()), pa.array([m for _, m in out], pa.binary())], ["cls", "members"]
             )
 
-    sets = kept.select("words").mapInArrow(set_rows, "cls binary, members binary")
+    sets = kept.select("words").mapInArrow(lean(set_rows), "cls binary, members binary")
     # Rows that share an id or a key may bring other sets along, or one set twice.
     sets = sets.join(ends, "cls", "left_semi").dropDuplicates(["cls"])
     sets = written(sets, "sets")
@@ -349,7 +349,7 @@ def _rest_of_crowds(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percen
                     [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"]
                 )
 
-    found = rest.join(all_, ["crowd", "block"]).select("left", "right").mapInArrow(compare, "a binary, b binary")
+    found = rest.join(all_, ["crowd", "block"]).select("left", "right").mapInArrow(lean(compare), "a binary, b binary")
     return written(found.distinct(), "links-of-crowds")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .pieces import SPACE, VOCABULARY, Pieces, shared_pieces, trie_of
-from .store import batches_of, written
+from .store import batches_of, lean, written
 
 CHUNK = 16_384  # characters
 # Matrices combined in one task; a text of two gigabytes, Spark's limit, has
@@ -424,29 +424,39 @@ def encode(
     chunk: int = CHUNK,
     group: int = GROUP,
     vocabulary: str = VOCABULARY,
+    round_trip: str | None = None,
 ) -> DataFrame:
-    """The kept columns and the ids of the text's pieces."""
+    """The kept columns and the ids of the text's pieces; with ``round_trip`` also a column of that
+    name: whether the ids decode to the text again (so do those of a null text)."""
     pieces, shared = shared_pieces(docs.sparkSession.sparkContext, vocabulary)
     if chunk < pieces.longest:
         raise ValueError(f"a chunk needs {pieces.longest} characters at least")
     # Inside, the kept columns have names of their own, so theirs may be any.
-    outside, keep = [*keep, ids], [f"kept{k}" for k in range(len(keep))]
+    outside = [*keep, ids, *([round_trip] if round_trip else [])]
+    keep = [f"kept{k}" for k in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(k) for c, k in zip(outside, keep)), F.col(text).alias("_text"))
     kept = [rows.schema[c] for c in keep]
     long = F.length("_text") >= chunk
-    final = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    checked = [T.StructField("_same", T.BooleanType())] if round_trip else []
+    final = T.StructType([*kept, T.StructField("_ids", T.ArrayType(T.IntegerType())), *checked])
 
     def encode_short(batches):
         import pyarrow as pa
 
-        encoder = Encoder(shared.value)
+        encoder, spelled = Encoder(shared.value), spellings(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [None if t is None else encoder.encode(t) for t in part.column(len(keep)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _ids_array(found)], final.names)
+                texts = part.column(n_kept).to_pylist()
+                found = [None if t is None else encoder.encode(t) for t in texts]
+                columns = [*part.columns[:n_kept], _ids_array(found)]
+                if checked:
+                    same = [t is None or spelled_out(spelled, array("i", x)) == t for t, x in zip(texts, found)]
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, final.names)
 
-    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(encode_short, final)
+    n_kept = len(keep)
+    short = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(lean(encode_short), final)
 
     piece_fields = "_row string, _place int, _parts int, _before string, _chunk string, _after string"
     split_schema = T.StructType([*T._parse_datatype_string(piece_fields).fields, *kept])
@@ -472,7 +482,14 @@ def encode(
                     same = [c.take(pa.array([k] * len(at))) for c in batch.columns[: len(keep)]]
                     yield pa.RecordBatch.from_arrays([*columns, *same], split_schema.names)
 
-    chunks = written(rows.where(long).mapInArrow(split, split_schema), "chunks")
+    # The text's hash goes with its chunks, for the check at the end.
+    split_rows = rows.where(long)
+    if round_trip:
+        keep.append("_hash")
+        kept.append(T.StructField("_hash", T.LongType()))
+        split_rows = split_rows.select(*keep[:-1], F.xxhash64("_text").alias("_hash"), "_text")
+    split_schema = T.StructType([*T._parse_datatype_string(piece_fields).fields, *kept])
+    chunks = written(split_rows.mapInArrow(lean(split), split_schema), "chunks")
 
     def matrices(batches):
         import pyarrow as pa
@@ -486,7 +503,7 @@ def encode(
             )
 
     of_chunks = chunks.select("_row", "_place", "_parts", "_before", "_chunk", "_after").mapInArrow(
-        matrices, "_row string, _place int, matrix binary"
+        lean(matrices), "_row string, _place int, matrix binary"
     )
     of_chunks = written(of_chunks.withColumn("_group", (F.col("_place") / group).cast("int")), "matrices")
 
@@ -541,23 +558,39 @@ def encode(
     parts = (
         chunks.join(states, ["_row", "_place"])
         .select("_row", "_place", "_chunk", "_after", "ends", *keep)
-        .mapInArrow(trace, parts_schema)
+        .mapInArrow(lean(trace), parts_schema)
     )
     ordered = F.array_sort(F.collect_list(F.struct("_place", "_ids")))
     whole = parts.groupBy("_row").agg(
         *(F.first(c).alias(c) for c in keep), F.flatten(F.transform(ordered, lambda p: p["_ids"])).alias(ids)
     )
-    return short.unionByName(whole.select(*keep, ids)).toDF(*outside)
+    whole = whole.withColumnRenamed(ids, "_ids") if ids != "_ids" else whole
+    if round_trip:
+        spelled_again = decode(whole.withColumn("_copy", F.col("_ids")), ids="_copy", text="_decoded", vocabulary=vocabulary)
+        whole = spelled_again.withColumn("_same", F.xxhash64("_decoded") == F.col("_hash")).drop("_decoded", "_hash")
+    return short.unionByName(whole.select(*final.names)).toDF(*outside)
 
 
-def decode(frame: DataFrame, *, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The frame with the text of its ids in place of these."""
-    pieces, _ = shared_pieces(frame.sparkSession.sparkContext, vocabulary)
+def spellings(pieces: Pieces) -> list[bytes]:
+    """What each id stands for, in bytes."""
     spelled = [b""] * pieces.size
     for piece, number in pieces.ids.items():
         spelled[number] = piece.encode()
     for byte, number in pieces.bytes.items():
         spelled[number] = bytes([byte])
+    return spelled
+
+
+def spelled_out(spelled: list[bytes], ids: Iterable[int]) -> str:
+    """The text of ids that are all in the vocabulary."""
+    line = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    return line[1:] if line.startswith(" ") else line
+
+
+def decode(frame: DataFrame, *, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The frame with the text of its ids in place of these."""
+    pieces, _ = shared_pieces(frame.sparkSession.sparkContext, vocabulary)
+    spelled = spellings(pieces)
     rest = [c for c in frame.columns if c != ids]
     rows = frame.select(*rest, ids)
     schema = T.StructType([*(rows.schema[c] for c in rest), T.StructField(text, T.StringType())])
@@ -574,9 +607,7 @@ def decode(frame: DataFrame, *, ids: str = "ids", text: str = "decoded", vocabul
             starts, valid = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
             out = []
             for k, ok in enumerate(valid):
-                found = b"".join([spelled[i] for i in numbers[starts[k] : starts[k + 1]].tolist()])
-                line = found.decode("utf-8", "replace").replace(SPACE, " ")
-                out.append((line[1:] if line.startswith(" ") else line) if ok else None)
+                out.append(spelled_out(spelled, numbers[starts[k] : starts[k + 1]].tolist()) if ok else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -74,17 +74,8 @@ def op9_language_id(spark, sf_dir):
 @query
 def op7_sentencepiece(spark, sf_dir):
     """Documents as SentencePiece ids, and whether these decode to the text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    encoded = piece_encoding.encode(docs, keep=("doc_id", "text_hash"))
-    counted = encoded.select(
-        "doc_id", "text_hash", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "ids"
-    )
-    return piece_encoding.decode(counted).select(
-        "doc_id",
-        F.when(F.col("decoded").isNotNull(), F.col("n_ids")).alias("n_ids"),
-        "ids_hash",
-        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
-    )
+    encoded = piece_encoding.encode(table(spark, sf_dir, "documents"), round_trip="round_trip")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 @query

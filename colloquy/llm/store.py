@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,7 @@ from ..session import written
 # A table of narrow rows is broadcast only when it is counted to hold no more
 # rows than this; beyond, the join is left to Spark, which shuffles both sides.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded_broadcast(table: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,8 +28,36 @@ def bounded_broadcast(table: DataFrame, rows: int | None = None, limit: int = BR
     return F.broadcast(table) if rows <= limit else table
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it lives on and serves other stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow after which the worker holds no more memory than before the task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a Spark context."""
+    """Send this package to the executors' Python workers, once a Spark context.
+
+    Rows of texts are large, so they go to the workers in smaller batches than Spark's default;
+    another number that the session sets stays.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     context = spark.sparkContext
     if getattr(context, "_colloquy_shipped", False):
         return
@@ -69,4 +101,4 @@ def batches_of(rows: Iterable, size: int):
         yield batch
 
 
-__all__ = ["BROADCAST_ROWS", "batches_of", "bounded_broadcast", "fields", "ship_package", "table", "unused", "written"]
+__all__ = ["BROADCAST_ROWS", "batches_of", "bounded_broadcast", "fields", "give_back", "lean", "ship_package", "table", "unused", "written"]
