@@ -28,6 +28,8 @@ def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
     for c in frame.columns:
         if str(frame[c].dtype).startswith("datetime"):
             frame = frame.assign(**{c: frame[c].astype("datetime64[us]")})
+        elif str(frame[c].dtype) in ("Int64", "Int32"):  # numbers with NULL are floats in a plain frame
+            frame = frame.assign(**{c: frame[c].astype("float64")})
         elif frame[c].map(lambda v: type(v).__name__ == "date").any():
             frame = frame.assign(**{c: pd.to_datetime(frame[c]).astype("datetime64[us]")})
     return frame.sort_values(list(frame.columns), ignore_index=True)
