@@ -535,6 +535,8 @@ def encode(
     states = in_groups(
         of_chunks.join(ends, ["_row", "_group"]), ["_row", "_group"], "_place", within, "_row string, _place int, ends binary"
     )
+    # Written, so that no task runs two Python functions at a time, each with a worker of its own.
+    states = written(states, "chunk-states")
     parts_schema = T.StructType(
         [
             T.StructField("_row", T.StringType()),
