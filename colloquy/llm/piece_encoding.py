@@ -77,6 +77,7 @@ class Encoder:
         self.plain: dict[str, bytes] = {}
         self.pairs: dict[tuple, bool] = {}
         self.held = 0  # bytes of the words, about
+        self.table = None
 
     # An edge is (end, piece); an unknown character is the piece -1 - its code point.
 
@@ -265,6 +266,82 @@ class Encoder:
                     self._keep(known, word, ids)
             return b"".join(map(own.__getitem__, words))
 
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes | None]:
+        """The ids of whole texts; what is new in them all is cut at once."""
+        split = [t.split(" ") if self._is_plain(t) else None for t in texts]
+        known = self.plain
+        own = {w: known.get(w) for words in split if words for w in words}
+        new = [w for w, ids in own.items() if ids is None]
+        for word, ids in zip(new, self.new_words([SPACE + w for w in new])):
+            own[word] = self._keep(known, word, ids)
+        return [
+            None if text is None else b"".join(map(own.__getitem__, words)) if words else self.encode(text)
+            for text, words in zip(texts, split)
+        ]
+
+    @staticmethod
+    def _is_plain(text: str | None) -> bool:
+        """Whether single blanks part the text's words."""
+        return bool(text) and not (SPACE in text or "  " in text or text[0] == " " or text[-1] == " ")
+
+    def new_words(self, words: list[str]) -> list[bytes]:
+        """The ids of many words: BPE merges a pair of each word a step, all words together."""
+        out: list = [None] * len(words)
+        if self.unigram:
+            return [self.new_word(w) for w in words]
+        keys, unions, scores, letter = self._pairs_table()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        ids = letter[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        odd = sizes > SHORT
+        odd[owner[ids < 0]] = True
+        for k in np.flatnonzero(odd | (sizes == 0)).tolist():
+            out[k] = self.new_word(words[k])
+        ids, owner = ids[~odd[owner]], owner[~odd[owner]]
+        while len(ids):
+            # The union of each id with the one after it in its word, if there is one.
+            pair = ids[:-1] * self.pieces.size + ids[1:]
+            at = np.searchsorted(keys, pair)
+            at[at == len(keys)] = 0
+            found = (keys[at] == pair) & (owner[:-1] == owner[1:])
+            score = np.append(np.where(found, scores[at], -np.inf), -np.inf)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            sizes = np.diff(first, append=len(owner))
+            best = np.maximum.reduceat(score, first)
+            done = best == -np.inf
+            if done.any():
+                flat = ids.astype(np.int32).tobytes()
+                for k, a, n in zip(owner[first[done]].tolist(), first[done].tolist(), sizes[done].tolist()):
+                    out[k] = flat[4 * a : 4 * (a + n)]
+            top = np.flatnonzero((score == np.repeat(best, sizes)) & (score > -np.inf))
+            top = top[np.diff(owner[top], prepend=-1) != 0]  # the first of each word
+            ids[top] = unions[at[top]]
+            stay = np.repeat(~done, sizes)
+            stay[top + 1] = False
+            ids, owner = ids[stay], owner[stay]
+        return out
+
+    def _pairs_table(self):
+        """Sorted keys of the pairs of pieces whose union is a piece, these unions and their scores; single letters."""
+        if self.table is None:
+            ids, size = self.pieces.ids, self.pieces.size
+            rows = sorted(
+                (ids[piece[:i]] * size + ids[piece[i:]], number)
+                for piece, number in ids.items()
+                for i in range(1, len(piece))
+                if piece[:i] in ids and piece[i:] in ids
+            )
+            keys, unions = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.full(1, -1), np.zeros(1, np.int64))
+            # Letters that are in no larger piece but beside others that are no pieces go the other way.
+            odd = {c for piece in ids for c in piece if c not in ids}
+            odd |= {c for piece in ids if odd.intersection(piece) for c in piece}
+            letter = np.full(0x110000, -1, np.int64)  # by code point
+            for c, number in ids.items():
+                if len(c) == 1 and c not in odd:
+                    letter[ord(c)] = number
+            self.table = keys, unions, np.array(self.pieces.scores)[unions], letter
+        return self.table
+
     # Chunks: ``before`` and ``after`` are the neighbours' characters that pieces may reach.
 
     def entries(self, before: str, chunk: str, after: str) -> list[State]:
@@ -448,7 +525,7 @@ def encode(
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(n_kept).to_pylist()
-                found = [None if t is None else encoder.encode(t) for t in texts]
+                found = encoder.encode_all(texts)
                 columns = [*part.columns[:n_kept], _ids_array(found)]
                 if checked:
                     same = [t is None or spelled_out(spelled, array("i", x)) == t for t, x in zip(texts, found)]

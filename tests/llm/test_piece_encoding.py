@@ -105,3 +105,16 @@ def test_decode_odd_ids(spark, model):
 
 def test_empty_table(documents):
     assert P.encode(documents([])).count() == 0
+
+
+def test_many_words_at_once_are_cut_as_one_by_one():
+    pieces, r = load(VOCABULARY), random.Random(9)
+    encoder = P.Encoder(pieces)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéßñüЖ李0123.,-'\t\n") for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    words += [w + r.choice(["ing", "tion", "ed", "s", "heit"]) for w in ("walk", "read", "na", "Frei", "THE", "the", "x" * 80, "")] + ["a" * 50]
+    marked = [P.SPACE + w for w in words]
+    assert encoder.new_words(marked) == [encoder.new_word(w) for w in marked]
+    texts = [" ".join(r.choice(words) or "e" for _ in range(r.randrange(1, 30))) for _ in range(300)] + [None, "", " a", "a  b", "a\u2581b"]
+    fresh = P.Encoder(pieces)
+    assert encoder.encode_all(texts) == [None if t is None else fresh.encode(t) for t in texts]
+    assert encoder.new_words([]) == []
