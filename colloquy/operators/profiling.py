@@ -104,7 +104,7 @@ def _distinct_counts(table: DataFrame) -> DataFrame:
 def top_values(
     table: DataFrame, name: str, columns: Sequence[str] | None = None, *, n: int = 5, tracked: int = TRACKED
 ) -> DataFrame:
-    """The n most frequent non-null values of each column, ties by value; no job per column.
+    """The n most frequent non-null values of each column in turn, ties by value; no job per column.
 
     One pass keeps a sketch of frequent items of each column, by the values' hashes. Where it
     proves that the n most frequent values are among its items, a second pass counts these
@@ -136,7 +136,8 @@ def top_values(
     counted = present.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
     order = Window.partitionBy("column_name").orderBy(F.desc("frequency"), "value")
     first = counted.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= n)
-    return first.select(F.lit(name).alias("table_name"), "column_name", "value", "frequency")
+    place = F.array_position(F.array(*[F.lit(c) for c in columns or [f.name for f in fields]]), F.col("column_name"))
+    return first.orderBy(place, "_at").select(F.lit(name).alias("table_name"), "column_name", "value", "frequency")
 
 
 def _surely_frequent(items: list, rows: int, n: int, kept: int, tracked: int) -> list[int] | None:
