@@ -613,7 +613,8 @@ def encode(
         of_chunks.join(ends, ["_row", "_group"]), ["_row", "_group"], "_place", within, "_row string, _place int, ends binary"
     )
     # Written, so that no task runs two Python functions at a time, each with a worker of its own.
-    states = written(states, "chunk-states")
+    # Joined alike at every size, as what it costs at a small one is carried on to a large one.
+    states = written(states, "chunk-states").hint("merge")
     parts_schema = T.StructType(
         [
             T.StructField("_row", T.StringType()),
