@@ -7,24 +7,34 @@ keyword one gram of up to GRAM characters stands for it, the one that the fewest
 keywords have; the words are joined to the index on their grams, and what meets is
 compared in full. The texts then meet the words that hold keywords by equality.
 
-A keyword with blanks stands under its longest part; the texts that have a word with that
-part are candidates, and are compared in full.
+A keyword with one run of blanks lies inside one joint of a text, a run of blanks and the words
+on both sides, or not in it at all. The joints meet a broadcast index of the keywords by the last and first
+characters beside the blanks, where the texts are read, and are compared in full. Of a keyword with
+more runs the longest joint is sought; texts that hold it are compared.
 
 Nothing is brought to the driver but the lengths of the grams, and tables are broadcast only
-where they are counted to be small. What grows faster than texts and keywords is
+where they are counted to be small, or in slices of a counted size. Of texts and words nothing is shuffled but
+the words' counts and the occurrences of rare ones. What grows faster than texts and keywords is
 the number of pairs of a word and a keyword that share the keyword's gram.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ranks
 from ..functions.rules import Rules
-from ..functions.skew import broadcast_if_small
+from ..functions.skew import BROADCAST_ROWS, broadcast_if_small, small_enough
 from ..session import written
 
 GRAM = 3
+# Characters on each side of the blanks by which joints meet keywords.
+ENDS = 2
+# Keywords with blanks that are broadcast at once.
+SLICE = 500_000
 BLANKS = r"\s+"
 MAX_BLANK = 100
 
@@ -45,27 +55,74 @@ def _grams(word: str, n: int) -> Column:
 
 
 def _anchored(keywords: DataFrame) -> DataFrame:
-    """Keywords with their longest part, whether that is all of them, and a gram of it."""
-    parts = F.array_sort(_words(F.col("keyword")), lambda a, b: F.length(b) - F.length(a))
-    anchored = keywords.withColumn("part", F.get(parts, 0)).filter("part IS NOT NULL")
-    anchored = anchored.withColumn("whole", F.col("part") == F.col("keyword"))
-    distinct = anchored.select("part").distinct()
-    length = F.least(F.length("part"), F.lit(GRAM))
-    choices = F.when(length == 1, _grams("part", 1)).when(length == 2, _grams("part", 2)).otherwise(_grams("part", GRAM))
-    grams = distinct.select("part", F.explode(F.array_distinct(choices)).alias("gram"))
+    """Keywords without a blank, with a gram."""
+    anchored = keywords.filter(~F.col("keyword").rlike(BLANKS) & (F.length("keyword") > 0))
+    distinct = anchored.select("keyword").distinct()
+    length = F.least(F.length("keyword"), F.lit(GRAM))
+    choices = F.when(length == 1, _grams("keyword", 1)).when(length == 2, _grams("keyword", 2)).otherwise(_grams("keyword", GRAM))
+    grams = distinct.select("keyword", F.explode(F.array_distinct(choices)).alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    chosen = grams.join(rarity, "gram").groupBy("part").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return anchored.join(chosen, "part")
+    chosen = grams.join(rarity, "gram").groupBy("keyword").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return anchored.join(chosen, "keyword")
 
 
 def _in_words(vocabulary: DataFrame, index: DataFrame) -> DataFrame:
-    """The words of the vocabulary with each row of the index whose part they hold."""
+    """The words of the vocabulary with each row of the index whose keyword they hold."""
     lengths = sorted(row.n for row in index.select(F.length("gram").alias("n")).distinct().collect())
     if not lengths:
         return vocabulary.join(index, F.lit(False))
     grams = F.array_distinct(F.concat(*[_grams("word", n) for n in lengths]))
     pairs = vocabulary.withColumn("gram", F.explode(grams)).join(broadcast_if_small(index), "gram")
-    return pairs.filter(F.contains("word", "part"))
+    return pairs.filter(F.contains("word", "keyword"))
+
+
+def _joints(text: Column) -> Column:
+    """Every run of blanks of a text, in order, with the words before and after, empty at the ends."""
+    words, runs = F.split(text, BLANKS), F.regexp_extract_all(text, F.lit(f"({BLANKS})"), F.lit(1))
+    both = F.array(F.struct(words.alias("words"), runs.alias("runs")))
+    listed = F.transform(
+        both,
+        lambda b: F.transform(
+            b["runs"], lambda run, i: F.struct(F.get(b["words"], i).alias("before"), run.alias("run"), F.get(b["words"], i + 1).alias("after"))
+        ),
+    )
+    return F.get(listed, 0)
+
+
+def _ends(i: Column | int, j: Column | int) -> Column:
+    """The last i characters before the blanks and the first j after them."""
+    tail, head = (F.right("before", F.lit(i) if isinstance(i, int) else i), F.left("after", F.lit(j) if isinstance(j, int) else j))
+    return F.concat(tail, F.lit(" "), head)
+
+
+def _joined(keywords: DataFrame) -> DataFrame:
+    """Keywords with blanks: their longest joint, whether that is all of them, and its ends."""
+    size = lambda j: F.length(j["before"]) + F.length(j["run"]) + F.length(j["after"])
+    spaced = keywords.filter(F.col("keyword").rlike(BLANKS) & F.col("keyword").rlike(r"\S")).withColumn("_all", _joints(F.col("keyword")))
+    longest = F.get(F.array_sort("_all", lambda a, b: size(b) - size(a)), 0)
+    joined = spaced.withColumn("whole", F.size("_all") == 1).withColumn("_longest", longest).drop("_all").select("*", "_longest.*").drop("_longest")
+    i, j = (F.least(F.length(c), F.lit(ENDS)) for c in ("before", "after"))
+    joined = joined.withColumn("key", _ends(i, j)).withColumns({"shape": i * 10 + j, "part": F.concat("before", "run", "after")})
+    return joined.withColumnsRenamed({"before": "head", "after": "tail"}).drop("run")
+
+
+def _at_joints(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """The texts' joints (place, before, run, after) with each row of the index whose part they hold.
+
+    The index is broadcast, in slices of a counted size: the joints, as many as words, are not shuffled.
+    """
+    shapes = sorted(row["shape"] for row in index.select("shape").distinct().collect())
+    said = texts.withColumn("joints", _joints(F.col("text"))).select(*[c for c in texts.columns if c != "text"], F.posexplode("joints").alias("place", "joint"))
+    said = said.select("*", "joint.*").drop("joint")
+    if not shapes:
+        return said.join(index.drop("shape"), F.lit(False))
+    # Words too short for a shape have no key of it, so that no keyword is met twice at a joint.
+    fits = [(F.length("before") >= s // 10) & (F.length("after") >= s % 10) for s in shapes]
+    said = said.withColumn("key", F.explode(F.array(*[F.when(fit, _ends(s // 10, s % 10)) for fit, s in zip(fits, shapes)])))
+    slices = max(1, -(-index.count() // SLICE))
+    parts = [index.drop("shape").filter(F.pmod(F.xxhash64("keyword"), F.lit(slices)) == k) for k in range(slices)]
+    met = reduce(DataFrame.unionByName, [said.join(F.broadcast(part), "key") for part in parts])
+    return met.filter(F.contains(F.concat("before", "run", "after"), F.col("part")))
 
 
 def _blank(keywords: DataFrame) -> list:
@@ -91,21 +148,25 @@ def label_by_table(
     names = ("_id", *keys)
     texts = keyed.select(F.col(row_id).alias("_id"), *keys, F.lower(column).alias("text")).filter("text IS NOT NULL")
     rule = F.struct(F.col("priority"), F.col("label"))
-    listed = rules.filter("keyword IS NOT NULL").groupBy("keyword").agg(F.min(rule).alias("rule"))
-    index = written(_anchored(listed), "keyword-index")
-    vocabulary = texts.select(F.explode(_words(F.col("text"))).alias("word")).distinct()
-    met = written(_in_words(vocabulary, index).select("word", "keyword", "rule", "whole"), "words-with-keywords")
-    said = texts.select(*names, F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    # Keywords that are inside a word: the best rule of each word is enough.
-    best = met.filter("whole").groupBy("word").agg(F.min("rule").alias("rule"))
-    found = said.join(broadcast_if_small(best), "word").groupBy(*names).agg(F.min("rule").alias("rule"))
-    # Keywords with blanks: texts with a word that holds the longest part are compared.
-    phrases = met.filter("not whole").select("word", "keyword", "rule")
-    if not phrases.isEmpty():
-        candidates = said.join(broadcast_if_small(phrases), "word").groupBy(*names, "keyword").agg(F.min("rule").alias("rule"))
+    listed = written(rules.filter("keyword IS NOT NULL").groupBy("keyword").agg(F.min(rule).alias("rule")), "keywords")
+    # Rules go by their number: the least of each text is kept where it is read.
+    numbered = written(ranks(listed.select("rule").distinct(), "rule", name="number"), "rules")
+    same_rule = F.col("l.rule").eqNullSafe(F.col("r.rule"))
+    by_number = listed.alias("l").join(broadcast_if_small(numbered).alias("r"), same_rule).select("keyword", "number")
+    by_number = written(by_number, "numbered-keywords")
+    found = _least_by_words(texts, names, written(_anchored(by_number), "keyword-index"))
+    joints = written(_joined(by_number), "joint-index")
+    whole, longer = joints.filter("whole"), joints.filter("not whole")
+    if not whole.isEmpty():
+        found = found.unionByName(_at_joints(texts, whole).select(*names, "number"))
+    if not longer.isEmpty():
+        # Keywords with blanks at several places: texts that hold the longest joint are compared.
+        candidates = _at_joints(texts, longer).groupBy(*names, "keyword").agg(F.min("number").alias("number"))
         same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in names]
         compared = texts.alias("t").join(candidates.alias("c"), same).filter(F.contains("text", "keyword"))
-        found = found.unionByName(compared.select(*[f"t.{c}" for c in names], "rule"))
+        found = found.unionByName(compared.select(*[f"t.{c}" for c in names], "number"))
+    found = found.groupBy(*names).agg(F.min("number").alias("number"))
+    found = found.join(broadcast_if_small(numbered), "number").select(*names, "rule")
     blank = _blank(listed)
     if blank:
         rule_type = listed.schema["rule"].dataType
@@ -119,6 +180,32 @@ def label_by_table(
     return labelled.drop("_rule", *keys, *(f"{c}_" for c in names))
 
 
+def _least_by_words(texts: DataFrame, names: tuple, index: DataFrame) -> DataFrame:
+    """The least rule number of each word of a text that holds keywords of the index.
+
+    With too many such words for a broadcast only the most frequent are, and the other words' occurrences, few, are shuffled.
+    """
+    vocabulary = written(vocabulary_counts(texts, "text"), "vocabulary")
+    best = written(_in_words(vocabulary, index).groupBy("word", "n").agg(F.min("number").alias("number")), "words-with-keywords")
+    said = texts.select(*names, F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    if small_enough(best):
+        return said.join(F.broadcast(best), "word").select(*names, "number")
+    size = F.floor(F.log2("n")).cast("int")
+    often = None
+    total = 0
+    for row in sorted(vocabulary.groupBy(size.alias("size")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > BROADCAST_ROWS:
+            break
+        often = row["size"]
+    if often is None:
+        return said.join(best, "word").select(*names, "number")
+    frequent = vocabulary.filter(size >= often)
+    common = said.join(F.broadcast(best.filter(size >= often)), "word").select(*names, "number")
+    rare = said.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(best.filter(size < often), "word")
+    return common.unionByName(rare.select(*names, "number"))
+
+
 def vocabulary_counts(rows: DataFrame, column: str) -> DataFrame:
     """(word, n): how often each word is said in the lower-cased texts."""
     return rows.select(F.explode(_words(F.lower(column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -137,19 +224,36 @@ def scores_by_table(rows: DataFrame, candidates: DataFrame, *, column: str = "qu
     :func:`.recommend.keyword_scores`, occurrences of a keyword do not overlap and lie inside one text.
     """
     listed = candidates.filter("keyword IS NOT NULL").select(F.lower("keyword").alias("keyword")).distinct()
+    listed = written(listed, "keywords")
     index = written(_anchored(listed), "keyword-index")
-    vocabulary = vocabulary_counts(rows, column)
-    met = written(_in_words(vocabulary, index).select("word", "n", "keyword", "whole"), "words-with-keywords")
-    once = met.filter("whole").select("keyword", (occurrences_in(F.col("word"), F.col("keyword")) * F.col("n")).alias("times"))
-    phrases = broadcast_if_small(met.filter("not whole").select("word", "keyword").distinct())
+    met = _in_words(vocabulary_counts(rows, column), index)
+    once = met.select("keyword", (occurrences_in(F.col("word"), F.col("keyword")) * F.col("n")).alias("times"))
     texts = rows.select(F.col(row_id).alias("_id"), F.lower(column).alias("text")).filter("text IS NOT NULL")
     texts = texts.select("_id", F.xxhash64("text").alias("_key"), "text")
-    said = texts.select("_id", "_key", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    pairs = said.join(phrases, "word").select("_id", "_key", "keyword").distinct()
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_id", "_key")]
-    compared = texts.alias("t").join(pairs.alias("c"), same)
-    often = compared.select("keyword", occurrences_in(F.col("text"), F.col("keyword")).alias("times"))
-    times = once.unionByName(often)
+    # A joint holds such a keyword once. Two that follow each other may share characters of the word between
+    # them; only where that word is so short, or more than the joint is to be compared, the place is kept.
+    reaches = (F.length("head") > 0) & (F.length("tail") > 0)
+    before, after = (
+        reaches & F.startswith(F.col(c), F.col("tail")) & F.endswith(F.col(c), F.col("head")) & (F.length(c) < F.length("head") + F.length("tail"))
+        for c in ("before", "after")
+    )
+    at = F.struct("_id", "_key", "place", after.alias("shared"))
+    place = F.when(F.col("whole") & ~before & ~after, F.lit(None)).otherwise(at)
+    hits = _at_joints(texts, written(_joined(listed), "joint-index")).select("keyword", "whole", place.alias("at"))
+    hits = written(hits.groupBy("keyword", "whole", "at").agg(F.count(F.lit(1)).alias("times")), "joint-hits")
+    times = once.unionByName(hits.filter("at IS NULL").select("keyword", "times"))
+    # Of k in a row that share characters every other one counts.
+    order = Window.partitionBy("keyword", "_id", "_key").orderBy("place")
+    rows_of_hits = hits.filter("whole AND at IS NOT NULL").select("keyword", "times", "at.*")
+    linked = (F.lag("place").over(order) == F.col("place") - 1) & F.lag("shared").over(order)
+    chains = rows_of_hits.withColumn("first", F.coalesce(~linked, F.lit(True)).cast("int")).withColumn("chain", F.sum("first").over(order))
+    odd = F.row_number().over(Window.partitionBy("keyword", "_id", "_key", "chain").orderBy("place")) % 2 == 1
+    times = times.unionByName(chains.withColumn("odd", odd).filter("odd").select("keyword", "times"))
+    longer = hits.filter("not whole").select("keyword", "at._id", "at._key").distinct()
+    if not longer.isEmpty():
+        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_id", "_key")]
+        compared = texts.alias("t").join(longer.alias("c"), same)
+        times = times.unionByName(compared.select("keyword", occurrences_in(F.col("text"), F.col("keyword")).alias("times")))
     blank = [b.keyword for b in _blank(listed)]
     if blank:
         cells = [F.struct(F.lit(k).alias("keyword"), occurrences_in(F.col("text"), F.lit(k)).alias("times")) for k in blank]

@@ -106,3 +106,25 @@ def test_scores_by_table_equal_those_of_a_list(spark, said):
     by_table = keywords.scores_by_table(said(texts), table)
     by_list = recommend.keyword_scores(said(texts))
     assert sorted(rows_of(by_table, "ord", "topic", "score")) == sorted(rows_of(by_list, "ord", "topic", "score"))
+
+
+def test_phrases_are_not_compared_with_whole_texts(spark, said):
+    """Texts with the longest part of a phrase were all compared with it: their number times that of the phrases."""
+    rules = spark.createDataFrame([(i, "x", f"the w{i}") for i in range(50)], "priority int, label string, keyword string")
+    got = keywords.label_by_table(said(["the w7 and", "the", "w7 the"]), rules, default="-")
+    assert "contains(text" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(rows_of(got, "id", "topic")) == [(0, "x"), (1, "-"), (2, "-")]
+
+
+def test_labels_with_few_broadcast_words_and_slices(spark, said, monkeypatch):
+    monkeypatch.setattr(keywords, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(keywords, "small_enough", lambda table: False)
+    monkeypatch.setattr(keywords, "SLICE", 5)
+    r = random.Random(7)
+    texts = [some_text(r) for _ in range(150)]
+    rules = [(r.randrange(50), r.choice(["x", "y", "z"]), some_keyword(r)) for _ in range(40)] + [(-1, "w", "a b c"), (-2, "v", " a "), (-3, "u", "b  c d")]
+    rules = [x for x in rules if x[2] is None or len(x[2]) > 2]
+    texts += ["x a b cd", "ba  b  c d", "b  c da", "a b  c", "a "]
+    table = spark.createDataFrame(rules, "priority int, label string, keyword string")
+    got = keywords.label_by_table(said(texts), table, default="none")
+    assert sorted(rows_of(got, "id", "topic")) == [(i, brute_label(t, rules, "none")) for i, t in enumerate(texts)]
