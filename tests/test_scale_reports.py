@@ -168,3 +168,15 @@ def test_loads_add_up_and_repeat_without_change(spark, chats, tmp_path):
     assert table() == whole
     counted = increments.report(spark, folder).groupBy("topic").agg(F.sum("rows").alias("message_count"))
     assert sorted(rows_of(counted)) == sorted(rows_of(messages_per_topic(labelled(rows)), "topic", "message_count"))
+
+
+def test_nearest_clients_meet_across_blocks_without_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(c, f"t{r.randrange(12)}") for c in range(150) for _ in range(r.randrange(1, 15))]
+    frame = spark.createDataFrame(rows, "client_id long, topic string")
+    whole = sorted(rows_of(recommend.nearest_clients(frame, n=4, reach=7)))
+    monkeypatch.setattr(recommend, "BLOCK", 10)
+    got = recommend.nearest_clients(frame, n=4, reach=7)
+    assert sorted(rows_of(got)) == whole and len(whole) > 500
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "xy" not in plan
