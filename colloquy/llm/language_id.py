@@ -18,6 +18,7 @@ text are never inputs of a prediction.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -223,17 +224,34 @@ class Scorer:
     def rates(self, text: str, language: int):
         """(words, log probabilities per character) of the stretches of 1, 2, 4 .. words of a text."""
         for words in text_words(text):
-            if not words:
-                continue
-            self._learn(words)
-            logs = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), language]
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            n = 1
-            while n <= min(len(words), LONGEST):
-                at = np.arange(0, len(words) - n + 1, n)
-                whole = at[-1] + n
-                yield n, np.add.reduceat(logs[:whole], at) / np.add.reduceat(sizes[:whole], at)
-                n *= 2
+            if words:
+                yield from self.rates_of(words, language)
+
+    def rates_of(self, words: list[str], language: int):
+        """As :meth:`rates`, of a list of words."""
+        self._learn(words)
+        logs = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), language]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        n = 1
+        while n <= min(len(words), LONGEST):
+            at = np.arange(0, len(words) - n + 1, n)
+            whole = at[-1] + n
+            yield n, np.add.reduceat(logs[:whole], at) / np.add.reduceat(sizes[:whole], at)
+            n *= 2
+
+    def rates_together(self, parts):
+        """(language, words, rates) of (language, words) parts; the words of many are learned at once."""
+        held, n = [], 0
+        for part in itertools.chain(parts, [None]):
+            if part is not None:
+                held.append(part)
+                n += len(part[1])
+            if part is None or n > 50_000:
+                self._learn([w for _, words in held for w in words])
+                for language, words in held:
+                    for size, rates in self.rates_of(words, language):
+                        yield language, size, rates
+                held, n = [], 0
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
         """Language, its probability, number of words, and log probability per character in it."""
@@ -274,12 +292,12 @@ class Scorer:
         return out
 
 
-def learned(labelled: DataFrame, doc_id: str, text: str, lang: str, docs_each: int) -> tuple[DataFrame, dict[str, int]]:
-    """The sample (lang, words) that is learned from, and the number of texts of each language."""
+def learned(labelled: DataFrame, doc_id: str, text: str, lang: str, docs_each: int | None) -> tuple[DataFrame, dict[str, int]]:
+    """The texts (lang, words) that are learned from, and the number of texts of each language."""
     rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("words"), F.col(lang).alias("lang"))
     rows = rows.where("words is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    if not sizes or docs_each is None:
         return rows.select("lang", "words"), sizes
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, docs_each / n))) for k, n in sizes.items()))
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -292,11 +310,11 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    docs_each: int = 1500,
+    docs_each: int | None = None,
     rounds: int = 2,
     vocabulary: str = VOCABULARY,
 ) -> LanguageModel:
-    """Fit on about ``docs_each`` texts of each language, chosen by the hash of their ids.
+    """Fit on all texts with a language; with ``docs_each`` on about so many of each, chosen by the hash of their ids.
 
     The driver holds the languages and their piece probabilities, never texts.
     """
@@ -383,13 +401,13 @@ def floors(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    docs_each: int = 1500,
+    docs_each: int | None = None,
     vocabulary: str = VOCABULARY,
 ) -> dict[str, list[float]]:
     """The log probability per character below which a text is not in the language.
 
     For stretches of 1, 2, 4 .. words of the learned texts, the quantile ``RARE`` of
-    their rates less ``MARGIN``; the driver holds counts of rounded rates.
+    their rates less ``MARGIN``; ``docs_each`` as for :func:`fit`. The driver holds counts of rounded rates.
     """
     sample, _ = learned(labelled, doc_id, text, lang, docs_each)
     number = {name: k for k, name in enumerate(model.languages)}
@@ -403,12 +421,18 @@ def floors(
         probabilities, prior = learned_model.value
         scorer = Scorer(LanguageModel(list(number), probabilities, prior), trie_of(shared.value))
         counts: dict = {}
-        for batch in batches:
-            for name, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for n, rates in scorer.rates(words.as_py(), number[name]):
-                    for rate, count in zip(*np.unique(np.floor(rates * BINS), return_counts=True)):
-                        key = name, n, int(rate)
-                        counts[key] = counts.get(key, 0) + int(count)
+        names = list(number)
+        parts = (
+            (number[name], words)
+            for batch in batches
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1))
+            for words in text_words(text.as_py())
+            if words
+        )
+        for language, n, rates in scorer.rates_together(parts):
+            for rate, count in zip(*np.unique(np.floor(rates * BINS), return_counts=True)):
+                key = names[language], n, int(rate)
+                counts[key] = counts.get(key, 0) + int(count)
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(counts.values(), pa.int64())],

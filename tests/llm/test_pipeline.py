@@ -100,3 +100,20 @@ def test_without_labels_or_rows(spark):
     assert [r.doc_id for r in C.identify_language(spark, docs, FOLDER).collect()] == [1]
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_language_is_learned_from_all_texts(spark, monkeypatch):
+    """Words of one text among 4,000 of a language count; a sample by ids would leave out some of these texts."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, f"the thing of that and {chr(97 + i % 26) * 3}", "en", "s", 0) for i in range(4000)] + [(9999, "der das und ein", "de", "s", 0)]
+    sizes = []
+    learned = C.language_id.learned
+
+    def counted(*given):
+        found, n = learned(*given)
+        sizes.append(found.count())
+        return found, n
+
+    monkeypatch.setattr(C.language_id, "learned", counted)
+    C.identify_language(spark, spark.createDataFrame(rows, schema), FOLDER).count()
+    assert sizes == [4001, 4001]
