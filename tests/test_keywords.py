@@ -128,3 +128,14 @@ def test_labels_with_few_broadcast_words_and_slices(spark, said, monkeypatch):
     table = spark.createDataFrame(rules, "priority int, label string, keyword string")
     got = keywords.label_by_table(said(texts), table, default="none")
     assert sorted(rows_of(got, "id", "topic")) == [(i, brute_label(t, rules, "none")) for i, t in enumerate(texts)]
+
+
+def test_phrases_that_share_characters_count_once(spark, said):
+    texts = ["a a a a", "ab ab ab", "aba aba xab aba", "a a a a", None, " a a", "mosthe mosthe mosthe mosthe", "a b c a b c"]
+    phrases = ["a a", "ab a", "the mos", "a b c", " a", "c a ", "b  c"]
+    table = spark.createDataFrame([(i, f"t{i}", k) for i, k in enumerate(phrases)], "ord int, topic string, keyword string")
+    got = keywords.scores_by_table(said(texts), table)
+    assert dict(rows_of(got, "ord", "score")) == {i: sum(t.count(k) for t in texts if t) for i, k in enumerate(phrases)}
+    # Phrases with one run of blanks are not compared with the texts that hold their longest part.
+    short = keywords.scores_by_table(said(texts), table.filter("keyword NOT IN ('a b c', 'c a ')"))
+    assert "replace(text" not in short._jdf.queryExecution().optimizedPlan().toString().lower()
