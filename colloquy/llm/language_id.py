@@ -19,6 +19,7 @@ text are never inputs of a prediction.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ UNKNOWN_CHARACTER = 1e-8
 # Words whose scores a Python worker keeps at hand.
 KEPT_WORDS = 200_000
 # Words that are cut and scored together.
-AT_ONCE = 4_000
+AT_ONCE = 8_000
 # A longer text is read in parts that end at white space.
 PART = 1 << 20
 # A text is not in a language if so small a share of its learned stretches is as improbable.
@@ -47,6 +48,9 @@ BINS = 50
 # Words of the longest stretches.
 LONGEST = 4096
 WORD = r"\p{L}[\p{L}\p{M}]*"
+NO_CHARACTER = 0x110000
+# ASCII lower-cased, with a blank for all but letters.
+ASCII_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
 
 
 @dataclass
@@ -56,11 +60,68 @@ class LanguageModel:
     prior: np.ndarray
 
 
+class FlatTrie:
+    """A trie as arrays, in which many walks take a step at once. Nodes are numbers, the root is 0."""
+
+    def __init__(self, trie: dict):
+        keys, numbers, left = [], [-1], [(trie, 0)]
+        while left:
+            below, node = left.pop()
+            for char, (further, number) in below.items():
+                keys.append(node << 21 | ord(char))
+                numbers.append(-1 if number is None else number)
+                left.append((further, len(keys)))
+        self.piece = np.array(numbers, np.int64)
+        # (node, character) -> node by open addressing, a quarter full at most.
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        key, node = np.array(keys, np.int64), np.arange(1, len(keys) + 1)
+        slot = self._slots(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            self.keys[slot[free]], self.nodes[slot[free]] = key[free], node[free]
+            # Of several that take one slot the last stays there.
+            lost = np.flatnonzero(self.keys[slot] != key)
+            key, node, slot = key[lost], node[lost], slot[lost] + 1 & self.mask
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def after(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes after one more character each, 0 where the trie has none."""
+        key = node << 21 | char
+        slot = self._slots(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.nodes[slot], 0)
+        left = np.flatnonzero((there != key) & (there != -1))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.mask
+            there = self.keys[slot]
+            hit = there == key[left]
+            out[left[hit]] = self.nodes[slot[hit]]
+            more = ~hit & (there != -1)
+            left, slot = left[more], slot[more]
+        return out
+
+
+_FLAT: list = []
+
+
+def flat_of(trie: dict) -> FlatTrie:
+    """The trie as arrays. A worker holds the last one, as it does the trie."""
+    if not _FLAT or _FLAT[0] is not trie:
+        _FLAT[:] = [trie, FlatTrie(trie)]
+    return _FLAT[1]
+
+
 class Lattice:
     """All ways to cut words into pieces, for many words at once."""
 
     def __init__(self, trie: dict, unknown: int):
         self.trie, self.unknown = trie, unknown
+        self.flat = flat_of(trie)
 
     def pieces_at(self, text: str, at: int):
         """(end, piece) of all pieces that begin at a place."""
@@ -76,50 +137,41 @@ class Lattice:
         if not single:
             yield at + 1, self.unknown
 
-    def edges(self, words: list[str]):
-        """Arrays (word, begin, end, piece) of all pieces found in the words."""
-        word, begin, end, piece = [], [], [], []
-        root, unknown = self.trie, self.unknown
-        for w, text in enumerate(words):
-            for i in range(len(text)):
-                node, single = root, False
-                for j in range(i, len(text)):
-                    step = node.get(text[j])
-                    if step is None:
-                        break
-                    node, number = step
-                    if number is not None:
-                        word.append(w)
-                        begin.append(i)
-                        end.append(j + 1)
-                        piece.append(number)
-                        single |= j == i
-                if not single:
-                    word.append(w)
-                    begin.append(i)
-                    end.append(i + 1)
-                    piece.append(unknown)
-        return tuple(np.array(x, np.int32) for x in (word, begin, end, piece))
-
-    @staticmethod
-    def steps(edges):
-        """The edges in groups (end, length), by end; within one no two edges meet."""
-        word, begin, end, piece = edges
-        order = np.lexsort((begin, end))
-        word, begin, end, piece = (x[order] for x in edges)
-        cuts = np.flatnonzero((np.diff(end) != 0) | (np.diff(begin) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(end)]):
-            if b > a:
-                yield int(begin[a]), int(end[a]), word[a:b], piece[a:b]
+    def steps(self, words: list[str]):
+        """All pieces found in the words, in groups (begin, end, words, pieces) by begin; within one no two are of one word."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(lengths.max(initial=0))
+        chars = np.full((len(words), longest), NO_CHARACTER, np.int64)
+        chars[np.arange(longest) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        chars = np.ascontiguousarray(chars.T)
+        for begin in range(longest):
+            at = np.flatnonzero(lengths > begin)
+            node, alone = np.zeros(len(at), np.int64), at
+            for end in range(begin + 1, longest + 1):
+                node = self.flat.after(node, chars[end - 1, at])
+                found = np.flatnonzero(node)
+                at, node = at[found], node[found]
+                piece = self.flat.piece[node]
+                whole = np.flatnonzero(piece >= 0)
+                if end == begin + 1:
+                    alone = np.setdiff1d(alone, at[whole], assume_unique=True)
+                    if len(alone):
+                        yield begin, end, alone, np.full(len(alone), self.unknown)
+                if len(whole):
+                    yield begin, end, at[whole], piece[whole]
+                if not len(at):
+                    break
 
     def forward(self, words: list[str], probabilities: np.ndarray):
-        """Scaled forward sums [place, word, language] and the log scale of each word."""
+        """Forward sums [place, word, language], the words' lengths, and the steps."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sums = np.zeros((int(lengths.max(initial=0)) + 1, len(words), probabilities.shape[1]))
         sums[0] = 1.0
-        groups = list(self.steps(self.edges(words)))
-        for begin, end, word, piece in groups:
-            sums[end, word] += sums[begin, word] * probabilities[piece]
+        groups = []
+        for group in self.steps(words):
+            begin, end, word, piece = group
+            sums[end][word] += sums[begin].take(word, axis=0) * probabilities.take(piece, axis=0)
+            groups.append(group)
         return sums, lengths, groups
 
     def log_probabilities(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
@@ -170,89 +222,134 @@ class Lattice:
             after[i] = rest
 
     def _expected_plain(self, words: list[str], counts: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
-        sums, lengths, groups = self.forward(words, probabilities)
+        # Only the languages in which a word is counted: one column for each word and language.
+        which, language = np.nonzero(counts)
+        words, n, of_one = [words[k] for k in which], probabilities.shape[1], probabilities.ravel()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        sums = np.zeros((int(lengths.max(initial=0)) + 1, len(words)))
+        sums[0] = 1.0
+        groups = []
+        for begin, end, word, piece in self.steps(words):
+            place = piece * n + language[word]
+            weight = of_one[place]
+            sums[end][word] += sums[begin][word] * weight
+            groups.append((begin, end, word, place, weight))
         rest = np.zeros_like(sums)
         rest[lengths, np.arange(len(words))] = 1.0
-        total = sums[lengths, np.arange(len(words))]
-        weight = counts / total
-        out = np.zeros_like(probabilities)
-        for begin, end, word, piece in reversed(groups):
-            flow = probabilities[piece] * rest[end, word]
-            rest[begin, word] += flow
-            np.add.at(out, piece, flow * sums[begin, word] * weight[word])
-        return out
+        share = counts[which, language] / sums[lengths, np.arange(len(words))]
+        places, uses = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for begin, end, word, place, weight in reversed(groups):
+            flow = weight * rest[end][word]
+            rest[begin][word] += flow
+            places.append(place)
+            uses.append(flow * sums[begin][word] * share[word])
+        found = np.bincount(np.concatenate(places), np.concatenate(uses), probabilities.size)
+        return found.reshape(probabilities.shape).astype(float)  # counts of nothing are whole numbers
+
+
+_KINDS: list = []
+
+
+def _kinds() -> np.ndarray:
+    """By character: 1 of letters, 2 of marks, else 0."""
+    import regex
+
+    if not _KINDS:
+        kinds = np.zeros(NO_CHARACTER, np.uint8)
+        for first, last in ((0, 0xD800), (0xE000, NO_CHARACTER)):
+            chars = "".join(map(chr, range(first, last)))
+            for number, kind in enumerate((r"\p{L}+", r"\p{M}+"), 1):
+                for run in regex.finditer(kind, chars):
+                    kinds[first + run.start() : first + run.end()] = number
+        _KINDS.append(kinds)
+    return _KINDS[0]
+
+
+def _words_of(part: str) -> list[str]:
+    """All matches of WORD in the lower-cased part."""
+    import regex
+
+    if part.isascii():
+        return part.encode().translate(ASCII_WORDS).decode().split()
+    part = part.lower()
+    chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = _kinds()[chars]
+    if kinds.max() > 1:  # marks belong to a word only after a letter
+        return regex.findall(WORD, part)
+    return np.where(kinds, chars, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").split()
 
 
 def text_words(text: str):
     """The words of a text, part by part."""
     import regex
 
-    find = regex.compile(WORD).findall
     at = 0
     while at < len(text):
         end = at + PART
         if end < len(text):
             gap = regex.compile(r"[^\p{L}\p{M}]").search(text, end)
             end = gap.start() if gap else len(text)
-        yield find(text[at:end].lower())
+        yield _words_of(text[at:end])
         at = end
 
 
+class _Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Scorer:
     """Scores texts in a task, keeping the scores of words it has met."""
 
     def __init__(self, model: LanguageModel, trie: dict):
         self.model = model
         self.lattice = Lattice(trie, len(model.probabilities) - 1)
-        self.place: dict[str, int] = {}
+        self.place = _Numbers()
         self.scores = np.zeros((0, len(model.languages)))
 
-    def _learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
-        if not new:
-            return
-        if len(self.place) + len(new) > KEPT_WORDS:
-            self.place, self.scores = {}, self.scores[:0]
-            new = list(dict.fromkeys(words))
-        found = [
-            self.lattice.log_probabilities([SPACE + w for w in new[i : i + AT_ONCE]], self.model.probabilities)
-            for i in range(0, len(new), AT_ONCE)
-        ]
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.scores = np.concatenate([self.scores, *found])
-
-    def rates(self, text: str, language: int):
-        """(words, log probabilities per character) of the stretches of 1, 2, 4 .. words of a text."""
-        for words in text_words(text):
-            if words:
-                yield from self.rates_of(words, language)
-
-    def rates_of(self, words: list[str], language: int):
-        """As :meth:`rates`, of a list of words."""
-        self._learn(words)
-        logs = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), language]
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        n = 1
-        while n <= min(len(words), LONGEST):
-            at = np.arange(0, len(words) - n + 1, n)
-            whole = at[-1] + n
-            yield n, np.add.reduceat(logs[:whole], at) / np.add.reduceat(sizes[:whole], at)
-            n *= 2
+    def places(self, words: list[str]) -> np.ndarray:
+        """The rows of ``scores`` that hold the words' scores."""
+        if len(self.place) > KEPT_WORDS:
+            self.place, self.scores = _Numbers(), self.scores[:0]
+        known = len(self.place)
+        found = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if len(self.place) > known:
+            new = [SPACE + w for w in itertools.islice(reversed(self.place), len(self.place) - known)][::-1]
+            parts = [self.lattice.log_probabilities(new[i : i + AT_ONCE], self.model.probabilities) for i in range(0, len(new), AT_ONCE)]
+            self.scores = np.concatenate([self.scores, *parts])
+        return found
 
     def rates_together(self, parts):
-        """(language, words, rates) of (language, words) parts; the words of many are learned at once."""
+        """(languages, words, rates): log probabilities per character of the stretches of 1, 2, 4 .. words of
+        (language, words) parts, many parts at once, with the language of each."""
         held, n = [], 0
         for part in itertools.chain(parts, [None]):
             if part is not None:
                 held.append(part)
                 n += len(part[1])
-            if part is None or n > 50_000:
-                self._learn([w for _, words in held for w in words])
-                for language, words in held:
-                    for size, rates in self.rates_of(words, language):
-                        yield language, size, rates
+            if held and (part is None or n > 50_000):
+                yield from self._rates_of(held)
                 held, n = [], 0
 
+    def _rates_of(self, parts: list):
+        words = [w for _, part in parts for w in part]
+        places = self.places(words)
+        languages = np.fromiter((language for language, _ in parts), np.int64, len(parts))
+        lengths = np.fromiter((len(part) for _, part in parts), np.int64, len(parts))
+        # A zero at the end, for stretches that end with the last word.
+        logs = np.append(self.scores[places, np.repeat(languages, lengths)], 0.0)
+        sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
+        begins, n = np.cumsum(lengths) - lengths, 1
+        while n <= min(int(lengths.max()), LONGEST):
+            many = lengths // n
+            at = np.repeat(begins - n * (np.cumsum(many) - many), many) + n * np.arange(many.sum())
+            sums = np.add.reduceat(logs, np.stack([at, at + n], 1).ravel())[::2]
+            yield np.repeat(languages, many), n, sums / (sizes[at + n] - sizes[at])
+            n *= 2
+
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float, int, float]]:
         """Language, its probability, number of words, and log probability per character in it."""
         totals = np.zeros((len(texts), len(self.model.languages)))
@@ -262,8 +359,8 @@ class Scorer:
         def settle():
             nonlocal held, owners, n
             words = [w for part in held for w in part]
-            self._learn(words)
-            rows = self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+            places = self.places(words)
+            rows = self.scores[places]
             sizes = [len(part) for part in held]
             sums = np.add.reduceat(rows, np.cumsum([0, *sizes[:-1]]), axis=0)
             np.add.at(totals, np.array(owners), sums)
@@ -329,20 +426,19 @@ def fit(
         import pyarrow as pa
 
         for batch in batches:
-            counts: dict = {}
+            counts: dict[str, Counter] = {}
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for part in text_words(words.as_py()):
-                    for word in part:
-                        counts[name, word] = counts.get((name, word), 0) + 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _ in keys], pa.string()),
-                    pa.array([w for _, w in keys], pa.string()),
-                    pa.array(list(counts.values()), pa.int64()),
-                ],
-                ["lang", "word", "n"],
-            )
+                    counts.setdefault(name, Counter()).update(part)
+            for name, counted in counts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(counted), pa.string()),
+                        pa.array(list(counted), pa.string()),
+                        pa.array(list(counted.values()), pa.int64()),
+                    ],
+                    ["lang", "word", "n"],
+                )
 
     counted = (
         sample.mapInArrow(lean(count_words), "lang string, word string, n bigint")
@@ -429,10 +525,12 @@ def floors(
             for words in text_words(text.as_py())
             if words
         )
-        for language, n, rates in scorer.rates_together(parts):
-            for rate, count in zip(*np.unique(np.floor(rates * BINS), return_counts=True)):
-                key = names[language], n, int(rate)
-                counts[key] = counts.get(key, 0) + int(count)
+        for languages, n, rates in scorer.rates_together(parts):
+            found = np.floor(rates * BINS).astype(np.int64)
+            least, width = int(found.min()), int(found.max() - found.min()) + 1
+            for both, count in zip(*(x.tolist() for x in np.unique(languages * width + found - least, return_counts=True))):
+                key = names[both // width], n, both % width + least
+                counts[key] = counts.get(key, 0) + count
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int64()))), pa.array(counts.values(), pa.int64())],

@@ -90,3 +90,42 @@ def test_languages_without_blanks_are_told_apart(spark):
     found = L.predict(glued.where("doc_id % 2 = 1"), model).collect()
     assert len(found) > 40
     assert sum(x.lang == x.lang_pred for x in found) >= 0.95 * len(found)
+
+
+def test_words_are_cut_and_scored_together(monkeypatch):
+    """Steps are numpy calls over all words of a batch, with the sums of a walk of the trie character by character."""
+    r = random.Random(3)
+    ids = {p: k for k, p in enumerate(["a", "b", "é", "ab", "ba", "aé", "𝒜", "abab", L.SPACE, L.SPACE + "a"])}
+    trie = Pieces(ids, [0.0] * len(ids), size=len(ids)).trie()
+    lattice = L.Lattice(trie, len(ids))
+    words = [L.SPACE + "".join(r.choice("abé𝒜x") for _ in range(r.randint(0, 12))) for _ in range(300)]
+    found = sorted((w, begin, end, p) for begin, end, at, pieces in lattice.steps(words) for w, p in zip(at.tolist(), pieces.tolist()))
+    walked = sorted((w, i, *edge) for w, word in enumerate(words) for i in range(len(word)) for edge in lattice.pieces_at(word, i))
+    assert found == walked
+    assert list(lattice.steps([])) == [] and list(lattice.steps([""])) == []
+    monkeypatch.setattr(L.Lattice, "pieces_at", None)
+    assert np.isfinite(lattice.log_probabilities(words, np.full((len(ids) + 1, 2), 0.1))).all()
+
+
+def test_words_are_those_of_the_pattern():
+    import regex
+
+    for text in ("", "!", "It's 3 o'clock_x", "Straße ŒUVRE İstanbul", "éa ́b ć", "日本語 한국어 ǅ ª º Ⅷ ²", "a\x00b c\xa0d", "नमस्ते"):
+        assert [w for part in L.text_words(text) for w in part] == regex.findall(L.WORD, text.lower())
+
+
+def test_rates_of_many_texts_are_those_of_each():
+    ids = {p: k for k, p in enumerate(["a", "b", "ab", L.SPACE])}
+    trie = Pieces(ids, [0.0] * 4, size=4).trie()
+    model = L.LanguageModel(["x", "y"], np.random.default_rng(0).random((5, 2)) / 5, np.zeros(2))
+    r = random.Random(1)
+    parts = [(k % 2, ["".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(n)]) for k, n in enumerate((1, 2, 3, 9, 40))]
+    found = sorted((k, n, round(x, 9)) for ks, n, rates in L.Scorer(model, trie).rates_together(parts) for k, x in zip(ks.tolist(), rates.tolist()))
+    lattice, expected = L.Lattice(trie, 4), []
+    for k, words in parts:
+        logs = lattice.log_probabilities([L.SPACE + w for w in words], model.probabilities)[:, k]
+        for n in (1, 2, 4, 8, 16, 32):
+            for i in range(0, len(words) - n + 1, n):
+                expected.append((k, n, round(sum(logs[i : i + n]) / sum(len(w) + 1 for w in words[i : i + n]), 9)))
+    assert found == sorted(expected)
+    assert list(L.Scorer(model, trie).rates_together([])) == []
