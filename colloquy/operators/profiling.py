@@ -24,6 +24,18 @@ def _as_text(value: str, kind: T.DataType) -> str:
     return f"CAST({value} AS STRING)"
 
 
+def _counted_as(kind: T.DataType) -> str | None:
+    """The type as which values are counted, or None where that is their text.
+
+    Only types of which no two different values have one text, but for the sign of a zero.
+    """
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DateType, T.TimestampNTZType)):
+        return kind.simpleString()
+    return None
+
+
 def _ordered(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))
 
@@ -123,23 +135,38 @@ def top_values(
         item = f"CASE WHEN {_quoted(field.name)} IS NOT NULL THEN {digest} END"
         sketches.append(f"approx_top_k({item}, {kept}, {max(tracked, kept)}) AS items{i}")
     row = table.selectExpr(*sketches).first()
-    cells = []
+    cells: dict = {}
     for i, (field, digest) in enumerate(zip(fields, hashes)):
+        column, kind = _quoted(field.name), _counted_as(field.dataType)
         items = [x for x in row[f"items{i}"] or () if x["item"] is not None]
         chosen = _surely_frequent(items, row[f"n{i}"], n, kept, max(tracked, kept))
-        condition = f"{_quoted(field.name)} IS NOT NULL"
+        condition = f"{column} IS NOT NULL"
         if chosen is not None:
             condition += f" AND {digest} IN ({', '.join(map(str, chosen)) or 'NULL'})"
-        text = _as_text(_quoted(field.name), field.dataType)
-        cells.append(f"CASE WHEN {condition} THEN struct({_literal(field.name)} AS column_name, {text} AS value) END")
-    present = table.selectExpr(f"filter(array({', '.join(cells)}), c -> c IS NOT NULL) AS cells").selectExpr("inline(cells)")
-    counted = present.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("frequency"))
+        value = f"CAST({column} AS {kind})" if kind else _as_text(column, field.dataType)
+        # Zeros of both signs are equal, but their texts are not.
+        minus = f", coalesce({column} = 0 AND CAST({column} AS STRING) LIKE '-%', false) AS minus" if kind in ("float", "double") else ""
+        cells.setdefault(kind, []).append(f"struct({i} AS place, CASE WHEN {condition} THEN {value} END AS value{minus})")
+    # One branch for each type: numbers are counted as such, and only different values become texts.
+    parts = [_counted(table, kind, listed) for kind, listed in cells.items()]
+    names = F.array(*[F.lit(f.name) for f in fields])
+    counted = reduce(DataFrame.unionByName, parts).withColumn("column_name", F.get(names, F.col("place"))).drop("place")
     order = Window.partitionBy("column_name").orderBy(F.desc("frequency"), "value")
     first = counted.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= n)
     place = F.array_position(F.array(*[F.lit(c) for c in columns or [f.name for f in fields]]), F.col("column_name"))
     return first.orderBy(place, "_at").select(F.lit(name).alias("table_name"), "column_name", "value", "frequency")
 
 
+def _counted(table: DataFrame, kind: str | None, cells: list[str]) -> DataFrame:
+    """place, value (as text) and frequency of the values that some columns of one type have."""
+    present = table.selectExpr(f"inline(array({', '.join(cells)}))").filter("value IS NOT NULL")
+    counted = present.groupBy(*present.columns).agg(F.count(F.lit(1)).alias("frequency"))
+    value = _as_text("value", T._parse_datatype_string(kind)) if kind else "value"
+    if "minus" in present.columns:
+        value = f"CASE WHEN minus THEN concat('-', {value}) ELSE {value} END"
+    return counted.selectExpr("place", f"{value} AS value", "frequency")
+
+
 def _surely_frequent(items: list, rows: int, n: int, kept: int, tracked: int) -> list[int] | None:
     """The hashes among which the n most frequent values are, or None if that is not sure.
 

@@ -55,6 +55,29 @@ def test_top_values_equal_full_counts(spark, monkeypatch, tracked):
     assert profiling.top_values(frame.select("nested"), "t").count() == 0
 
 
+def test_numbers_are_counted_as_numbers(spark, capsys):
+    r = random.Random(4)
+    long = [r.randrange(10**6) for _ in range(3000)] + [7, 7, None, -1]
+    double = [r.choice([0.0, -0.0, math.nan, 1.5, r.random()]) for _ in range(3003)] + [None]
+    when = [dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=r.randrange(10**12)) for _ in range(3002)] + [dt.datetime(2024, 5, 1)] * 2
+    short = [r.choice([1, 2, None]) for _ in range(3004)]
+    schema = "n long, d double, f float, t timestamp_ntz, day date, s short, yes boolean, p decimal(9,2), x string"
+    rows = [(a, b, b, c, c.date(), e, e == 1, e, str(a)) for a, b, c, e in zip(long, double, when, short)]
+    frame = spark.createDataFrame(rows, "n long, d double, f float, t timestamp_ntz, day date, s short, yes boolean, p int, x string")
+    frame = frame.withColumn("p", F.col("p").cast("decimal(9,2)")).repartition(4)
+    assert frame.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    found = profiling.top_values(frame, "t", n=5, tracked=160)
+    got = rows_of(found, "column_name", "value", "frequency")
+    for name in frame.columns:
+        text = F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS") if name == "t" else F.col(name).cast("string")
+        assert [x[1:] for x in got if x[0] == name] == plain_top([x for x, in rows_of(frame.select(text))], 5), name
+    assert {"-0.0", "0.0", "NaN"} < {v for c, v, _ in got if c == "d"}
+    # Rows meet no interpreted function over arrays.
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "inline(array(" in plan and "lambda" not in plan
+
+
 def test_the_sketch_decides_for_frequent_values_only():
     item = lambda *counts: [{"item": i, "count": c} for i, c in enumerate(counts)]
     assert profiling._surely_frequent(item(50, 30, 20), 100, 2, 150, 4096) == [0, 1, 2]  # all values are there
